@@ -25,12 +25,10 @@ def _with_text(docs: DataFrame, text: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the language found takes the place of the one declared."""
-    keys = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """Rejected documents go; the language found takes the place of the one declared. Rows that share an id stand or fall together."""
     found = language.language_of_documents(docs).where("kept")
-    # Rows that agree in id are judged by their own text, so a repeated id cannot pass its neighbour's verdict on.
-    one = found.groupBy("doc_id").agg(F.first("lang").alias("found"), F.count(F.lit(1)).alias("kept_rows"))
-    joined = keys.join(one.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    one = found.groupBy("doc_id").agg(F.min("lang").alias("found")).withColumnRenamed("doc_id", "__id")
+    joined = docs.join(one, F.col("doc_id").eqNullSafe(F.col("__id")))
     return joined.select("doc_id", "text", F.col("found").alias("lang"), "source", "n_chars")
 
 

@@ -60,7 +60,7 @@ def _sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(kind: int, length: np.ndarray, value: np.ndarray) -> np.ndarray:
-    return mix64(value + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(kind) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return mix64(value + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(kind * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1))
 
 
 def _lines(least_words: int):

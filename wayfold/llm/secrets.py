@@ -128,7 +128,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     one = cut.select("doc_id", "path", "text_key", F.explode(around).alias("x")).select("doc_id", "path", "text_key", "x.*")
     one = one.withColumn("value", F.explode(F.regexp_extract_all("token", F.lit(f"({_RUN})"), F.lit(1))))
-    head = F.substring_index("token", F.col("value"), 1)
+    head = F.expr("substring_index(token, value, 1)")
     return one.where(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")).select(
         "doc_id", "text_key", "token_no", "value", F.concat_ws(" ", "before", head).alias("before"), "after", "path"
     )
