@@ -11,8 +11,10 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with the SQL of its oracle if there is one."""
+def query(sql: str | None = None, whole: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL of its oracle if there is one. ``whole``: sums that are cast to BIGINT."""
+    if sql is not None and whole:
+        sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in whole)}) FROM ({sql})"
 
     def add(function: Query) -> Query:
         _QUERIES[function.__name__] = function
@@ -24,8 +26,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_SQL)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from wayfold.plans import aggregate_queries, interval_queries, join_queries, scalar_queries, sequence_queries, stream_queries  # noqa: F401
