@@ -7,8 +7,9 @@ line stands earlier in the corpus, by (doc_id, line number). Lines of fewer than
 Distinct lines alone are joined. A pigeonhole filter first drops lines whose halves occur nowhere else: one edit leaves
 one half of a line as it is. The others emit all variants within the edit bound as hashed keys: the line itself and the
 line without each of its words. Equal keys with the same gap mean a replaced word, a whole line that equals a variant
-means an inserted one. Every key keeps only its earliest lines, so a key that a third of all lines share costs a
-partial aggregate and no pairs. Each match is verified by edit distance over the words.
+means an inserted one. A line needs one earlier partner, so every key is matched with its earliest line alone, first
+inside each map task: of a line, half or variant that a third of all lines share, each task passes on one. Each match is
+verified by edit distance over the words.
 
 Defined results: null text is empty, with one empty line that stays; a null id comes after all others; repeated rows
 (same id and text) are the same occurrence and keep the same lines; an empty table gives an empty result; other
@@ -30,8 +31,9 @@ from wayfold.llm.shingles import word_hashes
 #: Ids that may be broadcast to fetch texts; beyond it the fetch is a shuffled join.
 FEW = 1_000_000
 _MUL = 0x9E3779B97F4A7C15
-_LINES = "text_key long, doc_id long, line_no int, line long, words int, halves array<long>"
-_VARIANTS = "key long, role int, doc_id long, line_no int, line long"
+_LINES = "text_key long, doc_id long, line_no int, line long, halves array<long>"
+_DISTINCT = "line long, n long, text_key long, doc_id long, line_no int, halves array<long>"
+_VARIANTS = "key long, role int, doc_id long, line_no int, line long, other long"
 
 
 def _lines_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -82,8 +84,8 @@ def _lines(least_words: int):
             listed = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(halves, 1).ravel().view(np.int64)), 4).cast(pa.list_(pa.int64()))
             take = pa.array(row[own])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(number[own].astype(np.int32)), pa.array(_keyed(0, n, cut(a, b)).view(np.int64)), pa.array(n.astype(np.int32)), listed],
-                names=["text_key", "doc_id", "line_no", "line", "words", "halves"],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(number[own].astype(np.int32)), pa.array(_keyed(0, n, cut(a, b)).view(np.int64)), listed],
+                names=["text_key", "doc_id", "line_no", "line", "halves"],
             )
 
     return run
@@ -104,13 +106,92 @@ def _chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["line", "doc_id", "line_no", "tokens"])
 
 
+def _key_of_order(batch: pa.RecordBatch, doc: int, line_no: int) -> tuple[np.ndarray, ...]:
+    """Sort keys of the order of occurrences, least significant first: line number, id, null ids last."""
+    none = batch.column(doc).is_null().to_numpy(zero_copy_only=False)
+    return batch.column(line_no).to_numpy().astype(np.int64), batch.column(doc).fill_null(0).to_numpy(), none
+
+
+def _first_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The earliest occurrence of each line within a task, and how many there are. Columns as in ``_DISTINCT``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size > 200_000:
+            held = [_firsts(held)]
+            size = held[0].num_rows
+            if size > 100_000:  # little is folded here: pass it on
+                yield held.pop()
+                size = 0
+    if held:
+        yield _firsts(held)
+
+
+def _firsts(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    own = pa.Table.from_batches(held).combine_chunks().to_batches()
+    if not own:
+        return held[0]
+    own = own[0]
+    line, n, key = (own.column(i).to_numpy() for i in (0, 1, 2))
+    order = np.lexsort((key, *_key_of_order(own, 3, 4), line))
+    first = np.flatnonzero(np.concatenate([[True], line[order][1:] != line[order][:-1]]))
+    total = np.add.reduceat(n[order], first) if len(first) else n
+    out = own.take(pa.array(order[first]))
+    return pa.RecordBatch.from_arrays([out.column(0), pa.array(total), *out.columns[2:]], names=_names(_DISTINCT))
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _half_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(spread, half, line, known): halves of distinct lines. Of those that a batch shares, one goes on and all are known."""
+    for batch in batches:
+        data = batch.column(1).flatten().to_numpy()
+        line = np.repeat(batch.column(0).to_numpy(), np.diff(batch.column(1).offsets.to_numpy()))
+        order = np.lexsort((line, data))
+        half, line = data[order], line[order]
+        new = np.ones(len(half), bool)
+        new[1:] = (half[1:] != half[:-1]) | (line[1:] != line[:-1])
+        half, line = half[new], line[new]
+        later = np.zeros(len(half), bool)
+        later[1:] = half[1:] == half[:-1]
+        known = later.copy()
+        known[:-1] |= later[1:]
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(later, line, half)), pa.array(half), pa.array(line), pa.array(known), pa.array(later)], names=["spread", "half", "line", "known", "later"])
+
+
+def _shared_halves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines whose half occurs in another line as well."""
+    held = [[b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4)] for b in batches if b.num_rows]
+    if held:
+        half, line, known, later = (np.concatenate(x) for x in zip(*held))
+        out = [line[later]]
+        half, line, known = half[~later], line[~later], known[~later]
+        order = np.lexsort((line, half))
+        half, line, known = half[order], line[order], known[order]
+        group = np.cumsum(np.concatenate([[True], half[1:] != half[:-1]])) - 1 if len(half) else half
+        new = np.ones(len(half), bool)
+        new[1:] = (half[1:] != half[:-1]) | (line[1:] != line[:-1])
+        if len(half):
+            out.append(line[((np.bincount(group, weights=new) > 1) | (np.bincount(group, weights=known) > 0))[group]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], names=["line"])
+
+
 def _variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All variants of each line. Roles: 0 one word left open, 1 the line itself, 2 one word deleted."""
+    """All variants of each line. Roles: 0 one word left open, 1 the line itself, 2 one word deleted.
+
+    Lines of a batch that leave the same word open are matched here: all but the earliest get it as ``other`` (role 3).
+    """
     for batch in batches:
         data, offs = utf8(batch.column(3))
         words, bounds = np.frombuffer(data.tobytes(), np.uint64), offs // 8
-        for at in range(0, batch.num_rows, 2_000):
-            to = min(at + 2_000, batch.num_rows)
+        rank = np.empty(batch.num_rows, np.int64)
+        lines = batch.column(0).to_numpy()
+        rank[np.lexsort((lines, *_key_of_order(batch, 1, 2)))] = np.arange(batch.num_rows)
+        for at in range(0, batch.num_rows, 5_000):
+            to = min(at + 5_000, batch.num_rows)
             own = words[bounds[at] : bounds[to]]
             cuts = bounds[at : to + 1] - bounds[at]
             n = np.diff(cuts)
@@ -122,10 +203,52 @@ def _variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             less = (sums[i] - sums[a] + (sums[b] - sums[i + 1]) * np.uint64(pow(_MUL, -1, 1 << 64))) * inverse[a]
             whole = (sums[cuts[1:]] - sums[cuts[:-1]]) * inverse[cuts[:-1]]
             gap = _keyed(3, n[line], less + (i - a).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
-            keys = np.concatenate([gap, _keyed(4, n, whole), _keyed(4, n[line] - 1, less)])
-            role = np.repeat([0, 1, 2], [len(own), len(n), len(own)]).astype(np.int32)
-            take = pa.array(at + np.concatenate([line, np.arange(len(n)), line]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(role), batch.column(1).take(take), batch.column(2).take(take), batch.column(0).take(take)], names=["key", "role", "doc_id", "line_no", "line"])
+            keys = np.concatenate([gap, _keyed(4, n, whole), _keyed(4, n[line] - 1, less)]).view(np.int64)
+            role = np.repeat([0, 1, 2], [len(own), len(n), len(own)])
+            row = at + np.concatenate([line, np.arange(len(n)), line])
+            order = np.lexsort((rank[row], role, keys))
+            keys, role, row = keys[order], role[order], row[order]
+            same = np.zeros(len(keys), bool)
+            same[1:] = (keys[1:] == keys[:-1]) & (role[1:] == role[:-1])
+            same[1:] &= (role[1:] == 0) | (row[1:] == row[:-1])  # a repeated word gives a variant twice
+            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(keys))))
+            later = same & (row != row[head])
+            met = np.unique(np.stack([row[later], row[head[later]]]), axis=1) if later.any() else np.zeros((2, 0), np.int64)
+            passed = ~same
+            take = pa.array(np.concatenate([row[passed], met[0]]))
+            columns = [
+                pa.array(np.concatenate([keys[passed], lines[met[0]]])),
+                pa.array(np.concatenate([role[passed], np.full(met.shape[1], 3)]).astype(np.int32)),
+                batch.column(1).take(take),
+                batch.column(2).take(take),
+                batch.column(0).take(take),
+                pa.array(np.concatenate([lines[row[passed]], lines[met[1]]])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=_names(_VARIANTS))
+
+
+def _matched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, other) for each line that a key matches with an earlier one; the earliest of its kind is ``other``."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    own = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    key, role, line, other = (own.column(i).to_numpy() for i in (0, 1, 4, 5))
+    rank = np.empty(len(key), np.int64)
+    rank[np.lexsort((line, *_key_of_order(own, 2, 3)))] = np.arange(len(key))
+    met = [np.stack([line[role == 3], other[role == 3]])]
+    for seek, find in ((0, 0), (1, 2), (2, 1)):
+        found = np.flatnonzero(role == find)
+        found = found[np.lexsort((rank[found], key[found]))]
+        found = found[np.concatenate([[True], key[found][1:] != key[found][:-1]])] if len(found) else found
+        asked = np.flatnonzero(role == seek)
+        if len(found) and len(asked):
+            at = np.minimum(np.searchsorted(key[found], key[asked]), len(found) - 1)
+            hit = found[at]
+            ok = (key[hit] == key[asked]) & (rank[hit] < rank[asked]) & (line[hit] != line[asked])
+            met.append(np.stack([line[asked][ok], line[hit][ok]]))
+    pairs = np.unique(np.concatenate(met, 1), axis=1)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["line", "other"])
 
 
 def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
@@ -147,50 +270,42 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(near, pa.bool_())).select(["line", "other"])
 
 
-def _order(*columns: str) -> Column:
-    """Earlier first; a null id after all others."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), *columns)
-
-
 def near_lines(texts: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(line, other): verified pairs in which ``other`` is the earliest line that matches by some key."""
-    halves = distinct.select("line", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    maybe = halves.join(shared, "half").select("line").distinct()
+    """(line): the lines that a near line precedes. ``distinct`` has line, text_key, doc_id, line_no, halves."""
+    halves = distinct.select("line", "halves").mapInArrow(_half_keys, "spread long, half long, line long, known boolean, later boolean")
+    maybe = halves.repartition("spread").mapInArrow(_shared_halves, "line long").distinct()
     wanted = distinct.join(maybe, "line").groupBy("text_key", "doc_id").agg(F.collect_list(F.struct("line_no", "line")).alias("wanted"))
     wanted = stage(wanted, "lines-wanted")
     few = wanted.count() <= FEW // 8
     keyed = wanted.withColumnRenamed("text_key", "k").withColumnRenamed("doc_id", "d")
     asked = texts.join(F.broadcast(keyed) if few else keyed, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text_key", "doc_id", "text", "wanted")
     chosen = stage(asked.mapInArrow(_chosen, "line long, doc_id long, line_no int, tokens binary").dropDuplicates(["line"]), "lines-chosen")
-    variants = stage(chosen.mapInArrow(_variants, _VARIANTS), "lines-variants")
-    earliest = lambda role: F.min(F.when(F.col("role") == role, _order("doc_id", "line_no", "line")))
-    met = variants.groupBy("key").agg(earliest(0).alias("e0"), earliest(1).alias("e1"), earliest(2).alias("e2"), F.min("line").alias("lo"), F.max("line").alias("hi"))
-    met = met.where("lo <> hi").drop("lo", "hi")
-    partner = F.when(F.col("role") == 0, F.col("e0")).when(F.col("role") == 1, F.col("e2")).otherwise(F.col("e1"))
-    pairs = variants.join(met, "key").select("line", _order("doc_id", "line_no", "line").alias("self"), partner.alias("p"))
-    pairs = pairs.where("p is not null and p < self and p.line <> line").select("line", F.col("p.line").alias("other")).distinct()
+    pairs = chosen.mapInArrow(_variants, _VARIANTS).repartition("key").mapInArrow(_matched, "line long, other long").distinct()
     tokens = chosen.select("line", F.col("tokens").alias("a")), chosen.select(F.col("line").alias("other"), F.col("tokens").alias("b"))
     tried = pairs.join(tokens[0], "line").join(tokens[1], "other").select("line", "other", "a", "b")
-    return tried.mapInArrow(_verify, "line long, other long")
+    return tried.mapInArrow(_verify, "line long, other long").select("line").distinct()
 
 
 def repeated_lines(texts: DataFrame, least_words: int) -> DataFrame:
     """(text_key, doc_id, gone): the numbers of the lines that go, for each document that loses some. ``texts``: text_key, doc_id, text."""
-    lines = stage(texts.select("text_key", "doc_id", "text").mapInArrow(_lines(least_words), _LINES), "lines-all")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "text_key"))
-    distinct = lines.groupBy("line").agg(first.alias("at"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
-    distinct = stage(distinct.select("line", "n", "halves", "at.none", "at.doc_id", "at.text_key", "at.line_no"), "lines-distinct")
-    near = near_lines(texts, distinct.select("line", "halves", "doc_id", "text_key", "line_no"))
-    place = F.struct("none", "doc_id", "line_no", "text_key")
-    others = near.join(distinct.select(F.col("line").alias("other"), place.alias("at")), "other").groupBy("line").agg(F.min("at").alias("near_at"))
-    earliest = distinct.select("line", "n", place.alias("at")).join(others, "line", "left").where("n > 1 or near_at is not null")
-    earliest = earliest.select("line", F.least("at", F.coalesce("near_at", "at")).alias("kept_at"))
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "text_key")
-    gone = lines.select("line", "text_key", "doc_id", "line_no", own.alias("own")).join(earliest, "line").where("own > kept_at")
+    lines = texts.select("text_key", "doc_id", "text").mapInArrow(_lines(least_words), _LINES)
+    counted = lines.select("line", F.lit(1).cast("long").alias("n"), "text_key", "doc_id", "line_no", "halves")
+    distinct = stage(counted.mapInArrow(_first_lines, _DISTINCT).repartition("line").mapInArrow(_first_lines_of_all, _DISTINCT), "lines-distinct")
+    near = near_lines(texts, distinct).withColumn("near", F.lit(True))
+    facts = distinct.select("line", "n", F.struct(F.col("text_key").alias("k"), F.col("doc_id").alias("d"), F.col("line_no").alias("l")).alias("first"))
+    facts = facts.join(near, "line", "left").where("n > 1 or near")
+    # The first occurrence stays unless a near line precedes it; repeated rows are the same occurrence.
+    own = F.col("text_key").eqNullSafe(F.col("first.k")) & F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("line_no") == F.col("first.l"))
+    gone = lines.select("line", "text_key", "doc_id", "line_no").join(facts, "line").where(F.coalesce("near", F.lit(False)) | ~own)
     return gone.groupBy("text_key", "doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
 
 
+def _first_lines_of_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
+    if held:
+        yield _firsts(held)
+
+
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return id_text(docs, id_col, text_col).select(F.xxhash64("text").alias("text_key"), "doc_id", "text")
 
