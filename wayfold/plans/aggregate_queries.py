@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import rates as R
@@ -11,13 +11,16 @@ from wayfold.operators import merges as K
 from wayfold.plans.catalogue import query
 from wayfold.sources.tables import HOUR, PINGS_SQL, PLACED_SQL, TRIPS_SQL, pings, placed, read, trips
 
-_N = F.count(F.lit(1))
+
+
+def _n() -> Column:
+    return F.count(F.lit(1))
 
 
 @query(f"WITH {TRIPS_SQL} SELECT count(*) AS trips, count(DISTINCT customer) AS customers, count(DISTINCT carrier) AS carriers, sum(qty) AS qty, 100.0 * sum(on_time) / nullif(count(on_time), 0) AS on_time_pct, sum(days) / CAST(count(days) AS DOUBLE) AS avg_days FROM trips", whole=("qty",))
 def a01_fleet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips(spark, sf_dir).agg(
-        _N.alias("trips"), F.countDistinct("customer").alias("customers"), F.countDistinct("carrier").alias("carriers"), F.sum("qty").alias("qty"),
+        _n().alias("trips"), F.countDistinct("customer").alias("customers"), F.countDistinct("carrier").alias("carriers"), F.sum("qty").alias("qty"),
         R.known_rate(F.col("on_time")).alias("on_time_pct"), (F.sum("days") / F.count("days").cast("double")).alias("avg_days"),
     )
 
@@ -31,7 +34,7 @@ def a03_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where("carrier is not null")
         .groupBy("carrier")
         .agg(
-            _N.alias("trips"), F.countDistinct("customer").alias("customers"), F.sum("qty").alias("qty"), F.sum("price").alias("price"), F.count("on_time").alias("known"),
+            _n().alias("trips"), F.countDistinct("customer").alias("customers"), F.sum("qty").alias("qty"), F.sum("price").alias("price"), F.count("on_time").alias("known"),
             R.known_rate(F.col("on_time")).alias("on_time_pct"), F.median("days").alias("median_days"), F.floor(F.percentile("days", 0.9) * 10 + 0.5).alias("p90_tenths"), F.max("days").alias("worst_days"),
         )
         .where("trips >= 3")
@@ -52,7 +55,7 @@ def a07_previous_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a08_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.functions.scalars import iso_week
 
-    return trips(spark, sf_dir).groupBy(iso_week(F.col("booked")).alias("week")).agg(_N.alias("trips"), F.sum("price").alias("price"), R.known_rate(F.col("on_time")).alias("on_time_pct"))
+    return trips(spark, sf_dir).groupBy(iso_week(F.col("booked")).alias("week")).agg(_n().alias("trips"), F.sum("price").alias("price"), R.known_rate(F.col("on_time")).alias("on_time_pct"))
 
 
 _Z = R.Z95
@@ -70,7 +73,7 @@ def a09_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT customer, arg_max(carrier, (n, -carrier)) AS modal, arg_max(carrier, (n, -first_trip)) AS majority FROM c GROUP BY customer""")
 def a10_modal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent carrier of a customer: ties to the smallest, or to the first seen."""
-    c = trips(spark, sf_dir).where("carrier is not null").groupBy("customer", "carrier").agg(_N.alias("n"), F.min("trip").alias("first_trip"))
+    c = trips(spark, sf_dir).where("carrier is not null").groupBy("customer", "carrier").agg(_n().alias("n"), F.min("trip").alias("first_trip"))
     return c.groupBy("customer").agg(F.max_by("carrier", F.struct("n", -F.col("carrier"))).alias("modal"), F.max_by("carrier", F.struct("n", -F.col("first_trip"))).alias("majority"))
 
 
@@ -82,7 +85,7 @@ def a13_canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     i = F.col("p_partkey") % 3
     spelt = F.when(i == 0, F.upper("p_name")).when(i == 1, F.concat(F.lit("  "), "p_name")).otherwise(F.col("p_name"))
-    c = read(spark, sf_dir, "part").groupBy(folded(spelt).alias("key"), F.trim(spelt).alias("spelt")).agg(_N.alias("n"))
+    c = read(spark, sf_dir, "part").groupBy(folded(spelt).alias("key"), F.trim(spelt).alias("spelt")).agg(_n().alias("n"))
     w = Window.partitionBy("key")
     return c.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("n"), "spelt")), "rows": F.sum("n").over(w)}).where("rn = 1").select("key", "spelt", "rows")
 
@@ -91,20 +94,20 @@ def a13_canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a14_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per customer and over all, from one scan, with true distinct counts at both levels."""
     df = trips(spark, sf_dir).select("customer", "dest", "carrier", "price")
-    out = df.groupingSets([["dest", "customer"], ["dest"]], "dest", "customer").agg(F.grouping("customer").cast("int").alias("is_all"), _N.alias("trips"), F.countDistinct("carrier").alias("carriers"), F.sum("price").alias("price"))
+    out = df.groupingSets([["dest", "customer"], ["dest"]], "dest", "customer").agg(F.grouping("customer").cast("int").alias("is_all"), _n().alias("trips"), F.countDistinct("carrier").alias("carriers"), F.sum("price").alias("price"))
     return out.select(F.coalesce("customer", F.lit(0)).alias("customer"), "dest", "is_all", "trips", "carriers", "price")
 
 
 @query(f"""WITH {TRIPS_SQL} SELECT origin, dest, extract('isodow' FROM booked) - 1 AS weekday, count(*) AS trips, median(days) AS days FROM trips WHERE dest IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""")
 def a17_route_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trips(spark, sf_dir).where("dest is not null").groupBy("origin", "dest", F.weekday("booked").cast("long").alias("weekday")).agg(_N.alias("trips"), F.median("days").alias("days")).where("trips >= 2")
+    return trips(spark, sf_dir).where("dest is not null").groupBy("origin", "dest", F.weekday("booked").cast("long").alias("weekday")).agg(_n().alias("trips"), F.median("days").alias("days")).where("trips >= 2")
 
 
 @query(f"WITH {TRIPS_SQL} SELECT carrier, count(*) AS trips, sum(price) AS price FROM trips WHERE carrier IS NOT NULL GROUP BY carrier", whole=("price",))
 def a18_incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only groups touched by new trips are recomputed; the result is that of a full rebuild."""
     df = trips(spark, sf_dir).where("carrier is not null").select("trip", "carrier", "price")
-    summarise = lambda rows: rows.groupBy("carrier").agg(_N.alias("trips"), F.sum("price").alias("price"))
+    summarise = lambda rows: rows.groupBy("carrier").agg(_n().alias("trips"), F.sum("price").alias("price"))
     before = summarise(df.where("trip % 11 <> 0"))
     touched = df.where("trip % 11 = 0").select("carrier").distinct()
     return K.replace_keys(before, summarise(df.join(touched, "carrier", "left_semi")), touched, ["carrier"])
@@ -118,7 +121,7 @@ def a19_speed_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     df = with_gap(pings(spark, sf_dir), "vehicle", ["us", "event_id"], cap_us=6 * HOUR)
     keys = [(F.col("vehicle") % 10).alias("lane"), (F.floor(F.col("us") / HOUR) % 24).alias("hour"), F.floor(F.col("speed") / 100).alias("kmph")]
-    return df.groupBy(*keys).agg(_N.alias("fixes"), F.sum("gap_us").alias("gap_us"))
+    return df.groupBy(*keys).agg(_n().alias("fixes"), F.sum("gap_us").alias("gap_us"))
 
 
 @query(f"""WITH {PINGS_SQL}, g AS (SELECT vehicle % 10 AS lane, speed // 100 AS kmph, least(coalesce(us - lag(us) OVER (PARTITION BY vehicle ORDER BY us, event_id), 0), {6 * HOUR}) AS gap, moving FROM pings),
@@ -154,9 +157,9 @@ SELECT least((speed - lo) * bins // (hi - lo), bins - 1) AS bin, count(*) AS n F
 def a29_equal_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An equal-width histogram whose number of bins follows the data; the last bin is closed."""
     df = pings(spark, sf_dir)
-    s = df.agg(F.min("speed").alias("lo"), F.max("speed").alias("hi"), F.least(F.lit(30), F.greatest(F.floor(F.sqrt(_N)) + 1, F.lit(5))).alias("bins"))
+    s = df.agg(F.min("speed").alias("lo"), F.max("speed").alias("hi"), F.least(F.lit(30), F.greatest(F.floor(F.sqrt(_n())) + 1, F.lit(5))).alias("bins"))
     bin_ = F.least(F.floor((F.col("speed") - F.col("lo")) * F.col("bins") / (F.col("hi") - F.col("lo"))), F.col("bins") - 1)
-    return df.join(F.broadcast(s), how="cross").groupBy(bin_.alias("bin")).agg(_N.alias("n"))
+    return df.join(F.broadcast(s), how="cross").groupBy(bin_.alias("bin")).agg(_n().alias("n"))
 
 
 @query(f"""WITH {TRIPS_SQL}, q AS (SELECT dest, quantile_cont(days, 0.25) AS q1, median(days) AS med, quantile_cont(days, 0.75) AS q3 FROM trips WHERE days IS NOT NULL GROUP BY dest)
@@ -172,20 +175,20 @@ def a33_box_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {TRIPS_SQL} SELECT extract('isodow' FROM booked) - 1 AS weekday, count(*) FILTER (WHERE status = 'F') AS F, count(*) FILTER (WHERE status = 'O') AS O, count(*) FILTER (WHERE status = 'P') AS P FROM trips GROUP BY ALL""")
 def a35_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = trips(spark, sf_dir).groupBy(F.weekday("booked").cast("long").alias("weekday")).pivot("status", ["F", "O", "P"]).agg(_N)
+    out = trips(spark, sf_dir).groupBy(F.weekday("booked").cast("long").alias("weekday")).pivot("status", ["F", "O", "P"]).agg(_n())
     return out.na.fill(0)
 
 
 @query(f"""WITH {TRIPS_SQL}, f AS (SELECT count(*) AS booked, count(started) AS started, count(CASE WHEN ended > started THEN 1 END) AS moved, count(on_time) AS judged FROM trips)
 SELECT 'booked' AS step, booked AS n FROM f UNION ALL SELECT 'started', started FROM f UNION ALL SELECT 'moved', moved FROM f UNION ALL SELECT 'judged', judged FROM f""")
 def a36_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = trips(spark, sf_dir).agg(_N.alias("booked"), F.count("started").alias("started"), F.count(F.when(F.col("ended") > F.col("started"), 1)).alias("moved"), F.count("on_time").alias("judged"))
+    f = trips(spark, sf_dir).agg(_n().alias("booked"), F.count("started").alias("started"), F.count(F.when(F.col("ended") > F.col("started"), 1)).alias("moved"), F.count("on_time").alias("judged"))
     return f.unpivot([], ["booked", "started", "moved", "judged"], "step", "n")
 
 
 @query(f"""WITH {PLACED_SQL} SELECT CAST(floor(lat * 2) AS BIGINT) AS cy, CAST(floor(lon * 2) AS BIGINT) AS cx, count(*) AS fixes, count(DISTINCT vehicle) AS vehicles FROM placed GROUP BY ALL HAVING count(DISTINCT vehicle) >= 2""")
 def a38_grid_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placed(spark, sf_dir).groupBy(F.floor(F.col("lat") * 2).alias("cy"), F.floor(F.col("lon") * 2).alias("cx")).agg(_N.alias("fixes"), F.countDistinct("vehicle").alias("vehicles")).where("vehicles >= 2")
+    return placed(spark, sf_dir).groupBy(F.floor(F.col("lat") * 2).alias("cy"), F.floor(F.col("lon") * 2).alias("cx")).agg(_n().alias("fixes"), F.countDistinct("vehicle").alias("vehicles")).where("vehicles >= 2")
 
 
 @query(f"""WITH {TRIPS_SQL}, g AS (SELECT carrier, count(*) AS n, 100.0 * sum(on_time) / nullif(count(on_time), 0) AS otd, median(days) AS days FROM trips WHERE carrier IS NOT NULL GROUP BY carrier),
@@ -194,10 +197,10 @@ r AS (SELECT carrier, n, CASE WHEN otd IS NULL THEN NULL ELSE (rank() OVER (PART
 SELECT carrier, n, CAST(floor(1e6 * (0.6::DOUBLE * coalesce(a, 0.5) + 0.4::DOUBLE * b) + 0.5) AS BIGINT) AS score_ppm FROM r""")
 def a42_composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile ranks with ties averaged, weighted; an unknown axis counts as the middle."""
-    g = trips(spark, sf_dir).where("carrier is not null").groupBy("carrier").agg(_N.alias("n"), R.known_rate(F.col("on_time")).alias("otd"), F.median("days").alias("days"))
+    g = trips(spark, sf_dir).where("carrier is not null").groupBy("carrier").agg(_n().alias("n"), R.known_rate(F.col("on_time")).alias("otd"), F.median("days").alias("days"))
     unknown = F.col("otd").isNull()
-    a = (F.rank().over(Window.partitionBy(unknown).orderBy("otd")) + (_N.over(Window.partitionBy("otd")) - 1) / F.lit(2.0)) / F.count("otd").over(Window.partitionBy())
-    b = (F.rank().over(Window.orderBy(F.desc("days"))) + (_N.over(Window.partitionBy("days")) - 1) / F.lit(2.0)) / _N.over(Window.partitionBy())
+    a = (F.rank().over(Window.partitionBy(unknown).orderBy("otd")) + (_n().over(Window.partitionBy("otd")) - 1) / F.lit(2.0)) / F.count("otd").over(Window.partitionBy())
+    b = (F.rank().over(Window.orderBy(F.desc("days"))) + (_n().over(Window.partitionBy("days")) - 1) / F.lit(2.0)) / _n().over(Window.partitionBy())
     ranked = g.select("carrier", "n", F.when(~unknown, a).alias("a"), b.alias("b"))
     return ranked.select("carrier", "n", F.floor(1e6 * (F.lit(0.6) * F.coalesce("a", F.lit(0.5)) + F.lit(0.4) * F.col("b")) + 0.5).alias("score_ppm"))
 
@@ -205,9 +208,9 @@ def a42_composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TRIPS_SQL}, g AS (SELECT origin, dest, carrier, count(*) AS n, sum(on_time) AS hits, median(days) AS days FROM trips WHERE carrier IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY origin, dest ORDER BY n DESC, coalesce(hits, -1) DESC, days, carrier) AS rn, count(*) OVER (PARTITION BY origin, dest) AS eligible FROM g)
 SELECT origin, dest, carrier, n, eligible FROM r WHERE rn = 1 AND eligible >= 2""")
 def a46_best_of_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = trips(spark, sf_dir).where("carrier is not null").groupBy("origin", "dest", "carrier").agg(_N.alias("n"), F.sum("on_time").alias("hits"), F.median("days").alias("days"))
+    g = trips(spark, sf_dir).where("carrier is not null").groupBy("origin", "dest", "carrier").agg(_n().alias("n"), F.sum("on_time").alias("hits"), F.median("days").alias("days"))
     w = Window.partitionBy("origin", "dest")
-    r = g.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("n"), F.desc(F.coalesce("hits", F.lit(-1))), "days", "carrier")), "eligible": _N.over(w)})
+    r = g.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("n"), F.desc(F.coalesce("hits", F.lit(-1))), "days", "carrier")), "eligible": _n().over(w)})
     return r.where("rn = 1 and eligible >= 2").select("origin", "dest", "carrier", "n", "eligible")
 
 
@@ -215,9 +218,9 @@ def a46_best_of_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT (SELECT median(n) FROM p) AS median_trips, 100.0 * count(*) FILTER (WHERE n = 1) / count(*) AS single_pct, 100.0 * (SELECT sum(n) FROM k) / sum(n) AS top10_pct FROM p""")
 def a48_fleet_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips per customer, the share of single-trip ones and the share of the ten largest: a top-k report."""
-    p = trips(spark, sf_dir).groupBy("customer").agg(_N.alias("n"))
+    p = trips(spark, sf_dir).groupBy("customer").agg(_n().alias("n"))
     top = p.orderBy(F.desc("n"), "customer").limit(10).agg(F.sum("n").alias("top"))
-    facts = p.agg(F.median("n").alias("median_trips"), (100.0 * F.count_if(F.col("n") == 1) / _N).alias("single_pct"), F.sum("n").alias("total"))
+    facts = p.agg(F.median("n").alias("median_trips"), (100.0 * F.count_if(F.col("n") == 1) / _n()).alias("single_pct"), F.sum("n").alias("total"))
     return facts.join(top, how="cross").select("median_trips", "single_pct", (100.0 * F.col("top") / F.col("total")).alias("top10_pct"))
 
 
@@ -227,13 +230,13 @@ def a54_daily_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips on the road per day; a trip counts on at most 14 days, as the measure is defined."""
     last = F.least(F.to_date("ended"), F.date_add(F.to_date("started"), 13))
     d = trips(spark, sf_dir).where("started is not null").select("carrier", F.explode(F.sequence(F.to_date("started"), last)).alias("day"))
-    return d.groupBy("day").agg(_N.alias("trips"), F.countDistinct("carrier").alias("carriers"))
+    return d.groupBy("day").agg(_n().alias("trips"), F.countDistinct("carrier").alias("carriers"))
 
 
 @query(f"""WITH {TRIPS_SQL} SELECT field, n, 100.0 * n / (SELECT count(*) FROM trips) AS fill_pct FROM (SELECT 'started' AS field, count(started) AS n FROM trips UNION ALL SELECT 'on_time', count(on_time) FROM trips UNION ALL SELECT 'dest', count(dest) FROM trips) x""")
 def a75_field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["started", "on_time", "dest"]
-    facts = trips(spark, sf_dir).agg(_N.alias("all"), *[F.count(c).alias(c) for c in fields])
+    facts = trips(spark, sf_dir).agg(_n().alias("all"), *[F.count(c).alias(c) for c in fields])
     return facts.unpivot(["all"], fields, "field", "n").select("field", "n", (100.0 * F.col("n") / F.col("all")).alias("fill_pct"))
 
 

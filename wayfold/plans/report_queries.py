@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import rates as R
@@ -12,18 +12,21 @@ from wayfold.operators import sequences as S
 from wayfold.plans.catalogue import query
 from wayfold.sources.tables import HOUR, PINGS_SQL, PLACED_SQL, STAYS_SQL, TRIPS_SQL, pings, placed, read, stays, trips
 
-_N = F.count(F.lit(1))
 _ORDER = ["us", "event_id"]
 _W = "OVER (PARTITION BY vehicle ORDER BY us, event_id)"
 _ROWS = "OVER (PARTITION BY vehicle ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 DAY = 24 * HOUR
 
 
+def _n() -> Column:
+    return F.count(F.lit(1))
+
+
 @query(f"""WITH {TRIPS_SQL}, e AS (SELECT carrier, CAST(year(booked) AS BIGINT) AS y, count(*) AS n, sum(price) AS price FROM trips WHERE carrier IN (1, 2, 3) GROUP BY ALL)
 SELECT y, coalesce(max(n) FILTER (WHERE carrier = 1), 0) AS n1, coalesce(max(n) FILTER (WHERE carrier = 2), 0) AS n2, coalesce(max(n) FILTER (WHERE carrier = 3), 0) AS n3 FROM e GROUP BY y""")
 def c08_compare_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trends of picked carriers side by side, gaps filled with zero."""
-    e = trips(spark, sf_dir).where("carrier in (1, 2, 3)").groupBy(F.year("booked").cast("long").alias("y")).pivot("carrier", [1, 2, 3]).agg(_N)
+    e = trips(spark, sf_dir).where("carrier in (1, 2, 3)").groupBy(F.year("booked").cast("long").alias("y")).pivot("carrier", [1, 2, 3]).agg(_n())
     return e.select("y", *[F.coalesce(str(c), F.lit(0)).alias(f"n{c}") for c in (1, 2, 3)])
 
 
@@ -47,7 +50,7 @@ def c12_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PINGS_SQL}, w AS (SELECT event_type AS name, min(us) AS first_us, max(us) AS last_us, count(*) AS fixes, count(DISTINCT vehicle) AS vehicles, CAST(sum(k) AS DOUBLE) / count(*) AS mean_k FROM pings GROUP BY ALL)
 SELECT *, row_number() OVER (ORDER BY fixes DESC, name) AS place FROM w""")
 def c04_waypoint_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = pings(spark, sf_dir).groupBy(F.col("event_type").alias("name")).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), _N.alias("fixes"), F.countDistinct("vehicle").alias("vehicles"), (F.sum("k").cast("double") / _N).alias("mean_k"))
+    w = pings(spark, sf_dir).groupBy(F.col("event_type").alias("name")).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), _n().alias("fixes"), F.countDistinct("vehicle").alias("vehicles"), (F.sum("k").cast("double") / _n()).alias("mean_k"))
     return w.withColumn("place", F.row_number().over(Window.orderBy(F.desc("fixes"), "name")).cast("long"))
 
 
@@ -56,20 +59,20 @@ SELECT p.k AS wp, (us // {HOUR}) % 24 AS hour, count(*) AS n FROM pings p JOIN t
 def c05_waypoint_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The busiest five waypoints by hour: a top-k report."""
     df = pings(spark, sf_dir).withColumn("wp", F.col("k"))
-    top = df.groupBy("wp").agg(_N.alias("n")).orderBy(F.desc("n"), "wp").limit(5).select("wp")
-    return df.join(F.broadcast(top), "wp").groupBy("wp", (F.floor(F.col("us") / HOUR) % 24).alias("hour")).agg(_N.alias("n"))
+    top = df.groupBy("wp").agg(_n().alias("n")).orderBy(F.desc("n"), "wp").limit(5).select("wp")
+    return df.join(F.broadcast(top), "wp").groupBy("wp", (F.floor(F.col("us") / HOUR) % 24).alias("hour")).agg(_n().alias("n"))
 
 
 @query(f"""WITH {TRIPS_SQL} SELECT customer, count(*) AS trips, max(booked) AS latest, sum(qty) AS qty FROM trips GROUP BY customer HAVING count(*) >= 2 ORDER BY trips DESC, customer LIMIT 20 OFFSET 20""", whole=("qty",))
 def c15_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of a list with a minimum, in a total order."""
-    g = trips(spark, sf_dir).groupBy("customer").agg(_N.alias("trips"), F.max("booked").alias("latest"), F.sum("qty").alias("qty")).where("trips >= 2")
+    g = trips(spark, sf_dir).groupBy("customer").agg(_n().alias("trips"), F.max("booked").alias("latest"), F.sum("qty").alias("qty")).where("trips >= 2")
     return g.orderBy(F.desc("trips"), "customer").offset(20).limit(20)
 
 
 @query(f"""WITH {TRIPS_SQL}, r AS (SELECT origin, dest, count(*) AS n, median(days) AS days, count(DISTINCT carrier) AS carriers FROM trips WHERE dest IS NOT NULL GROUP BY ALL) SELECT origin, dest, n, days, carriers, rank() OVER (PARTITION BY origin ORDER BY n DESC) AS rnk FROM r""")
 def c17_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = trips(spark, sf_dir).where("dest is not null").groupBy("origin", "dest").agg(_N.alias("n"), F.median("days").alias("days"), F.countDistinct("carrier").alias("carriers"))
+    r = trips(spark, sf_dir).where("dest is not null").groupBy("origin", "dest").agg(_n().alias("n"), F.median("days").alias("days"), F.countDistinct("carrier").alias("carriers"))
     return r.withColumn("rnk", F.rank().over(Window.partitionBy("origin").orderBy(F.desc("n"))).cast("long"))
 
 
@@ -89,17 +92,17 @@ def a56_carrier_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT day, fixes, vehicles, alerts, CAST(sum(fixes) OVER w AS DOUBLE) / count(*) OVER w AS usual FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""")
 def a69_day_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each day's figures with the average of the seven days before; windows see one row per day."""
-    d = pings(spark, sf_dir).groupBy(F.floor(F.col("us") / DAY).alias("day")).agg(_N.alias("fixes"), F.countDistinct("vehicle").alias("vehicles"), F.count_if(F.col("speed") > 5000).alias("alerts"))
+    d = pings(spark, sf_dir).groupBy(F.floor(F.col("us") / DAY).alias("day")).agg(_n().alias("fixes"), F.countDistinct("vehicle").alias("vehicles"), F.count_if(F.col("speed") > 5000).alias("alerts"))
     w = Window.orderBy("day").rowsBetween(-7, -1)
-    return d.withColumn("usual", F.sum("fixes").over(w).cast("double") / F.nullif(_N.over(w), F.lit(0)))
+    return d.withColumn("usual", F.sum("fixes").over(w).cast("double") / F.nullif(_n().over(w), F.lit(0)))
 
 
 @query(f"""WITH {TRIPS_SQL} SELECT n_regionkey AS region, count(DISTINCT s_suppkey) AS sites, count(trip) AS trips, coalesce(sum(price), 0) AS price FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN trips ON carrier = s_suppkey GROUP BY ALL""", whole=("price",))
 def a70_region_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites and activity per region; both sides are aggregated before they meet."""
-    per_site = trips(spark, sf_dir).where("carrier is not null").groupBy(F.col("carrier").alias("s_suppkey")).agg(_N.alias("trips"), F.sum("price").alias("price"))
+    per_site = trips(spark, sf_dir).where("carrier is not null").groupBy(F.col("carrier").alias("s_suppkey")).agg(_n().alias("trips"), F.sum("price").alias("price"))
     sites = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(per_site, "s_suppkey", "left")
-    return sites.groupBy(F.col("n_regionkey").alias("region")).agg(_N.alias("sites"), F.coalesce(F.sum("trips"), F.lit(0)).alias("trips"), F.coalesce(F.sum("price"), F.lit(0)).alias("price"))
+    return sites.groupBy(F.col("n_regionkey").alias("region")).agg(_n().alias("sites"), F.coalesce(F.sum("trips"), F.lit(0)).alias("trips"), F.coalesce(F.sum("price"), F.lit(0)).alias("price"))
 
 
 @query(f"""WITH {PINGS_SQL} SELECT vehicle, count(*) FILTER (WHERE speed > 4000) AS fast, arg_min(event_type, (us, event_id)) FILTER (WHERE speed > 4000) AS first_fast FROM pings GROUP BY vehicle""")
@@ -111,7 +114,7 @@ def a78_vehicle_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PINGS_SQL} SELECT vehicle, count(*) AS n, sum(speed) AS t, n * sum(speed * speed) - sum(speed) * sum(speed) AS n2_variance FROM pings GROUP BY vehicle""", whole=("t", "n2_variance"))
 def a41_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n squared times the population variance, in whole numbers."""
-    return pings(spark, sf_dir).groupBy("vehicle").agg(_N.alias("n"), F.sum("speed").alias("t"), (_N * F.sum(F.col("speed") * F.col("speed")) - F.sum("speed") * F.sum("speed")).alias("n2_variance"))
+    return pings(spark, sf_dir).groupBy("vehicle").agg(_n().alias("n"), F.sum("speed").alias("t"), (_n() * F.sum(F.col("speed") * F.col("speed")) - F.sum("speed") * F.sum("speed")).alias("n2_variance"))
 
 
 @query(f"""WITH {PINGS_SQL}, s AS (SELECT *, CASE WHEN moving THEN 0 ELSE 1 END AS still FROM pings)
@@ -148,7 +151,7 @@ def j16_run_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = df.where("status = 'F'").select("site", F.col("part").alias("a_part"), F.col("vehicle").alias("a_vehicle"), F.col("enter").alias("a1"), F.col("leave").alias("a2"))
     b = df.where("status = 'O'").select("site", F.col("enter").alias("b1"), F.col("leave").alias("b2"))
     keys = ["site", "a_part", "a_vehicle", "a1", "a2"]
-    groups, hits = a.select(keys).distinct(), I.overlap_join(a, b, "site", 30 * DAY, "a1", "a2", "b1", "b2").groupBy(*keys).agg(_N.alias("n"))
+    groups, hits = a.select(keys).distinct(), I.overlap_join(a, b, "site", 30 * DAY, "a1", "a2", "b1", "b2").groupBy(*keys).agg(_n().alias("n"))
     return groups.join(hits, keys, "left").select("site", "a_part", "a_vehicle", F.coalesce("n", F.lit(0)).alias("overlaps"))
 
 
@@ -175,7 +178,7 @@ def n03_robust_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PINGS_SQL}, g AS (SELECT vehicle, count(*) AS n, count(*) FILTER (WHERE speed > 5000) AS fast, count(*) FILTER (WHERE (us // {HOUR}) % 24 < 5) AS night FROM pings GROUP BY vehicle), s AS (SELECT vehicle, 100 - 200.0 * fast / n - 50.0 * night / n AS score FROM g)
 SELECT vehicle, greatest(0, score) AS score, CASE WHEN score >= 80 THEN 'low' WHEN score >= 60 THEN 'medium' ELSE 'high' END AS risk FROM s""")
 def n04_driver_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = 100 - 200.0 * F.count_if(F.col("speed") > 5000) / _N - 50.0 * F.count_if(F.floor(F.col("us") / HOUR) % 24 < 5) / _N
+    score = 100 - 200.0 * F.count_if(F.col("speed") > 5000) / _n() - 50.0 * F.count_if(F.floor(F.col("us") / HOUR) % 24 < 5) / _n()
     s = pings(spark, sf_dir).groupBy("vehicle").agg(score.alias("score"))
     return s.select("vehicle", F.greatest(F.lit(0.0), F.col("score")).alias("score"), F.when(F.col("score") >= 80, "low").when(F.col("score") >= 60, "medium").otherwise("high").alias("risk"))
 
@@ -184,7 +187,7 @@ def n04_driver_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT origin, dest, carrier, rn FROM (SELECT e.origin, e.dest, e.carrier, row_number() OVER (PARTITION BY e.origin, e.dest ORDER BY 10 * e.n + 5 * e.hits + o_n DESC, e.carrier) AS rn FROM e JOIN o ON o.origin = e.origin AND o.carrier = e.carrier) x WHERE rn <= 3""")
 def n08_recommended_carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three carriers per lane by their record on it, then near it."""
-    e = trips(spark, sf_dir).where("carrier is not null and origin is not null").groupBy("origin", "dest", "carrier").agg(_N.alias("n"), F.coalesce(F.sum("on_time"), F.lit(0)).alias("hits"))
+    e = trips(spark, sf_dir).where("carrier is not null and origin is not null").groupBy("origin", "dest", "carrier").agg(_n().alias("n"), F.coalesce(F.sum("on_time"), F.lit(0)).alias("hits"))
     scored = e.withColumn("o_n", F.sum("n").over(Window.partitionBy("origin", "carrier"))).withColumn("score", 10 * F.col("n") + 5 * F.col("hits") + F.col("o_n"))
     rn = F.row_number().over(Window.partitionBy("origin", "dest").orderBy(F.desc("score"), "carrier")).cast("long")
     return scored.withColumn("rn", rn).where("rn <= 3").select("origin", "dest", "carrier", "rn")
@@ -197,16 +200,16 @@ def n12_forecast_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = S.series("vehicle", *_ORDER)
     s = pings(spark, sf_dir).select(F.col("k").alias("y"), *[F.lag("k", i).over(w).alias(f"b{i}") for i in (1, 2, 3)]).where("b3 is not null")
     off = 7 * F.col("y") - (4 * F.col("b1") + 2 * F.col("b2") + F.col("b3"))
-    return s.agg(_N.alias("n"), F.sum(F.abs(off)).alias("abs7"), F.sum(off * off).alias("sq49"))
+    return s.agg(_n().alias("n"), F.sum(F.abs(off)).alias("abs7"), F.sum(off * off).alias("sq49"))
 
 
 @query(f"""WITH {PINGS_SQL}, d AS (SELECT vehicle % 10 AS lane, us // {DAY} AS day, count(*) AS y FROM pings GROUP BY ALL), m AS (SELECT lane, count(*) AS n, sum(day) AS sx, sum(y) AS sy, sum(day * y) AS sxy, sum(day * day) AS sxx, max(day) AS last FROM d GROUP BY lane)
 SELECT lane, CAST(floor(1000 * ((sy - CAST(n * sxy - sx * sy AS DOUBLE) / (n * sxx - sx * sx) * sx) / n + CAST(n * sxy - sx * sy AS DOUBLE) / (n * sxx - sx * sx) * (last + 1)) + 0.5) AS BIGINT) AS next_milli FROM m WHERE n >= 14""")
 def n05_demand_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tomorrow's demand per lane by least squares over its days, from sums that add up across partitions."""
-    d = pings(spark, sf_dir).groupBy((F.col("vehicle") % 10).alias("lane"), F.floor(F.col("us") / DAY).alias("day")).agg(_N.alias("y"))
+    d = pings(spark, sf_dir).groupBy((F.col("vehicle") % 10).alias("lane"), F.floor(F.col("us") / DAY).alias("day")).agg(_n().alias("y"))
     x, y = F.col("day"), F.col("y")
-    m = d.groupBy("lane").agg(_N.alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"), F.max(x).alias("last")).where("n >= 14")
+    m = d.groupBy("lane").agg(_n().alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"), F.max(x).alias("last")).where("n >= 14")
     slope = F.expr("cast(n * sxy - sx * sy as double) / (n * sxx - sx * sx)")
     return m.select("lane", F.floor(1000 * ((F.col("sy") - slope * F.col("sx")) / F.col("n") + slope * (F.col("last") + 1)) + 0.5).alias("next_milli"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import rates as R
@@ -11,18 +11,21 @@ from wayfold.operators import sequences as S
 from wayfold.plans.catalogue import query
 from wayfold.sources.tables import HOUR, PINGS_SQL, PLACED_SQL, STAYS_SQL, TRIPS_SQL, pings, placed, read, stays, trips
 
-_N = F.count(F.lit(1))
 _ORDER = ["us", "event_id"]
 _W = "OVER (PARTITION BY vehicle ORDER BY us, event_id)"
 _ROWS = "OVER (PARTITION BY vehicle ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 DAY = 24 * HOUR
 
 
+def _n() -> Column:
+    return F.count(F.lit(1))
+
+
 @query(f"""WITH {TRIPS_SQL}, f AS (SELECT carrier, status, sum(price) AS price, count(*) AS n FROM trips GROUP BY ALL) SELECT carrier, sum(n) AS trips, sum(price) AS price, count(*) AS parts FROM f GROUP BY carrier""", whole=("trips", "price"))
 def a15_reaggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rollup rolled up once more: only additive measures may be."""
-    part = trips(spark, sf_dir).groupBy("carrier", "status").agg(F.sum("price").alias("price"), _N.alias("n"))
-    return part.groupBy("carrier").agg(F.sum("n").alias("trips"), F.sum("price").alias("price"), _N.alias("parts"))
+    part = trips(spark, sf_dir).groupBy("carrier", "status").agg(F.sum("price").alias("price"), _n().alias("n"))
+    return part.groupBy("carrier").agg(F.sum("n").alias("trips"), F.sum("price").alias("price"), _n().alias("parts"))
 
 
 _SUMMARIES = {"customer": "customer", "carrier": "carrier", "lane": "CAST(origin AS VARCHAR) || '>' || CAST(dest AS VARCHAR)", "month": "strftime(booked, '%Y-%m')"}
@@ -36,7 +39,7 @@ def a16_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = {"customer": F.col("customer").cast("string"), "carrier": F.col("carrier").cast("string"), "lane": lane, "month": F.date_format("booked", "yyyy-MM")}
     # One pass: each trip is laid out once per kind and grouped together.
     wide = df.select("qty", "on_time", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in keys.items()])).alias("x"))
-    return wide.groupBy("x.kind", "x.key").agg(_N.alias("trips"), F.sum("qty").alias("qty"), F.count("on_time").alias("known")).select("kind", "key", "trips", "qty", "known")
+    return wide.groupBy("x.kind", "x.key").agg(_n().alias("trips"), F.sum("qty").alias("qty"), F.count("on_time").alias("known")).select("kind", "key", "trips", "qty", "known")
 
 
 @query(f"""WITH {PINGS_SQL}, g AS (SELECT vehicle % 10 AS lane, speed // 100 AS kmph, least(coalesce(us - lag(us) {_W}, 0), {6 * HOUR}) AS gap FROM pings), h AS (SELECT lane, kmph, CAST(sum(gap) AS BIGINT) AS w FROM g GROUP BY ALL), l AS (SELECT unnest([20, 40, 60]) AS lim)
@@ -60,18 +63,18 @@ def a23_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a30_capped_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A histogram up to the 95th percentile, and one bucket (-1) for what lies beyond."""
     df = pings(spark, sf_dir)
-    ranked = df.groupBy("speed").agg(_N.alias("n"))
+    ranked = df.groupBy("speed").agg(_n().alias("n"))
     order = Window.orderBy("speed")  # over distinct speeds only
     so_far = ranked.withColumns({"so_far": F.sum("n").over(order), "total": F.sum("n").over(Window.partitionBy())})
     cap = so_far.where(F.col("so_far") >= F.ceil(F.col("total") * F.lit(0.95))).agg(F.min("speed").alias("cap"))
     bin_ = F.when(F.col("speed") > F.col("cap"), -1).otherwise(F.floor(F.col("speed") / F.greatest(F.lit(1), F.floor(F.col("cap") / 20))))
-    return df.join(F.broadcast(cap), how="cross").groupBy(bin_.alias("bin")).agg(_N.alias("n"))
+    return df.join(F.broadcast(cap), how="cross").groupBy(bin_.alias("bin")).agg(_n().alias("n"))
 
 
 @query(f"""WITH {PINGS_SQL}, d AS (SELECT speed // 100 AS v, count(*) AS n FROM pings GROUP BY ALL) SELECT v, CAST(sum(n) OVER (ORDER BY v) AS BIGINT) AS at_most, sum(n) OVER (ORDER BY v) / CAST(sum(n) OVER () AS DOUBLE) AS share FROM d""")
 def a32_ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distribution function over bands; the unpartitioned window sees one row per band."""
-    d = pings(spark, sf_dir).groupBy(F.floor(F.col("speed") / 100).alias("v")).agg(_N.alias("n"))
+    d = pings(spark, sf_dir).groupBy(F.floor(F.col("speed") / 100).alias("v")).agg(_n().alias("n"))
     at_most = F.sum("n").over(Window.orderBy("v"))
     return d.select("v", at_most.alias("at_most"), (at_most / F.sum("n").over(Window.partitionBy()).cast("double")).alias("share"))
 
@@ -81,7 +84,7 @@ SELECT status, n, CAST(floor(1e6 * (n * xy - x * y) / sqrt(CAST(n * xx - x * x A
 def a34_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pearson over complete pairs from whole-number sums, in millionths."""
     x, y = F.col("days"), F.col("stops")
-    t = trips(spark, sf_dir).where("days is not null and stops is not null").groupBy("status").agg(_N.alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
+    t = trips(spark, sf_dir).where("days is not null and stops is not null").groupBy("status").agg(_n().alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
     r = F.expr("cast(n * xy - x * y as double) / sqrt(cast(n * xx - x * x as double) * cast(n * yy - y * y as double))")
     return t.where("n > 10").select("status", "n", F.floor(1e6 * r + 0.5).alias("corr_ppm"))
 
@@ -111,7 +114,7 @@ def a43_banded_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT origin, dest, coalesce(sum(n) FILTER (WHERE carrier = 1), 0) AS c1, coalesce(sum(n) FILTER (WHERE carrier = 2), 0) AS c2, coalesce(sum(n) FILTER (WHERE carrier = 3), 0) AS c3, coalesce(sum(n) FILTER (WHERE carrier = 4), 0) AS c4 FROM l JOIN s USING (origin, dest) GROUP BY ALL""", whole=("c1", "c2", "c3", "c4"))
 def a47_shared_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A matrix of lanes by picked carriers."""
-    l = trips(spark, sf_dir).where("carrier in (1, 2, 3, 4) and dest is not null").groupBy("origin", "dest").pivot("carrier", [1, 2, 3, 4]).agg(_N)
+    l = trips(spark, sf_dir).where("carrier in (1, 2, 3, 4) and dest is not null").groupBy("origin", "dest").pivot("carrier", [1, 2, 3, 4]).agg(_n())
     return l.select("origin", "dest", *[F.coalesce(str(c), F.lit(0)).alias(f"c{c}") for c in (1, 2, 3, 4)])
 
 
@@ -120,20 +123,20 @@ v AS (SELECT vehicle, CASE WHEN fixes < 5 THEN 'no_gps' WHEN span < {10 * DAY} T
 SELECT vehicle % 10 AS lane, count(*) FILTER (WHERE verdict = 'healthy') AS healthy, count(*) FILTER (WHERE verdict = 'stuck') AS stuck, count(*) FILTER (WHERE verdict = 'short') AS short, count(*) FILTER (WHERE verdict = 'no_gps') AS no_gps, 100.0 * count(*) FILTER (WHERE verdict = 'healthy') / count(*) AS score FROM v GROUP BY ALL""")
 def a50_gps_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict per series, then counts and a score per group."""
-    t = pings(spark, sf_dir).groupBy("vehicle").agg(_N.alias("fixes"), F.count_if("moving").alias("moving"), (F.max("us") - F.min("us")).alias("span"))
+    t = pings(spark, sf_dir).groupBy("vehicle").agg(_n().alias("fixes"), F.count_if("moving").alias("moving"), (F.max("us") - F.min("us")).alias("span"))
     verdict = F.when(F.col("fixes") < 5, "no_gps").when(F.col("span") < 10 * DAY, "short").when(F.col("moving") * 2 < F.col("fixes"), "stuck").otherwise("healthy")
     kinds = ["healthy", "stuck", "short", "no_gps"]
     out = t.withColumn("verdict", verdict).groupBy((F.col("vehicle") % 10).alias("lane"))
-    return out.agg(*[F.count_if(F.col("verdict") == k).alias(k) for k in kinds], (100.0 * F.count_if(F.col("verdict") == "healthy") / _N).alias("score"))
+    return out.agg(*[F.count_if(F.col("verdict") == k).alias(k) for k in kinds], (100.0 * F.count_if(F.col("verdict") == "healthy") / _n()).alias("score"))
 
 
 @query(f"""WITH {TRIPS_SQL}, b AS (SELECT dest, median(days) AS base FROM trips WHERE days IS NOT NULL GROUP BY dest HAVING count(*) >= 5) SELECT t.dest, count(*) AS near_base, array_to_string(list_sort(list(DISTINCT origin)), ',') AS origins FROM trips t JOIN b ON b.dest = t.dest WHERE days >= 0.9 * base GROUP BY t.dest""")
 def a51_baseline_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only trips that cover 90 % of their group's median, in groups large enough to have one."""
     df = trips(spark, sf_dir).where("days is not null and dest is not null")
-    base = df.groupBy("dest").agg(F.median("days").alias("base"), _N.alias("n")).where("n >= 5").drop("n")
+    base = df.groupBy("dest").agg(F.median("days").alias("base"), _n().alias("n")).where("n >= 5").drop("n")
     near = df.join(base, "dest").where(F.col("days") >= F.lit(0.9) * F.col("base"))
-    return near.groupBy("dest").agg(_N.alias("near_base"), F.array_join(F.array_sort(F.collect_set("origin")).cast("array<string>"), ",").alias("origins"))
+    return near.groupBy("dest").agg(_n().alias("near_base"), F.array_join(F.array_sort(F.collect_set("origin")).cast("array<string>"), ",").alias("origins"))
 
 
 @query(f"""WITH {TRIPS_SQL}, w AS (SELECT carrier, date_sub('minute', started, booked) AS a, date_sub('minute', booked, started) AS b FROM trips WHERE started IS NOT NULL)
@@ -142,7 +145,7 @@ def a53_detention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Waiting from booking to start; negative spans are counted apart and never averaged in."""
     w = trips(spark, sf_dir).where("started is not null").select("carrier", F.timestamp_diff("MINUTE", "booked", "started").alias("b"))
     late = F.when(F.col("b") > 0, F.col("b"))
-    return w.groupBy("carrier").agg(_N.alias("trips"), F.count(late).alias("waited"), F.count_if(F.col("b") <= 0).alias("negative"), F.median(late).alias("median_min"), F.max(late).alias("worst_min"))
+    return w.groupBy("carrier").agg(_n().alias("trips"), F.count(late).alias("waited"), F.count_if(F.col("b") <= 0).alias("negative"), F.median(late).alias("median_min"), F.max(late).alias("worst_min"))
 
 
 @query(f"""WITH {PINGS_SQL}, e AS (SELECT us // {DAY} AS day, count(*) FILTER (WHERE speed > 5000) AS fast, count(DISTINCT vehicle) AS vehicles FROM pings GROUP BY ALL)
@@ -168,7 +171,7 @@ SELECT f.site, coalesce(visits, 0) AS visits, coalesce(vehicles, 0) AS vehicles,
 def a60_site_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits and dwell per site, dwell over measured stays only, with sites that nobody visited."""
     closed = F.when(F.col("status") == "F", F.col("leave") - F.col("enter"))
-    v = stays(spark, sf_dir).where("site % 4 <> 0").groupBy("site").agg(_N.alias("visits"), F.countDistinct("vehicle").alias("vehicles"), F.count_if(F.col("status") == "O").alias("open"), F.median(closed).alias("dwell_us"), F.max(closed).alias("worst_us"))
+    v = stays(spark, sf_dir).where("site % 4 <> 0").groupBy("site").agg(_n().alias("visits"), F.countDistinct("vehicle").alias("vehicles"), F.count_if(F.col("status") == "O").alias("open"), F.median(closed).alias("dwell_us"), F.max(closed).alias("worst_us"))
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site")).join(v, "site", "left").na.fill(0, ["visits", "vehicles", "open"])
 
 
@@ -176,19 +179,19 @@ def a60_site_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a63_distinct_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of a fix count once."""
     d = pings(spark, sf_dir).select("vehicle", F.floor(F.col("us") / HOUR).alias("hour"), "event_type").distinct()
-    return d.groupBy(F.floor(F.col("hour") / 24).alias("day")).agg(_N.alias("fixes"), F.countDistinct("vehicle").alias("vehicles"))
+    return d.groupBy(F.floor(F.col("hour") / 24).alias("day")).agg(_n().alias("fixes"), F.countDistinct("vehicle").alias("vehicles"))
 
 
 @query(f"""WITH {STAYS_SQL}, o AS (SELECT part, site, min(vehicle) AS owner FROM stays GROUP BY ALL) SELECT owner, count(*) AS events FROM o GROUP BY owner""")
 def a64_event_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event counts for exactly one trip, the lowest."""
-    return stays(spark, sf_dir).groupBy("part", "site").agg(F.min("vehicle").alias("owner")).groupBy("owner").agg(_N.alias("events"))
+    return stays(spark, sf_dir).groupBy("part", "site").agg(F.min("vehicle").alias("owner")).groupBy("owner").agg(_n().alias("events"))
 
 
 @query(f"""WITH {STAYS_SQL}, o AS (SELECT site, vehicle, max(leave - enter) AS sample FROM stays GROUP BY ALL) SELECT site, count(*) AS samples, median(sample) AS median_us FROM o GROUP BY site""")
 def a65_once_per_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = stays(spark, sf_dir).groupBy("site", "vehicle").agg(F.max(F.col("leave") - F.col("enter")).alias("sample"))
-    return o.groupBy("site").agg(_N.alias("samples"), F.median("sample").alias("median_us"))
+    return o.groupBy("site").agg(_n().alias("samples"), F.median("sample").alias("median_us"))
 
 
 @query(f"""WITH {TRIPS_SQL}, g AS (SELECT priority AS grp, sum(CASE on_time WHEN 1 THEN qty WHEN 0 THEN -qty END) AS v, count(*) AS n FROM trips GROUP BY ALL), t AS (SELECT sum(abs(v)) AS total, count(*) AS groups FROM g)
@@ -196,8 +199,8 @@ SELECT grp, v, n, 100.0 * abs(v) / total AS share, groups FROM g, t ORDER BY abs
 def a66_drill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A headline by group, the twelve largest in size, with shares and the number of groups: a top-k report."""
     signed = F.when(F.col("on_time") == 1, F.col("qty")).when(F.col("on_time") == 0, -F.col("qty"))
-    g = trips(spark, sf_dir).groupBy(F.col("priority").alias("grp")).agg(F.sum(signed).alias("v"), _N.alias("n"))
-    t = g.agg(F.sum(F.abs("v")).alias("total"), _N.alias("groups"))
+    g = trips(spark, sf_dir).groupBy(F.col("priority").alias("grp")).agg(F.sum(signed).alias("v"), _n().alias("n"))
+    t = g.agg(F.sum(F.abs("v")).alias("total"), _n().alias("groups"))
     return g.join(F.broadcast(t), how="cross").select("grp", "v", "n", (100.0 * F.abs("v") / F.col("total")).alias("share"), "groups").orderBy(F.desc_nulls_last(F.abs("v")), "grp").limit(12)
 
 
@@ -225,7 +228,7 @@ def w16_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         rule((F.abs("d") > 3000) & (F.col("g") < 6 * HOUR), "harsh", 2),
     ]
     one = df.select("event_id", "vehicle", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("x"))
-    return one.groupBy("vehicle", "x.kind", "x.severity").agg(_N.alias("alerts"), F.min("event_id").alias("first_event")).select("vehicle", "kind", "severity", "alerts", "first_event")
+    return one.groupBy("vehicle", "x.kind", "x.severity").agg(_n().alias("alerts"), F.min("event_id").alias("first_event")).select("vehicle", "kind", "severity", "alerts", "first_event")
 
 
 @query(f"""WITH {PINGS_SQL}, n AS (SELECT *, max(us) OVER (PARTITION BY vehicle) AS newest, row_number() OVER (PARTITION BY vehicle ORDER BY us DESC, event_id DESC) AS rn FROM pings)
@@ -300,7 +303,7 @@ def j12_circle_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread = fences.withColumn("c", F.explode(around)).select("*", "c.cy", "c.cx").drop("c")
     df = placed(spark, sf_dir).withColumns({"cy": F.floor(F.col("lat") / size), "cx": F.floor(F.col("lon") / size)})
     d = F.pow(F.col("lat") - F.col("lat0"), 2) + F.pow(F.col("lon") - F.col("lon0"), 2)
-    return df.join(spread, ["cy", "cx"]).where(d <= 0.04).groupBy("fence").agg(_N.alias("fixes"), F.countDistinct("event_id").alias("events"))
+    return df.join(spread, ["cy", "cx"]).where(d <= 0.04).groupBy("fence").agg(_n().alias("fixes"), F.countDistinct("event_id").alias("events"))
 
 
 @query(f"""WITH {PINGS_SQL}, w AS (SELECT vehicle % 10 AS lane, us // {HOUR} AS hour, avg(k) AS k FROM pings WHERE event_type = 'signup' GROUP BY ALL) SELECT p.event_id, CASE WHEN w.k IS NULL THEN 'unknown' WHEN w.k > 60 THEN 'storm' WHEN w.k > 30 THEN 'rain' ELSE 'clear' END AS weather FROM pings p LEFT JOIN w ON w.lane = p.vehicle % 10 AND w.hour = p.us // {HOUR}""")
@@ -320,7 +323,7 @@ def m08_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     visits = df.where("event_id % 11 = 0").select("vehicle", F.col("us").alias("a"), (F.col("us") + DAY).alias("b"))
     fixes = df.select("vehicle", "us", (F.col("us") + 1).alias("us_end"), "speed", "event_id")
     held = I.overlap_join(visits, fixes, "vehicle", DAY, "a", "b", "us", "us_end")
-    return held.groupBy("vehicle", "a").agg(_N.alias("fixes"), F.count_if(F.col("speed") > 4000).alias("fast"), F.max_by("event_id", F.struct("speed", "event_id")).alias("worst"))
+    return held.groupBy("vehicle", "a").agg(_n().alias("fixes"), F.count_if(F.col("speed") > 4000).alias("fast"), F.max_by("event_id", F.struct("speed", "event_id")).alias("worst"))
 
 
 @query(f"""WITH {TRIPS_SQL}, c AS (SELECT trip, price, qty, days, price - 100000 * coalesce(stops, 0) AS variance FROM trips) SELECT trip, variance, CASE WHEN days IS NULL THEN 'unknown' WHEN variance < 0 THEN 'saved' WHEN variance > price // 2 THEN 'overrun' ELSE 'normal' END AS verdict FROM c""")
@@ -365,4 +368,4 @@ def f20_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g23_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = trips(spark, sf_dir)
     ends = df.select(F.explode(F.array("origin", "dest")).alias("node")).where("node is not null")
-    return ends.groupBy("node").agg(_N.alias("degree"))
+    return ends.groupBy("node").agg(_n().alias("degree"))
