@@ -35,7 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an equal or near line precedes are cut; documents of which no line is left go."""
     texts = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = line_dedup.repeated_lines(line_dedup.keyed_texts(docs), 5).withColumnsRenamed({"text_key": "__key", "doc_id": "__id"})
+    gone = line_dedup.repeated_lines(line_dedup.keyed_texts(docs), 1).withColumnsRenamed({"text_key": "__key", "doc_id": "__id"})
     joined = texts.join(gone, (F.col("text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     cut = joined.withColumn("__text", line_dedup.without_lines(F.col("text"), F.col("gone")))
     return _with_text(cut.where(F.col("gone").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]")), "__text")

@@ -146,6 +146,38 @@ def test_lines_of_documents(docs, texts):
     assert got == line_oracle(sorted(texts.items()), 5)
 
 
+def short_line_oracle(rows):
+    """Every line with a word takes part; an edit that leaves no word in common makes no lines near."""
+    lines = [(i, k, tuple(folded(line))) for i, text in rows for k, line in enumerate(text.split("\n"))]
+    own = sorted((x for x in lines if x[2]), key=lambda x: x[:2])
+    gone, first, opened, shorter = defaultdict(set), set(), set(), set()
+    for i, k, words in own:
+        less = {(len(words), at, words[:at] + words[at + 1 :]) for at in range(len(words))} if len(words) > 1 else set()
+        cut = {x[2] for x in less}
+        if words in first or less & opened or words in shorter or cut & first:
+            gone[i].add(k)
+        first.add(words)
+        opened |= less
+        shorter |= cut
+    return {i: "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone[i]) for i, text in rows}
+
+
+def test_lines_of_all_lengths(spark):
+    rng = random.Random(3)
+    short = [(i, "\n".join(" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 3) for _ in range(rng.randint(0, 6))) for _ in range(12))) for i in range(60)]
+    rows = short + [(900, "All rights reserved.\nfour words are here\nq1\nq2"), (901, "all  RIGHTS reserved.\nfour words are right here\nq1\n\nq3")]
+    got = {r.doc_id: r.kept_text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert got == short_line_oracle(rows)
+    assert got[901] == "\nq3"
+
+
+def test_line_query_has_no_least_length(spark, texts):
+    from wayfold.llm import queries
+
+    got = {r.doc_id: r.kept_sha256 for r in queries.op1_line_dedup(spark, SF).collect()}
+    assert got == {i: hashlib.sha256(text.encode()).hexdigest() for i, text in short_line_oracle(sorted(texts.items())).items()}
+
+
 def test_packing_is_whole_and_tight(docs, texts):
     from tokenizers import Tokenizer
 

@@ -1,8 +1,10 @@
 """Line dedup with a deletion-neighbourhood join.
 
 A line is the sequence of its words (A-Z in lower case, white space ignored). Two lines are near when one word
-inserted, deleted or replaced turns one into the other; equal lines are at distance 0. A line goes when an equal or near
-line stands earlier in the corpus, by (doc_id, line number). Lines of fewer than ``least_words`` words always stay.
+inserted, deleted or replaced turns one into the other and leaves a word in common (two lines of one word each are near
+only when equal); equal lines are at distance 0. A line goes when an equal or near line stands earlier in the corpus, by
+(doc_id, line number). Blank lines, and lines of fewer than ``least_words`` words, always stay; the registered queries
+set it to 1, so there only blank lines do.
 
 Distinct lines alone are joined. A pigeonhole filter first drops lines whose halves occur nowhere else: one edit leaves
 one half of a line as it is. The others emit all variants within the edit bound as hashed keys: the line itself and the
@@ -72,7 +74,7 @@ def _lines(least_words: int):
         for batch in pieces_of(batches, "text"):
             words, row, number, first = _lines_of(*utf8(batch.column(2)))
             count = np.diff(first)
-            own = np.flatnonzero(count >= least_words)
+            own = np.flatnonzero(count >= max(least_words, 1))
             a, n = first[:-1][own], count[own]
             b = a + n
             sums, inverse = _sums(words)
@@ -206,6 +208,8 @@ def _variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = np.concatenate([gap, _keyed(4, n, whole), _keyed(4, n[line] - 1, less)]).view(np.int64)
             role = np.repeat([0, 1, 2], [len(own), len(n), len(own)])
             row = at + np.concatenate([line, np.arange(len(n)), line])
+            some = (role == 1) | (n[row - at] > 1)  # without its one word a line has nothing in common with another
+            keys, role, row = keys[some], role[some], row[some]
             order = np.lexsort((rank[row], role, keys))
             keys, role, row = keys[order], role[order], row[order]
             same = np.zeros(len(keys), bool)

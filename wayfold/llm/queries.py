@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"), 1)
     return found.select("doc_id", "n_lines", "n_removed", F.length("kept_text").cast("long").alias("n_chars_kept"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
