@@ -80,6 +80,24 @@ def test_suffixes(spark, docs, texts, hot):
         assert got[i] == (len(raw), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
 
 
+def test_suffixes_across_blocks_of_a_long_text(spark):
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    block, long = suffix_dedup.BLOCK, letters(3 * suffix_dedup.BLOCK + 60_000)
+    rows = []
+    for i, edge in enumerate((block, 2 * block, 3 * block)):
+        for at, size in ((edge - 5000, 300), (edge - 1, 200), (edge, 200), (edge - 300 - 40 * i, 300), (edge + 5000, 250)):
+            rows.append((len(rows), "#" + long[at : at + size] + "%"))
+    rows.append((100, long))
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i, _ in rows[:-1]} == {i: (len(text) - 2, 1) for i, text in rows[:-1]}
+    gone = np.zeros(len(long), bool)
+    for _, text in rows[:-1]:
+        at = long.index(text[1:-1])
+        gone[at : at + len(text) - 2] = True
+    assert got[100] == (int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()))
+
+
 @pytest.mark.parametrize("percent,size", [(85, 4), (80, 5), (50, 2)])
 def test_ngram_components(spark, percent, size):
     rows = varied(percent) + [(900, "a b"), (901, "A  b"), (902, "a b c")]

@@ -140,11 +140,12 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         lead, key, place = (own.column(i).to_numpy() for i in (2, 4, 5))
         known = own.column(3).to_numpy(zero_copy_only=False)
-        order = np.lexsort((place, key, lead))
-        lead, key, place, known = lead[order], key[order], place[order], known[order]
+        low, high = (own.column(i).to_numpy() for i in (6, 7))
+        order = np.lexsort((high, low, place, key, lead))
+        lead, key, place, known, low, high = (x[order] for x in (lead, key, place, known, low, high))
         bound = np.concatenate([[True], lead[1:] != lead[:-1]])
         new = bound.copy()
-        new[1:] |= (key[1:] != key[:-1]) | (place[1:] != place[:-1])
+        new[1:] |= (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         group = np.cumsum(bound) - 1
         many = np.bincount(group, weights=new)
         some = np.bincount(group, weights=known)
@@ -222,10 +223,12 @@ def _settled(span: int):
         own = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         group, key, place, low, high = (own.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3, 4, 5))
         data, offs = utf8(own.column(6))
-        mark = np.lexsort((place, key, group))
+        # A text that several rows carry counts once; an anchor that two blocks of a long text share has strings in each.
+        facts = (high, low, place, key, group)
+        mark = np.lexsort(facts)
         fresh = np.ones(len(mark), bool)
-        fresh[1:] = (np.diff(group[mark]) != 0) | (np.diff(key[mark]) != 0) | (np.diff(place[mark]) != 0)
-        pick = np.sort(mark[fresh])  # a text that several rows carry counts once
+        fresh[1:] = np.any([np.diff(x[mark]) != 0 for x in facts], axis=0)
+        pick = np.sort(mark[fresh])
         group, key, place, low, high, start = (x[pick] for x in (group, key, place, low, high, offs[:-1]))
         right = _padded(data, start + high, span - low, -(-span // 8) * 8, 1)
         left = _padded(data, start + high - 1, high, -(-(span - LEAD) // 8) * 8, -1)
