@@ -196,6 +196,23 @@ def test_line_query_has_no_least_length(spark, texts):
     assert got == {i: hashlib.sha256(text.encode()).hexdigest() for i, text in short_line_oracle(sorted(texts.items())).items()}
 
 
+def test_packing_knows_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = list(enumerate(["a <|endoftext|> b", "x<|startoftext|>y", "A <|ENDOFTEXT|> b", "<|endoftext|>" * 300, "plain text", "<|endoftext|"]))
+    want = {i: np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4") for i, text in rows}
+    assert want[0].tolist() == [320, 49407, 321, 1]
+    got = defaultdict(list)
+    for r in packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), path).collect():
+        got[r.doc_id].append(r)
+    for i, ids in want.items():
+        pieces = sorted(got[i], key=lambda r: r.start)
+        assert sum(r.length for r in pieces) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in pieces)
+
+
 def test_packing_is_whole_and_tight(docs, texts):
     from tokenizers import Tokenizer
 

@@ -72,7 +72,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
-        self.tokenizer.encode_special_tokens = True
+        # Added tokens are found in the text before anything else is done to it, so texts that hold one go to the library whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.parts = _Memo(self._part)
         self.words = _Memo(self._word)
@@ -98,7 +99,7 @@ class WordTokenizer:
         return b"".join(map(parts.__getitem__, (_ASCII if low.isascii() else _LATIN).findall(low)))
 
     def encode(self, text: str) -> bytes:
-        return self.whole(text) if _ODD.search(text) else b"".join(map(self.words.__getitem__, text.split()))
+        return self.whole(text) if _ODD.search(text) or any(map(text.__contains__, self.added)) else b"".join(map(self.words.__getitem__, text.split()))
 
 
 _KEPT: dict[str, WordTokenizer] = {}
