@@ -7,8 +7,8 @@
    looks nearest; sets that link this way are joined to components. Then all pairs of different components are tried
    that share enough of their prefixes, and whose parity bitmaps do not differ in more bits than sets that link can
    differ in shingles; nothing that could join two components is left out.
-4. Tried pairs are verified against a prefix tree: the partners of a set are stored in a compressed trie in global
-   order, the traversal shares the overlap of common paths and leaves subtrees that cannot reach the threshold any more.
+4. Tried pairs are verified against a prefix tree: the partners of a set are stored in a compressed trie in order
+   of their hashes, the traversal shares the overlap of common paths and leaves subtrees that cannot reach the threshold any more.
 
 The frequency sketch covers all documents; it orders the sets and never decides a pair. Large posting groups are
 split in blocks, so no task takes more than two blocks of one.
@@ -287,7 +287,7 @@ def _cuts(i: np.ndarray, j: np.ndarray, most: int = 200_000) -> list[tuple[np.nd
 
 
 class PrefixTree:
-    """A compressed trie of sets in global order. A node is [segment, children by first token, ids that end here, least size below, most size below, depth at its start]."""
+    """A compressed trie of sets in order of their hashes. A node is [segment, children by first token, ids that end here, least size below, most size below, depth at its start]."""
 
     def __init__(self):
         self.root: list = [np.zeros(0, np.uint64), {}, [], 1 << 60, 0, 0]
