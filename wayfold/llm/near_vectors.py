@@ -69,7 +69,9 @@ def calibrate(dim: int, families: int, cosine: float, recall: float = RECALL, pa
     for trial in range(8):
         (cell_u, at_u), (cell_v, at_v) = _lists(u, trial, families), _lists(v, trial, families)
         hits += np.count_nonzero((cell_u == cell_v) & (np.abs(at_u - at_v) <= WINDOW))
-    p = max(hits / (8 * pairs), 1e-3)
+    p = hits / (8 * pairs)
+    if p < 1e-3:
+        raise ValueError(f"{families} families of directions are too many for vectors of {dim} components")
     trials = 8
     while 1 - (1 - p) ** trials - trials * p * (1 - p) ** (trials - 1) < recall:
         trials += 1
@@ -79,6 +81,7 @@ def calibrate(dim: int, families: int, cosine: float, recall: float = RECALL, pa
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = values.reshape(len(column), -1)
+    rows = rows / np.abs(rows).max(1, keepdims=True)  # so that no square overflows or vanishes
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
