@@ -1,9 +1,12 @@
 """Secret scans with a random forest that removes false positives, on DataFrame functions alone.
 
-Candidates are tokens with a run of at least ``SHORTEST`` characters of keys and hashes that holds a digit and a letter.
+Candidates are (a) runs of at least ``SHORTEST`` characters of keys and hashes that hold a digit and a letter, wherever
+they stand; (b) what begins as issued keys do, with or without a digit; (c) whatever follows a word such as "password"
+and a sign of assignment, in the same token or in the next one, of any length and with any characters.
 Each is described by its length, its make-up, the transitions between classes of characters, how much of it dictionary
 words cover, the path it stands under and the words beside it. A random forest (MLlib) trained on labelled findings
 decides. ``labelled_findings`` gives a deterministic labelled set; teams pass their own triaged findings instead.
+A secret of fewer characters than ``SHORTEST``, or without a digit, that nothing introduces is no candidate.
 
 Defined results: null text has no findings; null ids, sources and neighbours are allowed; repeated rows give repeated
 findings; an empty table gives an empty result; other columns are ignored.
@@ -17,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of the shortest candidate.
+#: Characters of the shortest candidate that nothing introduces.
 SHORTEST = 12
 _RUN = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}"
 #: A token with such a run and a digit in it: the cheap test that texts and tokens must pass first.
@@ -35,7 +38,15 @@ DECOYS = r"commit|sha|md5|hash|checksum|digest|uuid|guid|revision|build|order|in
 FAKE_PATHS = r"test|example|sample|fixture|mock|docs?/|demo"
 #: Fixed beginnings of issued keys.
 ISSUED = r"^(AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|sk-|AIza|glpat-|npm_)"
-FEATURES = ("length", "digits", "uppers", "hex", "transitions", "distinct", "covered", "slashes", "issued", "hint", "decoy", "fake_path", "neighbour_digits")
+_ISSUED_RUN = r"((?<![A-Za-z0-9_-])(?:AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|sk-|AIza|glpat-|npm_)[A-Za-z0-9_-]{8,})"
+#: A hint and a sign of assignment: before the value in its own token, and at the end of the two tokens before it.
+_INLINE = rf"(?i)(?:{HINTS})[\w.-]*[\"']?(?:[:=]+>?)[\"']?([^\s:=>\"'].*)$"
+_LEADING = rf"(?i)(?:{HINTS})[\w.-]*[\"']?\s?(?:[:=]+>?|is)[\"']?$|(?i)bearer$"
+_EDGES = r"^[\"'(\[]+|[\"'][^A-Za-z0-9]*$|[\"',;.)\]]+$"
+FEATURES = (
+    "length", "digits", "uppers", "hex", "transitions", "case_changes", "digit_changes", "distinct", "covered", "slashes",
+    "symbols", "lower_only", "issued", "hint", "decoy", "assigned", "fake_path", "neighbour_digits",
+)
 
 
 def described(found: DataFrame) -> DataFrame:
@@ -53,27 +64,36 @@ def described(found: DataFrame) -> DataFrame:
             "uppers": F.length(F.regexp_replace("value", "[^A-Z]", "")) / size,
             "hex": flag(F.col("value").rlike("^[0-9a-f]+$")),
             "transitions": (F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1) / size,
+            "case_changes": F.regexp_count(kinds, F.lit("a(?=A)|A(?=a)")) / size,
+            "digit_changes": F.regexp_count(kinds, F.lit("[aA](?=0)|0(?=[aA])")) / size,
+            "symbols": F.length(F.regexp_replace("value", "[A-Za-z0-9]", "")) / size,
+            "lower_only": flag(F.col("value").rlike(r"^\p{Lu}?\p{Ll}+$")),
             "distinct": F.size(F.array_distinct(F.split("value", ""))) / size,
             "covered": 1 - F.length(F.regexp_replace(low, words, "")) / size,
             "slashes": F.length(F.regexp_replace("value", "[^/]", "")).cast("double"),
             "issued": flag(F.col("value").rlike(ISSUED)),
             "hint": flag(before.rlike(HINTS)),
             "decoy": flag(before.rlike(DECOYS)),
+            "assigned": flag(before.rlike(_LEADING)),
             "fake_path": flag(F.coalesce(F.lower("path"), F.lit("")).rlike(FAKE_PATHS)),
             "neighbour_digits": flag(F.concat(before, F.lit(" "), F.coalesce("after", F.lit(""))).rlike("[0-9]")),
         }
     )
 
 
-def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 8_000) -> DataFrame:
     """A labelled set made by rule: value, before, after, path, label. Positives are keys and passwords as they are issued, negatives look like them."""
     i = F.col("id")
-    kind = i % 12
+    kind = i % 20
     md5, sha = F.md5(i.cast("string")), F.sha2(F.concat(F.lit("s"), i.cast("string")), 256)
     upper = F.upper(F.translate(F.substring(F.base64(F.unhex(sha)), 1, 24), "+/=abcdefghij", "XYZ2345672345"))
     mixed = F.substring(F.translate(F.base64(F.unhex(sha)), "+/=", "abc"), 1, 36)
     pick = lambda *options: F.get(F.array(*[F.lit(x) for x in options]), (F.pmod(F.xxhash64("id"), F.lit(len(options)))).cast("int"))
     word = pick("the of", "der und", "de la", "que los", "is and", "en un", "to a")
+    short = F.substring(mixed, 1, 5 + (F.pmod(F.xxhash64("id"), F.lit(7))).cast("int"))
+    spelt = F.translate(F.substring(sha, 1, 32), "0123456789", "ghijklmnop")
+    made_up = F.translate(F.substring(md5, 1, 3 + (F.pmod(F.hash("id"), F.lit(9))).cast("int")), "0123456789", "eiouaenrst")
+    sign = pick("!", "#", "$", "&", "@", "%", "*")
     value = (
         F.when(kind == 0, F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)))
         .when(kind == 1, F.substring(md5, 1, 18))
@@ -86,10 +106,18 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
         .when(kind == 8, F.concat(pick("your-api-key-here-", "example-token-", "changeme-password-"), F.substring(md5, 1, 2)))
         .when(kind == 9, F.concat(pick("article/2024/page-", "images/file_name_", "release-version-"), (i % 97).cast("string")))
         .when(kind == 10, md5)
+        .when(kind == 12, F.concat(short, sign, F.substring(mixed, 20, 3)))
+        .when(kind == 13, F.when(i % 3 == 0, F.upper(spelt)).otherwise(spelt))
+        .when(kind == 14, F.concat(F.lit("AKIA"), F.translate(F.substring(upper, 1, 16), "0123456789", "KLMNOPQRST")))
+        .when(kind == 15, F.concat(pick("hunter", "dragon", "Tr0ub", "P@ss", "monkey", "Sommer"), (i % 97).cast("string"), sign, pick("correct", "horse", "w0rd", "dor", "x")))
+        .when(kind == 16, F.when(F.floor(i / 20) % 2 == 0, F.concat(pick("hunter", "secure", "Winter", "admin", "qwertz"), (i % 997).cast("string"), F.upper(F.substring(md5, 1, 1)))).otherwise(F.translate(F.substring(md5, 1, 8), "abcdef", "123456")))
+        .when(kind == 17, pick("required", "optional", "none", "true", "false", "null", "expired", "missing", "invalid", "string", "hidden", "empty", "correct", "wrong", "needed", "stored", "secret", "not"))
+        .when(kind == 18, F.when(i % 3 == 0, F.initcap(made_up)).otherwise(made_up))
+        .when(kind == 19, pick("<password>", "<your-token>", "${TOKEN}", "$PASSWORD", "xxxxxxxx", "********", "YOUR_API_KEY", "/etc/app/token.txt", "https://example.com/login", "{{secret}}", "...", "os.environ"))
         .otherwise(F.concat(F.lit("AKIA"), pick("EXAMPLE", "SAMPLE", "DUMMY"), F.lit("KEY00000")))
     )
     before = (
-        F.when(kind == 0, F.when(i % 5 == 0, F.lit("aws_access_key_id =")).otherwise(word))
+        F.when(kind == 0, F.when(F.floor(i / 20) % 5 == 0, F.lit("aws_access_key_id =")).otherwise(word))
         .when(kind == 1, F.concat(word, F.lit(" password=")))
         .when(kind == 2, F.concat(word, F.lit(" token =")))
         .when(kind == 3, word)
@@ -98,10 +126,12 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
         .when(kind == 6, F.concat(word, pick(" commit", " sha1", " digest of", " revision")))
         .when(kind == 7, F.concat(word, pick(" uuid", " guid =", " order", "")))
         .when(kind == 10, F.concat(word, pick(" md5", " checksum:", " etag", " hash")))
+        .when(kind == 14, F.when(F.floor(i / 20) % 5 == 0, F.lit("aws_access_key_id =")).otherwise(word))
+        .when((kind == 12) | (kind == 13) | (kind >= 15), F.concat(word, pick(" password=", " password:", " secret:", " token =", " pwd:", " auth:", " passwd =", " api_key=", " password is")))
         .otherwise(F.concat(word, pick(" token =", "", " password:")))
     )
     path = F.when((kind == 11) | (i % 29 == 0), pick("src/test/data", "docs/example", "fixtures/mock")).otherwise(F.concat(F.lit("src"), (i % 20).cast("string")))
-    return spark.range(n).select(value.alias("value"), before.alias("before"), word.alias("after"), path.alias("path"), (kind < 6).cast("double").alias("label"))
+    return spark.range(n).select(value.alias("value"), before.alias("before"), word.alias("after"), path.alias("path"), ((kind < 6) | kind.between(12, 16)).cast("double").alias("label"))
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
@@ -114,8 +144,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, text_key, token_no, value, before, after, path): every candidate of every whole text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), text.alias("text"))
-    cut = plain.where(F.col("text").rlike(_MAYBE)).select("doc_id", "path", F.xxhash64("text").alias("text_key"), F.split("text", r"\s+").alias("tokens"))
-    places = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i).rlike(_MAYBE))
+    some = F.col("text").rlike(_MAYBE) | F.col("text").rlike(f"(?i){HINTS}") | F.col("text").rlike(_ISSUED_RUN)
+    cut = plain.where(some).select("doc_id", "path", F.xxhash64("text").alias("text_key"), F.split("text", r"\s+").alias("tokens"))
+    before = lambda i: F.array_join(F.slice("tokens", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), " ")
+    led = lambda i: (F.get("tokens", i - 1).rlike(r"[:=>\"']$|(?i)^is$|bearer$")) & before(i).rlike(_LEADING)
+    held = lambda token: token.rlike(_MAYBE) | token.rlike(_ISSUED_RUN) | token.rlike(_INLINE)
+    places = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: held(F.get("tokens", i)) | ((i > 0) & led(i)))
     # One row per candidate carries the few tokens around it, not the text.
     around = F.transform(
         places,
@@ -124,12 +158,18 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.get("tokens", i).alias("token"),
             F.array_join(F.slice("tokens", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ").alias("before"),
             F.get("tokens", i + 1).alias("after"),
+            F.when((i > 0) & led(i), F.get("tokens", i)).otherwise(F.regexp_extract(F.get("tokens", i), _INLINE, 1)).alias("given"),
         ),
     )
     one = cut.select("doc_id", "path", "text_key", F.explode(around).alias("x")).select("doc_id", "path", "text_key", "x.*")
-    one = one.withColumn("value", F.explode(F.regexp_extract_all("token", F.lit(f"({_RUN})"), F.lit(1))))
+    one = one.withColumn("given", F.nullif(F.regexp_replace("given", _EDGES, ""), F.lit("")))
+    runs = F.filter(F.regexp_extract_all("token", F.lit(f"({_RUN})"), F.lit(1)), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
+    runs = F.concat(runs, F.regexp_extract_all("token", F.lit(_ISSUED_RUN), F.lit(1)))
+    # What a longer value holds is part of it.
+    apart = F.filter(runs, lambda v: F.col("given").isNull() | ~F.contains(F.col("given"), v))
+    one = one.withColumn("value", F.explode(F.array_distinct(F.concat(apart, F.array_compact(F.array("given"))))))
     head = F.expr("substring_index(token, value, 1)")
-    return one.where(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")).select(
+    return one.select(
         "doc_id", "text_key", "token_no", "value", F.concat_ws(" ", "before", head).alias("before"), "after", "path"
     )
 
@@ -144,9 +184,10 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
 
 def redact(docs: DataFrame, text: Column, secrets: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with the secrets cut out of ``text``. ``secrets`` has (text_key, values); texts that are equal share them."""
-    joined = docs.withColumn("__key", F.xxhash64(F.coalesce(text, F.lit("")))).join(secrets.withColumnRenamed("text_key", "__key"), "__key", "left")
-    cut = F.aggregate("values", text, lambda acc, value: F.replace(acc, value, F.lit(mark)))
-    return joined.withColumn("__text", F.when(F.col("values").isNull(), text).otherwise(cut)).drop("__key", "values")
+    found = secrets.select(F.col("text_key").alias("__key"), F.col("values").alias("__values"))
+    joined = docs.withColumn("__key", F.xxhash64(F.coalesce(text, F.lit("")))).join(found, "__key", "left")
+    cut = F.aggregate("__values", text, lambda acc, value: F.replace(acc, value, F.lit(mark)))
+    return joined.withColumn("__text", F.when(F.col("__values").isNull(), text).otherwise(cut)).drop("__key", "__values")
 
 
 def secrets_by_text(found: DataFrame) -> DataFrame:
