@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a fresh local folder is set.
+    Where a session on one machine (tests) names none, a fresh local folder is set; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="wayfold-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -78,6 +83,30 @@ def pieces_of(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes:
             at = to
 
 
+Batches = Iterable[pa.RecordBatch]
+
+
+def slim(function: Callable[[Batches], Iterator[pa.RecordBatch]]) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """``function`` over the batches of a task, after which the memory it left free goes back to the system.
+
+    Workers are reused, and an executor's limit counts what an idle one still holds.
+    """
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over an array of uint64."""
     h = h ^ (h >> np.uint64(33))

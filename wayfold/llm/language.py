@@ -6,6 +6,12 @@ language declares which markup language, how often it stands under which address
 publishes. Host priors are smoothed towards their suffix, suffixes towards the whole corpus, so rare hosts borrow from
 what lies above them. The posterior adds up the logarithms.
 
+Every declared language is learnt, however few rows declare it; rare ones lean on the smoothed priors. A declaration
+counts by its primary subtag (``pt-BR`` is ``pt``) if that has 2 to 8 letters. Beside the posterior, which only compares
+the learnt languages, a text must fit: its best language must make it likelier than evenly spread trigrams would, by
+``LIFT`` nats a trigram; only texts that miss this by more than ``MISFIT`` nats in all, so no short ones, are rejected.
+Those are noise and scripts that no language was learnt for.
+
 Defined results: null or letterless text has no language (``und``) and is rejected; null declarations, suffixes and
 hosts are values of their own ("absent"); a null id is kept; repeated rows are judged alike; an empty table gives an
 empty result; other columns are ignored. Without any declared language there is nothing to learn from: all is ``und``.
@@ -20,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import pieces_of, stage, utf8
+from wayfold.llm.common import pieces_of, slim, stage, utf8
 
-#: Hashed trigrams; languages that are told apart, at most; share of the rows that a declared language needs.
-BUCKETS, LANGUAGES, SHARE = 1 << 14, 64, 0.002
+#: Hashed trigrams; nats that a trigram must gain over evenly spread ones, and that a text may lack; bytes of a model.
+BUCKETS, LIFT, MISFIT, MODEL = 1 << 14, 0.5, 20.0, 512 << 20
 #: Weight of the text evidence of one trigram (trigrams overlap), and pseudo-counts of the smoothing.
 TRIGRAM_WEIGHT, PULL, DOUBT = 0.35, 20.0, 1.0
 _FOLD = np.full(256, 32, np.uint8)
@@ -72,9 +78,10 @@ def _read(shared, weight: float):
             bucket, row, letters = _trigrams(*utf8(batch.column(batch.schema.get_field_index("text"))))
             score = np.stack([np.bincount(row, weights=own[bucket], minlength=batch.num_rows) for own in model], 1) * weight
             listed = pa.FixedSizeListArray.from_arrays(pa.array(score.ravel()), len(model)).cast(pa.list_(pa.float64()))
+            many = np.bincount(row, minlength=batch.num_rows)
             keys = [c for c, name in zip(batch.columns, batch.schema.names) if name != "text"]
             names = [name for name in batch.schema.names if name != "text"]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(letters.astype(np.int64)), listed], names=[*names, "letters", "heard"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(letters.astype(np.int64)), pa.array(many.astype(np.int64)), listed], names=[*names, "letters", "trigrams", "heard"])
 
     return run
 
@@ -106,30 +113,34 @@ def _added(a: Column, b: Column) -> Column:
 def identify(rows: DataFrame, accepted: list[str] | None = None, least_posterior: float = 0.5) -> DataFrame:
     """``rows`` has the columns id, text, declared, suffix, host.
 
-    Gives id, lang, posterior, declared, letters, kept: kept rows have letters, reach ``least_posterior`` and speak an
-    accepted language (null: any that was learnt).
+    Gives id, lang, posterior, declared, letters, fit, kept: kept rows have letters, reach ``least_posterior``, fit their
+    language and speak an accepted one (null: any that was learnt). ``fit`` is in nats per trigram, above evenly spread
+    trigrams.
     """
     plain = rows.select(
         F.col("id").cast("long").alias("id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        *[F.coalesce(F.lower(F.substring(F.trim(c), 1, 255)), F.lit("absent")).alias(c) for c in ("declared", "suffix", "host")],
+        F.coalesce(F.lower(F.regexp_extract(F.trim("declared"), "^([^-_]*)", 1)), F.lit("absent")).alias("declared"),
+        *[F.coalesce(F.lower(F.trim(c)), F.lit("absent")).alias(c) for c in ("suffix", "host")],
     )
-    declared = plain.groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
-    total = declared.agg(F.sum("n")).first()[0] or 0
-    common = declared.where((F.col("n") >= max(1, SHARE * total)) & ~F.col("declared").isin("absent", "und", "")).orderBy(F.desc("n"), "declared").limit(LANGUAGES)
-    languages = sorted(x["declared"] for x in common.collect())
+    tags = plain.where(F.col("declared").rlike("^[a-z]{2,8}$") & ~F.col("declared").isin("absent", "und")).select("declared").distinct()
+    most = MODEL // (4 * BUCKETS)
+    languages = sorted(x["declared"] for x in tags.limit(most + 1).collect())
+    if len(languages) > most:
+        raise ValueError(f"more than {most} languages are declared: map the declarations to language tags first")
     if not languages:
-        return plain.select("id", F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), "declared", F.lit(0).cast("long").alias("letters"), F.lit(False).alias("kept"))
+        none = (F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), "declared", F.lit(0).cast("long").alias("letters"), F.lit(0.0).alias("fit"), F.lit(False).alias("kept"))
+        return plain.select("id", *none)
     k = len(languages)
 
-    partial = plain.select("declared", "text").mapInArrow(_counts(languages), "lang int, bucket int, n long")
-    counted = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # LANGUAGES x BUCKETS rows at most
+    partial = plain.select("declared", "text").mapInArrow(slim(_counts(languages)), "lang int, bucket int, n long")
+    counted = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
     model = np.full((k, BUCKETS), 0.5)
     model[counted["lang"].to_numpy(int), counted["bucket"].to_numpy(int)] += counted["n"].to_numpy(float)
-    shared = rows.sparkSession.sparkContext.broadcast(np.log(model / model.sum(1, keepdims=True)))
+    shared = rows.sparkSession.sparkContext.broadcast(np.log(model / model.sum(1, keepdims=True)).astype(np.float32))
 
-    schema = "id long, declared string, suffix string, host string, letters long, heard array<double>"
-    read = plain.select("id", "declared", "suffix", "host", "text").mapInArrow(_read(shared, TRIGRAM_WEIGHT), schema)
+    schema = "id long, declared string, suffix string, host string, letters long, trigrams long, heard array<double>"
+    read = plain.select("id", "declared", "suffix", "host", "text").mapInArrow(slim(_read(shared, TRIGRAM_WEIGHT)), schema)
     read = stage(read.withColumn("first", _best("heard", languages)), "language-read")
 
     # The corpus, then suffixes pulled towards it, then hosts pulled towards their suffix.
@@ -150,7 +161,8 @@ def identify(rows: DataFrame, accepted: list[str] | None = None, least_posterior
     none = F.array(*[F.lit(0.0)] * k)
     fused = read.join(hosts, "host", "left").join(declares, "declared", "left").join(stands, "suffix", "left")
     total_score = _added(_added(F.col("heard"), _log(F.coalesce("host_prior", flat))), _added(F.coalesce("says", none), F.coalesce("stands", none)))
-    scored = fused.select("id", "declared", "letters", total_score.alias("score")).withColumn("top", F.array_max("score")).withColumn("at", _best("score", languages))
+    fit = F.array_max("heard") / TRIGRAM_WEIGHT + F.col("trigrams") * float(np.log(BUCKETS))
+    scored = fused.select("id", "declared", "letters", "trigrams", fit.alias("fit"), total_score.alias("score")).withColumn("top", F.array_max("score")).withColumn("at", _best("score", languages))
     sum_exp = F.aggregate(F.transform("score", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, b: a + b)
     named = F.array(*[F.lit(x) for x in languages])
     spoken = F.col("letters") > 0
@@ -160,9 +172,11 @@ def identify(rows: DataFrame, accepted: list[str] | None = None, least_posterior
         F.when(spoken, 1 / sum_exp).otherwise(0.0).alias("posterior"),
         "declared",
         "letters",
+        (F.col("fit") / F.greatest("trigrams", F.lit(1))).alias("fit"),
+        (F.col("fit") - LIFT * F.col("trigrams") >= -MISFIT).alias("likely"),
     )
-    fits = F.col("lang").isin(accepted) if accepted is not None else F.lit(True)
-    return out.withColumn("kept", (F.col("letters") > 0) & (F.col("posterior") >= least_posterior) & fits)
+    wanted = F.col("lang").isin(accepted) if accepted is not None else F.lit(True)
+    return out.withColumn("kept", (F.col("letters") > 0) & (F.col("posterior") >= least_posterior) & F.col("likely") & wanted).drop("likely")
 
 
 def _smoothed(counts: str, prior: Column) -> Column:
@@ -190,10 +204,10 @@ def pages_evidence(pages: DataFrame) -> DataFrame:
 
 
 def language_of_documents(docs: DataFrame, accepted: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, lang, posterior, declared, letters, kept."""
+    """One row per document: doc_id, lang, posterior, declared, letters, fit, kept."""
     return identify(documents_evidence(docs), accepted).withColumnRenamed("id", "doc_id")
 
 
 def language_of_pages(pages: DataFrame, accepted: list[str] | None = None) -> DataFrame:
-    """One row per page: page_id, lang, posterior, declared, letters, kept."""
+    """One row per page: page_id, lang, posterior, declared, letters, fit, kept."""
     return identify(pages_evidence(pages), accepted).withColumnRenamed("id", "page_id")
