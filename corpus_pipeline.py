@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; all but the
 last return the columns of documents. ``run`` writes each stage as Parquet in the shared folder and reads it again.
+
+Defined results of every stage: null and empty texts are texts without words: language identification rejects them, the
+later stages would keep them and packing gives them the end id alone; a null id is kept, and rows that share an id are
+judged together by language and by their texts elsewhere; a repeated row is a copy, of which the near-duplicate stage
+keeps those of the smallest id; texts of any length are taken whole; an empty table gives an empty table; columns other
+than those of documents are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +30,14 @@ def _with_text(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", F.col(text).alias("text"), "lang", "source", F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_chars"))
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents alone, so that no other column can clash."""
+    return docs.select("doc_id", "text", "lang", "source", "n_chars")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the language found takes the place of the one declared. Rows that share an id stand or fall together."""
+    docs = _documents(docs)
     found = language.language_of_documents(docs).where("kept")
     one = found.groupBy("doc_id").agg(F.min("lang").alias("found")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(one, F.col("doc_id").eqNullSafe(F.col("__id")))
@@ -34,6 +46,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an equal or near line precedes are cut; documents of which no line is left go."""
+    docs = _documents(docs)
     texts = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     gone = line_dedup.repeated_lines(line_dedup.keyed_texts(docs), 1).withColumnsRenamed({"text_key": "__key", "doc_id": "__id"})
     joined = texts.join(gone, (F.col("text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
@@ -43,6 +56,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
+    docs = _documents(docs)
     found = ngram_join.ngram_join(docs, SHINGLE, PERCENT)
     kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
@@ -50,11 +64,13 @@ def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; the documents stay."""
+    docs = _documents(docs)
     found = secrets.secrets_by_text(secrets.scan(docs))
     return _with_text(secrets.redact(docs, F.col("text"), found), "__text")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its sequence and its place there."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
