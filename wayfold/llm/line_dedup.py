@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import id_text, mix64, pieces_of, stage, utf8
+from wayfold.llm.common import id_text, mix64, pieces_of, slim, stage, utf8
 from wayfold.llm.shingles import word_hashes
 
-#: Ids that may be broadcast to fetch texts; beyond it the fetch is a shuffled join.
-FEW = 1_000_000
+#: Bytes of ids and line numbers that may be broadcast to fetch texts; beyond it the fetch is a shuffled join.
+SMALL = 8 << 20
+#: A line with more occurrences than this, and than one in ``SHARE`` of all, is salted; at most ``SHARE`` lines are.
+OFTEN, SHARE = 1_000, 200_000
 _MUL = 0x9E3779B97F4A7C15
 _LINES = "text_key long, doc_id long, line_no int, line long, halves array<long>"
 _DISTINCT = "line long, n long, text_key long, doc_id long, line_no int, halves array<long>"
@@ -93,6 +95,17 @@ def _lines(least_words: int):
     return run
 
 
+def _distinct_lines(least_words: int):
+    """The earliest occurrence of each line within a task. Both steps run in one worker. Columns as in ``_DISTINCT``."""
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _lines(least_words)(batches):
+            text_key, doc_id, line_no, line, halves = batch.columns
+            yield pa.RecordBatch.from_arrays([line, pa.array(np.ones(batch.num_rows, np.int64)), text_key, doc_id, line_no, halves], names=_names(_DISTINCT))
+
+    return lambda batches: _first_lines(counted(batches))
+
+
 def _chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of the wanted lines. Columns: text_key, doc_id, text, wanted (line_no, line)."""
     for batch in pieces_of(batches, "text"):
@@ -276,15 +289,16 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_lines(texts: DataFrame, distinct: DataFrame) -> DataFrame:
     """(line): the lines that a near line precedes. ``distinct`` has line, text_key, doc_id, line_no, halves."""
-    halves = distinct.select("line", "halves").mapInArrow(_half_keys, "spread long, half long, line long, known boolean, later boolean")
-    maybe = halves.repartition("spread").mapInArrow(_shared_halves, "line long").distinct()
+    halves = distinct.select("line", "halves").mapInArrow(slim(_half_keys), "spread long, half long, line long, known boolean, later boolean")
+    maybe = halves.repartition("spread").mapInArrow(slim(_shared_halves), "line long").distinct()
     wanted = distinct.join(maybe, "line").groupBy("text_key", "doc_id").agg(F.collect_list(F.struct("line_no", "line")).alias("wanted"))
     wanted = stage(wanted, "lines-wanted")
-    few = wanted.count() <= FEW // 8
+    size = wanted.agg(F.sum(F.size("wanted") * 16 + 32)).first()[0] or 0
+    few = size <= SMALL
     keyed = wanted.withColumnRenamed("text_key", "k").withColumnRenamed("doc_id", "d")
     asked = texts.join(F.broadcast(keyed) if few else keyed, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text_key", "doc_id", "text", "wanted")
-    chosen = stage(asked.mapInArrow(_chosen, "line long, doc_id long, line_no int, tokens binary").dropDuplicates(["line"]), "lines-chosen")
-    pairs = chosen.mapInArrow(_variants, _VARIANTS).repartition("key").mapInArrow(_matched, "line long, other long").distinct()
+    chosen = stage(asked.mapInArrow(slim(_chosen), "line long, doc_id long, line_no int, tokens binary").dropDuplicates(["line"]), "lines-chosen")
+    pairs = chosen.mapInArrow(slim(_variants), _VARIANTS).repartition("key").mapInArrow(slim(_matched), "line long, other long").distinct()
     tokens = chosen.select("line", F.col("tokens").alias("a")), chosen.select(F.col("line").alias("other"), F.col("tokens").alias("b"))
     tried = pairs.join(tokens[0], "line").join(tokens[1], "other").select("line", "other", "a", "b")
     return tried.mapInArrow(_verify, "line long, other long").select("line").distinct()
@@ -292,15 +306,23 @@ def near_lines(texts: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def repeated_lines(texts: DataFrame, least_words: int) -> DataFrame:
     """(text_key, doc_id, gone): the numbers of the lines that go, for each document that loses some. ``texts``: text_key, doc_id, text."""
-    lines = texts.select("text_key", "doc_id", "text").mapInArrow(_lines(least_words), _LINES)
-    counted = lines.select("line", F.lit(1).cast("long").alias("n"), "text_key", "doc_id", "line_no", "halves")
-    distinct = stage(counted.mapInArrow(_first_lines, _DISTINCT).repartition("line").mapInArrow(_first_lines_of_all, _DISTINCT), "lines-distinct")
+    whole = texts.select("text_key", "doc_id", "text")
+    distinct = whole.mapInArrow(slim(_distinct_lines(least_words)), _DISTINCT).repartition("line").mapInArrow(slim(_first_lines_of_all), _DISTINCT)
+    distinct = stage(distinct, "lines-distinct")
     near = near_lines(texts, distinct).withColumn("near", F.lit(True))
     facts = distinct.select("line", "n", F.struct(F.col("text_key").alias("k"), F.col("doc_id").alias("d"), F.col("line_no").alias("l")).alias("first"))
     facts = facts.join(near, "line", "left").where("n > 1 or near")
     # The first occurrence stays unless a near line precedes it; repeated rows are the same occurrence.
     own = F.col("text_key").eqNullSafe(F.col("first.k")) & F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("line_no") == F.col("first.l"))
-    gone = lines.select("line", "text_key", "doc_id", "line_no").join(facts, "line").where(F.coalesce("near", F.lit(False)) | ~own)
+    # A line that stands everywhere goes to as many tasks as it needs.
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    often = max(OFTEN, total // SHARE)
+    hot = stage(facts.where(F.col("n") > often).select("line", F.ceil(F.col("n") / often).alias("salts")), "lines-hot")
+    lines = whole.mapInArrow(slim(_lines(least_words)), _LINES).select("line", "text_key", "doc_id", "line_no")
+    salt = F.pmod(F.xxhash64("text_key", "line_no"), F.coalesce("salts", F.lit(1).cast("long")))
+    dealt = lines.join(F.broadcast(hot), "line", "left").select("line", salt.alias("salt"), "text_key", "doc_id", "line_no")
+    salts = F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > often, F.ceil(F.col("n") / often) - 1).otherwise(F.lit(0).cast("long")))
+    gone = dealt.join(facts.withColumn("salt", F.explode(salts)), ["line", "salt"]).where(F.coalesce("near", F.lit(False)) | ~own)
     return gone.groupBy("text_key", "doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
 
 
