@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import id_text, mix64, pieces_of, stage, utf8
+from wayfold.llm.common import id_text, mix64, pieces_of, slim, stage, utf8
 from wayfold.llm.graph import connected_components
 from wayfold.llm.shingles import set_mark, shingles
 
@@ -85,7 +85,7 @@ def frequency_sketch(texts: DataFrame, size: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["slice", "packed"])
 
     schema, out = "slice int, packed binary", np.zeros(SKETCH, np.uint8)
-    for row in texts.mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).toLocalIterator():  # SKETCH bytes in all
+    for row in texts.mapInArrow(slim(count), schema).repartition("slice").mapInArrow(add, schema).toLocalIterator():  # SKETCH bytes in all
         out[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(row["packed"]), np.uint8)
     return out
 
@@ -378,7 +378,7 @@ def _fetched(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([marks, pa.array([x.tobytes() for x in own], pa.binary())], names=["mark", "tokens"])
 
     found = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    return stage(found.mapInArrow(run, "mark long, tokens binary"), "ngrams-sets").dropDuplicates(["mark"])
+    return stage(found.mapInArrow(slim(run), "mark long, tokens binary"), "ngrams-sets").dropDuplicates(["mark"])
 
 
 def _verified(texts: DataFrame, owners: DataFrame, pairs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
@@ -415,8 +415,8 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     texts = id_text(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(frequency_sketch(texts, size))
-    keyed = texts.mapInArrow(_keyed(shared, size, percent), _KEYED)
-    grouped = stage(keyed.repartition("key").mapInArrow(_grouped(percent), _GROUPED), "ngrams-grouped")
+    keyed = texts.mapInArrow(slim(_keyed(shared, size, percent)), _KEYED)
+    grouped = stage(keyed.repartition("key").mapInArrow(slim(_grouped(percent)), _GROUPED), "ngrams-grouped")
     marked = grouped.where("kind = 0").select("doc_id", "mark", "n", "bits")
     owners = marked.where("n > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
     posts = grouped.where("kind = 1")
@@ -432,13 +432,13 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     large = posts.where(F.col("members") > LARGE)
     maps = marked.where("bits is not null").groupBy("mark").agg(F.first("bits").alias("bits"))
     for k in range(0 if large.isEmpty() else ROUNDS):
-        rows = _dealt(large, connected_components(links, f"ngrams-near{k}"), maps).mapInArrow(_cross_pairs(percent, True), _PAIRS)
+        rows = _dealt(large, connected_components(links, f"ngrams-near{k}"), maps).mapInArrow(slim(_cross_pairs(percent, True)), _PAIRS)
         found = _verified(texts, owners, rows.select("a", "b").distinct(), size, percent, f"near{k}")
         links = links.union(found)
 
     # Then every pair of different components that can still reach the threshold.
     labels = connected_components(links, "ngrams-near")
-    rows = _dealt(posts, labels, maps).mapInArrow(_cross_pairs(percent, False), _PAIRS)
+    rows = _dealt(posts, labels, maps).mapInArrow(slim(_cross_pairs(percent, False)), _PAIRS)
     pairs = rows.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
     # What follows the prefixes adds at most the rest of the set whose prefix ends first.
     rest = F.greatest(*(F.col(n) - prefix_length_sql(n, percent) for n in ("n_a", "n_b")))

@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import id_text, pieces_of, stage
+from wayfold.llm.common import id_text, pieces_of, slim, stage
 
-#: Remembered words and remembered pre-tokens of a worker.
-MEMO = 400_000
+#: Remembered words and remembered pre-tokens of a worker; each takes some 250 bytes.
+MEMO = 100_000
 #: Free tokens that a final sequence may have before the last round.
 SLACK = 6
 #: Underfull sequences that one task takes up, and rounds at most.
@@ -56,7 +56,7 @@ class _Memo(dict):
         if len(self) >= MEMO:
             self.clear()
         out = self.make(word)
-        if len(word) < 200:
+        if len(word) < 60:
             self[word] = out
         return out
 
@@ -186,7 +186,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
                 next_id, held = next_id + len(held), []
         yield from _packed([[p] for p in held], [p[3] for p in held], capacity, next_id)
 
-    bins = stage(id_text(docs, id_col, text_col).mapInArrow(first_round, _BIN), "packing-0")
+    bins = stage(id_text(docs, id_col, text_col).mapInArrow(slim(first_round), _BIN), "packing-0")
     full = F.col("fill") >= capacity - SLACK
     final, under = bins.where(full), bins.where(~full)
     for round_no in range(1, ROUNDS + 1):
@@ -212,7 +212,7 @@ def _merge_round(under: DataFrame, tasks: int, round_no: int, capacity: int) ->
             pieces += [[tuple(p.values()) for p in own] for own in batch.column(2).to_pylist()]
         yield from _packed(pieces, fills, capacity, next_id)
 
-    return under.repartition(tasks, F.xxhash64("sequence_id", F.lit(round_no))).mapInArrow(again, _BIN)
+    return under.repartition(tasks, F.xxhash64("sequence_id", F.lit(round_no))).mapInArrow(slim(again), _BIN)
 
 
 def _placed(bins: DataFrame) -> DataFrame:
