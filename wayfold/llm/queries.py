@@ -29,7 +29,7 @@ def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,14 @@ A byte goes when a string of ``span`` bytes (200) that covers it also starts any
 sorted: of the first ``span - LEAD + 1`` places of a string the one whose leading bytes have the least hash is its
 anchor, and equal strings have equal anchors at equal distance. Only suffixes at anchors, about one in 85, are sorted.
 
-1. Suffixes go to buckets by their leading 8 bytes, between splitters sampled from the corpus. Leads that occur once
-   drop out.
-2. The suffixes left, with the bytes before them that their strings can reach, meet again in their buckets. A bucket
-   sorts them by multikey quicksort on 8-byte words, rightwards and leftwards, and compares neighbours. Splitters fall
-   between leads, so no comparison crosses a boundary. What neighbours leave open is settled by comparing the strings.
-3. Leads with very many suffixes are not sorted in one task: all their strings are counted by fingerprint instead.
+1. Suffixes go to buckets by their leading ``LEAD`` bytes, between splitters sampled from the corpus. Leads that occur
+   once drop out.
+2. The suffixes left, with the bytes before them that their strings can reach, meet again in their buckets. Spark sorts
+   a partition by bucket, and a task takes up one bucket at a time: it sorts the suffixes by multikey quicksort on
+   8-byte words, rightwards and leftwards, and compares neighbours. Splitters fall between leads, so no comparison
+   crosses a boundary. What neighbours leave open is settled by comparing the strings.
+3. Leads with more than ``HOT`` suffixes are not sorted in one task: all their strings are counted by fingerprint, a
+   128-bit hash, over all tasks instead. The result is the same.
 
 Equal texts are found first by their hash and take part once. The covered ranges of a text are then cut from it.
 
@@ -28,27 +30,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import id_text, parallelism, pieces_of, stage, utf8
+from wayfold.llm.common import id_text, parallelism, pieces_of, slim, stage, utf8
 
 #: Leading bytes that choose an anchor.
 LEAD = 32
-#: Bytes of one text that are looked at together.
-BLOCK = 1 << 20
+#: Bytes of one text, and of a batch of texts, that are looked at together.
+BLOCK, PIECE = 1 << 18, 1 << 19
 #: Texts whose leads are sampled for the splitters, about; buckets per partition.
 SAMPLE, BUCKETS = 4_000, 8
-#: Suffixes of one lead that one task sorts; beyond it strings are counted by fingerprint.
-HOT = 20_000
+#: Suffixes whose strings are fingerprinted together, and salts of a fingerprint that many texts share.
+PRINTS, SALTS = 500, 8
+#: Suffixes of one lead that one task sorts, beyond it strings are counted by fingerprint; leads that may be broadcast.
+HOT, FEW = 20_000, 1_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _ANCHORS = "spread long, bucket int, lead long, known boolean, text_key long, place int, low int, high int"
 _CONTEXTS = "bucket int, lead long, text_key long, place int, low int, high int, context binary"
 
 
 def _anchored(data: np.ndarray, offs: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
-    """Anchors of a block of rows: lead hash, leading word, place in the block, and the least and greatest distance from the start of a string to its anchor."""
+    """Anchors of a block of rows: lead hash, leading bytes, place in the block, and the least and greatest distance from the start of a string to its anchor."""
     n, width = len(data), span - LEAD + 1
     if n < span:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64))
-    word = np.ndarray((n - 7,), "<u8", data.tobytes(), strides=(1,))
+        return tuple(np.zeros(0, t) for t in (np.int64, f"S{LEAD}", np.int64, np.int64, np.int64))
+    raw = data.tobytes()
+    word = np.ndarray((n - 7,), "<u8", raw, strides=(1,))
+    head = np.ndarray((n - LEAD + 1,), f"S{LEAD}", raw, strides=(1,))
     lead = word[: n - LEAD + 1] * _ODD[0]
     for k in (1, 2, 3):
         lead += word[8 * k : 8 * k + n - LEAD + 1] * _ODD[k]
@@ -74,21 +80,21 @@ def _anchored(data: np.ndarray, offs: np.ndarray, span: int) -> tuple[np.ndarray
     first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
     last = np.concatenate([first[1:], [len(places)]]) - 1
     place = places[first]
-    return lead[place].view(np.int64), word[place].byteswap(), place, place - starts[last], place - starts[first]
+    return lead[place].view(np.int64), head[place], place, place - starts[last], place - starts[first]
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
-    """``_anchored`` for whole rows: lead, leading word, row, place in the row, low, high. A long text is taken in blocks of strings."""
+    """``_anchored`` for whole rows: lead, leading bytes, row, place in the row, low, high. A long text is taken in blocks of strings."""
     if len(data) <= 3 * BLOCK:
-        lead, word, place, low, high = _anchored(data, offs, span)
+        lead, head, place, low, high = _anchored(data, offs, span)
         row = np.searchsorted(offs, place, side="right") - 1
-        return lead, word, row, place - offs[row], low, high
+        return lead, head, row, place - offs[row], low, high
     parts = []
     for row, (at, end) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
         for start in range(at, max(at + 1, end - span + 1), BLOCK):
             own = data[start : min(end, start + BLOCK + span - 1)]
-            lead, word, place, low, high = _anchored(own, np.array([0, len(own)]), span)
-            parts.append((lead, word, np.full(len(lead), row), place + start - at, low, high))
+            lead, head, place, low, high = _anchored(own, np.array([0, len(own)]), span)
+            parts.append((lead, head, np.full(len(lead), row), place + start - at, low, high))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -97,19 +103,19 @@ def _leads(span: int, splitters: np.ndarray):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, most_bytes=PIECE):
             keys = batch.column(0).to_numpy()
             fresh = np.zeros(len(keys), bool)
             for i, key in enumerate(keys.tolist()):
                 if key not in seen:
                     fresh[i] = True
                     seen.add(key)
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             batch = batch.filter(pa.array(fresh))
             keys = keys[fresh]
-            lead, word, row, place, low, high = anchors(*utf8(batch.column(1)), span)
-            bucket = np.searchsorted(splitters, word, side="right").astype(np.int32)
+            lead, head, row, place, low, high = anchors(*utf8(batch.column(1)), span)
+            bucket = np.searchsorted(splitters, head, side="right").astype(np.int32)
             order = np.argsort(lead, kind="stable")
             same = np.zeros(len(lead) + 1, bool)
             same[1:-1] = lead[order][1:] == lead[order][:-1]
@@ -157,17 +163,15 @@ def _contexts(span: int):
     """Each anchor with the bytes that its strings reach. Columns: text_key, text, anchors (bucket, lead, place, low, high)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, most_bytes=PIECE):
             data, offs = utf8(batch.column(1))
-            raw, starts = data.tobytes(), offs.tolist()
-            rows = []
-            for i, (key, found) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                for x in found:
-                    at = starts[i] + x["place"]
-                    rows.append((x["bucket"], x["lead"], key, x["place"], x["low"], x["high"], raw[at - x["high"] : at - x["low"] + span]))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            columns = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_names(_CONTEXTS))
+            listed, raw = batch.column(2), data.tobytes()
+            found, row = listed.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(listed.offsets.to_numpy()))
+            bucket, lead, place, low, high = (found.field(i) for i in range(5))
+            at = offs[:-1][row] + place.to_numpy()
+            begins, ends = (at - high.to_numpy()).tolist(), (at - low.to_numpy() + span).tolist()
+            context = pa.array([raw[x:y] for x, y in zip(begins, ends)], pa.binary())
+            yield pa.RecordBatch.from_arrays([bucket, lead, batch.column(0).take(pa.array(row)), place, low, high, context], names=_names(_CONTEXTS))
 
     return run
 
@@ -214,12 +218,23 @@ def _shared(matrix: np.ndarray, order: np.ndarray, group: np.ndarray) -> np.ndar
 
 
 def _settled(span: int):
-    """Sort the suffixes of the buckets and give the covered ranges: text_key, start, stop."""
+    """Sort the suffixes of the buckets and give the covered ranges: text_key, start, stop. Rows come sorted by bucket."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for at, to in zip(cuts, cuts[1:]):
+                if held and to > at and held[-1].column(0)[0].as_py() != bucket[at]:
+                    yield settle(held)
+                    held = []
+                if to > at:
+                    held.append(batch.slice(at, to - at))
+        if held:
+            yield settle(held)
+
+    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         own = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         group, key, place, low, high = (own.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3, 4, 5))
         data, offs = utf8(own.column(6))
@@ -284,7 +299,7 @@ def _settled(span: int):
                             count[cut[i]] = count.get(cut[i], 0) + 1
                     out += [(int(key[i]), int(place[i]) - d, int(place[i]) - d + span) for i, d in asked if d == distance and count[cut[i]] > 1]
         columns = list(zip(*out)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["text_key", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["text_key", "start", "stop"])
 
     return run
 
@@ -293,7 +308,7 @@ def _fingerprinted(span: int):
     """Every string of the given suffixes by fingerprint: print, text_key, start."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, PRINTS) for b in batches for k in range(0, b.num_rows, PRINTS)):
             prints, keys, starts = [], [], []
             key, place, low, high = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
             for i, context in enumerate(batch.column(6).to_pylist()):
@@ -306,11 +321,14 @@ def _fingerprinted(span: int):
     return run
 
 
-def _cut(span: int):
-    """Columns: doc_id, text, copies, starts, stops."""
+_SUMMARY = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _cut(span: int, keep_text: bool):
+    """Columns: doc_id, text, copies, starts, stops. The kept bytes are sent back only if they are asked for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, most_bytes=PIECE):
             data, offs = utf8(batch.column(1))
             raw, cuts = data.tobytes(), offs.tolist()
             rows = []
@@ -328,49 +346,59 @@ def _cut(span: int):
                     at = end
                 kept.append(text[at:])
                 body = b"".join(kept)
-                rows.append((len(text), removed, runs, hashlib.sha256(body).hexdigest(), body))
-            n, gone, runs, sha, body = zip(*rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha), pa.array(body, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((len(text), removed, runs, hashlib.sha256(body).hexdigest(), *([body] if keep_text else [])))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[*_names(_SUMMARY), *(["kept"] if keep_text else [])])
 
     return run
 
 
 def splitters(texts: DataFrame, span: int, docs: int) -> np.ndarray:
-    """Leading words that cut the sampled suffixes into equal parts. The sample is bounded and only sets the balance."""
+    """Leading bytes that cut the sampled suffixes into equal parts. The sample is bounded and only sets the balance."""
 
     def sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches):
-            word = anchors(*utf8(batch.column(1)), span)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(word[::8].view(np.int64))], names=["word"])
+        for batch in pieces_of(batches, most_bytes=PIECE):
+            head = anchors(*utf8(batch.column(1)), span)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(head[::8].tolist(), pa.binary())], names=["head"])
 
-    some = texts.sample(min(1.0, SAMPLE / max(1, docs)), seed=11).mapInArrow(sample, "word long").limit(200_000)
-    words = np.sort(some.toPandas()["word"].to_numpy(np.int64).view(np.uint64))
+    some = texts.sample(min(1.0, SAMPLE / max(1, docs)), seed=11).mapInArrow(sample, "head binary").limit(100_000)
+    heads = np.sort(np.array(some.toPandas()["head"].tolist(), f"S{LEAD}"))
     parts = BUCKETS * parallelism(texts.sparkSession)
-    return np.unique(words[np.arange(1, parts) * len(words) // parts]) if len(words) else words
+    return np.unique(heads[np.arange(1, parts) * len(heads) // parts]) if len(heads) else heads
 
 
 def covered_ranges(texts: DataFrame, reps: DataFrame, span: int, docs: int, hot: int = HOT) -> DataFrame:
     """(text_key, start, stop) over ``texts`` (text_key, text, doc_id); ``reps`` names one document per text."""
-    found = texts.select("text_key", "text").mapInArrow(_leads(span, splitters(texts.select("text_key", "text"), span, docs)), _ANCHORS)
-    kept = found.repartition("spread").mapInArrow(_repeated, "bucket int, lead long, text_key long, place int, low int, high int")
+    found = texts.select("text_key", "text").mapInArrow(slim(_leads(span, splitters(texts.select("text_key", "text"), span, docs))), _ANCHORS)
+    kept = found.repartition("spread").mapInArrow(slim(_repeated), "bucket int, lead long, text_key long, place int, low int, high int")
     kept = stage(kept, "suffix-anchors")
     crowded = stage(kept.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("lead"), "suffix-hot")
     listed = kept.groupBy("text_key").agg(F.collect_list(F.struct("bucket", "lead", "place", "low", "high")).alias("anchors"))
     named = listed.join(reps, "text_key").select("text_key", F.col("rep").alias("doc_id"), "anchors")
     asked = texts.join(named.withColumnRenamed("text_key", "k").withColumnRenamed("doc_id", "d"), (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    contexts = asked.select("text_key", "text", "anchors").mapInArrow(_contexts(span), _CONTEXTS)
-    ranges = "text_key long, start long, stop long"
-    if crowded.isEmpty():
-        return contexts.repartition("bucket").mapInArrow(_settled(span), ranges)
+    contexts = asked.select("text_key", "text", "anchors").mapInArrow(slim(_contexts(span)), _CONTEXTS)
+    many = crowded.count()
+    if not many:
+        return _in_buckets(contexts, span)
     contexts = stage(contexts, "suffix-contexts")
-    calm = contexts.join(crowded, "lead", "left_anti").select(_names(_CONTEXTS)).repartition("bucket").mapInArrow(_settled(span), ranges)
-    prints = contexts.join(crowded, "lead", "left_semi").select(_names(_CONTEXTS)).mapInArrow(_fingerprinted(span), "print binary, text_key long, start long").distinct()
-    twice = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
-    return calm.union(prints.join(twice, "print").select("text_key", "start", (F.col("start") + span).alias("stop")))
+    crowded = F.broadcast(crowded) if many <= FEW else crowded
+    calm = _in_buckets(contexts.join(crowded, "lead", "left_anti").select(_names(_CONTEXTS)), span)
+    prints = contexts.join(crowded, "lead", "left_semi").select(_names(_CONTEXTS)).mapInArrow(slim(_fingerprinted(span)), "print binary, text_key long, start long")
+    prints = stage(prints.withColumn("salt", F.pmod(F.xxhash64("text_key", "start"), F.lit(SALTS))), "suffix-prints")
+    # An anchor that two blocks share, or a text that two tasks took up, gives a string twice: places are counted once.
+    once = prints.distinct()
+    twice = once.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return calm.union(once.join(twice, ["print", "salt"]).select("text_key", "start", (F.col("start") + span).alias("stop")))
+
+
+def _in_buckets(contexts: DataFrame, span: int) -> DataFrame:
+    """Whole buckets to tasks, one after the other within a task; Spark's sort spills where a partition is large."""
+    return contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(slim(_settled(span)), "text_key long, start long, stop long")
 
 
-def suffix_dedup(docs: DataFrame, span: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
+def suffix_dedup(docs: DataFrame, span: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, keep_text: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_text``, kept (the remaining bytes)."""
     texts = id_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     reps = stage(texts.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")), "suffix-texts")
     total = reps.agg(F.sum("copies")).first()[0] or 0
@@ -378,4 +406,4 @@ def suffix_dedup(docs: DataFrame, span: int = 200, id_col: str = "doc_id", text_
     spans = ranges.groupBy("text_key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     facts = reps.where("copies > 1").select("text_key", "copies").join(spans, "text_key", "full")
     joined = texts.join(facts, "text_key", "left").select("doc_id", "text", "copies", "starts", "stops")
-    return joined.mapInArrow(_cut(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(slim(_cut(span, keep_text)), _SUMMARY + (", kept binary" if keep_text else ""))
