@@ -10,7 +10,7 @@ from wayfold.operators import intervals as I
 from wayfold.operators import merges as K
 from wayfold.operators import sequences as S
 from wayfold.operators.joins import as_of, radius_join
-from wayfold.operators.trackers import Tracker
+from wayfold.operators.trackers import CircleRuns, FirstExit, Reach, Tracker, Visits
 from wayfold.streaming import live
 
 MIN = 60_000_000
@@ -79,19 +79,77 @@ def test_wilson_bounds(spark):
     assert abs(row.lo - 0.4901625) < 1e-6 and abs(row.hi - 0.9433178) < 1e-6 and row.none is None
 
 
+S1 = 1_000_000
+
+
+def run_tracker(steps, *args):
+    t = Tracker(*(args or (10, 90 * S1, 250, 1_800 * S1)))
+    return [x for us, d in steps for x in t.step(us * S1, d)]
+
+
 def test_tracker_confirms_and_stamps():
-    t = Tracker(5, 90 * 1_000_000, 250, 1_800 * 1_000_000)
-    s = 1_000_000
-    steps = [(0, 100), (60, -20), (120, -30), (180, -30), (240, 3), (300, 50), (330, 40), (420, 60)]
-    found = [x for us, d in steps for x in t.step(us * s, d)]
-    assert found == [("enter", 60 * s), ("exit", 240 * s)]
-    assert t.step(10, 5) == []
-
-
-def test_tracker_escape_is_immediate():
-    t = Tracker(5, 90 * 1_000_000, 250, 1_800 * 1_000_000)
-    assert t.step(0, -300) == [("enter", 0)]
-    assert t.step(1, 300) == [("exit", 0)]
+    assert run_tracker([(0, 100), (60, -20), (120, -30), (180, -30), (240, 3), (300, 50), (330, 40), (420, 60)]) == [("enter", 60 * S1), ("exit", 240 * S1)]
+
+
+def test_unclear_fixes_prolong_a_run_and_clear_ones_end_it():
+    assert run_tracker([(0, -50), (60, 20), (120, 5), (180, 20)]) == [("exit", 0)]
+    assert run_tracker([(0, -50), (60, 20), (120, -10), (180, 20), (210, 20)]) == []
+
+
+def test_the_first_clear_fix_is_no_crossing():
+    assert run_tracker([(0, -300), (100, -300)]) == []
+    assert run_tracker([(0, 3), (60, -50), (400, 11), (800, 300)]) == [("exit", 60 * S1)]
+
+
+def test_escape_is_beyond_the_band_on_its_side_and_inclusive():
+    assert run_tracker([(0, -300), (1, 259)]) == []
+    assert run_tracker([(0, -300), (1, 260)]) == [("exit", 0)]
+    assert run_tracker([(0, 300), (1, -260)]) == [("enter", S1)]
+
+
+def test_silence_does_not_count_as_time_held():
+    assert run_tracker([(0, -50), (60, 20), (4_000, 20), (4_050, 20)]) == []
+    assert run_tracker([(0, -50), (60, 20), (4_000, 20), (4_050, 20), (4_090, 20)]) == [("exit", 0)]
+
+
+def test_tracker_state_survives_a_restart():
+    rng = random.Random(9)
+    steps = [(i * 40, rng.choice([-300, -30, -11, -5, 0, 5, 11, 30, 300])) for i in range(400)]
+    args, found, state = (10, 90 * S1, 250, 1_800 * S1), [], Tracker(10, 90 * S1, 250, 1_800 * S1).state()
+    for us, d in steps:
+        t = Tracker(*args).restore(state)
+        found += t.step(us * S1, d)
+        state = t.state()
+    assert found == run_tracker(steps) and len(found) > 10
+
+
+def walk_all(machine, steps):
+    return [x for step in steps for x in machine.step(*step)] + machine.end()
+
+
+def test_visits_that_begin_before_or_end_after_the_series():
+    make = lambda: Visits(Tracker(10, 90, 250, 1_800))
+    assert walk_all(make(), [(0, -50), (50, 300), (100, -300), (150, -20)]) == [(0, 0, False, False), (100, 150, True, True)]
+    assert walk_all(make(), [(0, -3), (50, 2)]) == [(0, 50, False, True)] and walk_all(make(), [(0, 3), (50, -2)]) == []
+
+
+def test_circle_runs_absorb_jitter():
+    make = lambda: CircleRuns(100, 60, 2)
+    assert walk_all(make(), [(0, 50), (10, 150), (20, 50), (30, 150), (95, 150), (99, 10), (200, 10)]) == [("exit", 20), ("enter", 99)]
+    assert walk_all(make(), [(0, 50), (10, 201), (20, 50)]) == [("exit", 0)]
+    assert walk_all(FirstExit(make()), [(0, 150), (10, 120)]) == [("never_inside", None)]
+    assert walk_all(FirstExit(make()), [(0, 50), (10, 150)]) == [("never_exited", None)]
+    assert walk_all(FirstExit(make()), [(0, 50), (10, 250)]) == [("ok", 0)]
+
+
+def test_a_jump_counts_if_the_next_row_follows_it():
+    rows = [(0, 0.0, 0.0, 1), (S1, 50.0, 0.0, 2), (2 * S1, 2.0, 0.0, 3), (3 * S1, 90.0, 0.0, 4), (4 * S1, 91.0, 0.0, 5)]
+    assert walk_all(Reach(2.0), rows) == [(1, True), (2, False), (3, True), (4, True), (5, True)]
+
+
+def test_watermark_and_window():
+    assert live.next_watermark(None, 50, 5) == 50 and live.next_watermark(40, 50, 5) == 50 and live.next_watermark(90, 50, 5) == 85
+    assert live.window_start(100, 30, 0, 120, 1_000) == 70 and live.window_start(100, 30, 80, 120, 1_000) == 80 and live.window_start(100, 30, 0, 120, 40) == 80
 
 
 def test_stream_of_crossings_equals_batch(spark, tmp_path):

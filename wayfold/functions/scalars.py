@@ -142,3 +142,18 @@ def ring_area(ring: Column) -> Column:
         lambda i: F.get(ring, i)["lon"] * F.get(ring, (i + 1) % n)["lat"] - F.get(ring, (i + 1) % n)["lon"] * F.get(ring, i)["lat"],
     )
     return F.aggregate(twice, F.lit(0.0), lambda a, b: a + b) / 2
+
+
+def spelt_out(c: Column, names: dict[str, str]) -> Column:
+    """Codes by their names; a text that is no code stays."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.element_at(table, c), c)
+
+
+def positive(c: Column) -> Column:
+    return F.when(c > 0, c)
+
+
+def on_time_flag(told: Column, delay: Column) -> Column:
+    """1 or 0 as the feed says it, else by the sign of the delay; null if neither is known."""
+    return F.coalesce(told, F.when(delay < 0, 1).when(delay >= 0, 0))

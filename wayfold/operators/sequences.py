@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+
+from wayfold.operators.trackers import CircleRuns, FirstExit, Reach, Tracker, Visits
 
 MINUTE = 60_000_000
 
@@ -53,39 +56,51 @@ def smoothed(df: DataFrame, key: str, order: list[str], value: str, alpha: float
     return df.groupBy(key).agg(values.alias("__v")).select(key, F.aggregate("__v", F.lit(None).cast("double"), fold).alias("smoothed"))
 
 
-def clean_trail(df: DataFrame, key: str, us: str, x: str, y: str, most_per_s: float) -> DataFrame:
-    """Drop rows that no asset could have reached from the last accepted one, unless the row after them agrees with them.
+def walked(df: DataFrame, key: str, columns: list[str], order: list[str], machine: Callable[[], object], schema: str) -> DataFrame:
+    """Feed ``columns`` of each series, in order, to a machine of ``trackers``; ``schema`` has the key and what it gives.
 
-    What is accepted depends on what was accepted before, so each series is walked once, in order, in its own group.
+    Spark sorts within partitions, and a task holds the state of one machine, however long its series is. Rows without
+    a key are left out.
     """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, own = None, None
+        for frame in frames:
+            out: list[tuple] = []
+            for k, *row in zip(*(frame[c].tolist() for c in (key, *columns))):
+                if own is None or k != current:
+                    out += [(current, *x) for x in own.end()] if own is not None else []
+                    current, own = k, machine()
+                out += [(k, *x) for x in own.step(*row)]
+            yield pd.DataFrame(out, columns=names)
+        if own is not None:
+            yield pd.DataFrame([(current, *x) for x in own.end()], columns=names)
+
+    ordered = df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order)
+    return ordered.select(key, *columns).mapInPandas(run, schema)
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([us, "event_id"], kind="stable").reset_index(drop=True)
-        t, a, b = rows[us].to_numpy(float) / 1e6, rows[x].to_numpy(float), rows[y].to_numpy(float)
-        reach = lambda i, j: ((a[i] - a[j]) ** 2 + (b[i] - b[j]) ** 2) ** 0.5 <= most_per_s * max(t[j] - t[i], 0.0)
-        kept, last = [], -1
-        for i in range(len(rows)):
-            fits = last < 0 or reach(last, i)
-            # A jump counts when the next row continues from it rather than from the last accepted row.
-            anchors = not fits and i + 1 < len(rows) and reach(i, i + 1) and not reach(last, i + 1)
-            kept.append(fits or anchors)
-            if kept[-1]:
-                last = i
-        return rows.assign(kept=kept)
 
-    schema = StructType([*df.schema.fields, StructField("kept", BooleanType())])
-    return df.groupBy(key).applyInPandas(walk, schema)
+def clean_trail(df: DataFrame, key: str, us: str, x: str, y: str, most_per_s: float) -> DataFrame:
+    """(key, event_id, kept): whether an asset could have reached a row from the last accepted one; see ``trackers.Reach``."""
+    return walked(df, key, [us, x, y, "event_id"], [us, "event_id"], lambda: Reach(most_per_s), f"{key} long, event_id long, kept boolean")
 
 
 def crossings(df: DataFrame, key: str, us: str, distance: str, band: float, confirm_us: int, escape: float, silence_us: int) -> DataFrame:
     """Crossings of a zone with hysteresis and confirmation; see ``trackers.Tracker``, which streams use as well."""
-    from wayfold.operators.trackers import Tracker
+    return walked(df, key, [us, distance], [us, "event_id"], lambda: Tracker(band, confirm_us, escape, silence_us), f"{key} long, kind string, us long")
+
+
+def visits(df: DataFrame, key: str, us: str, distance: str, band: float, confirm_us: int, escape: float, silence_us: int) -> DataFrame:
+    """The visits that the crossings make up, with those that began before the series or are open at its end."""
+    make = lambda: Visits(Tracker(band, confirm_us, escape, silence_us))
+    return walked(df, key, [us, distance], [us, "event_id"], make, f"{key} long, enter long, leave long, entry_seen boolean, open boolean")
+
+
+def circle_crossings(df: DataFrame, key: str, us: str, distance: str, radius: float, confirm_us: int, escape: float) -> DataFrame:
+    return walked(df, key, [us, distance], [us, "event_id"], lambda: CircleRuns(radius, confirm_us, escape), f"{key} long, kind string, us long")
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([us, "event_id"], kind="stable")
-        tracker, out = Tracker(band, confirm_us, escape, silence_us), []
-        for t, d in zip(rows[us].tolist(), rows[distance].tolist()):
-            out += tracker.step(t, d)
-        return pd.DataFrame([(rows[key].iloc[0], *x) for x in out], columns=[key, "kind", "us"])
 
-    return df.groupBy(key).applyInPandas(walk, f"{key} long, kind string, us long")
+def first_exit(df: DataFrame, key: str, us: str, distance: str, radius: float, confirm_us: int, escape: float) -> DataFrame:
+    """The first confirmed exit of each series, or why there is none."""
+    return walked(df, key, [us, distance], [us, "event_id"], lambda: FirstExit(CircleRuns(radius, confirm_us, escape)), f"{key} long, status string, us long")

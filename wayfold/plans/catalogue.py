@@ -37,4 +37,14 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from wayfold.plans import aggregate_queries, interval_queries, join_queries, report_queries, scalar_queries, scorecard_queries, sequence_queries, stream_queries  # noqa: F401
+    from wayfold.plans import (  # noqa: F401
+        aggregate_queries,
+        filter_queries,
+        interval_queries,
+        join_queries,
+        report_queries,
+        scalar_queries,
+        scorecard_queries,
+        sequence_queries,
+        stream_queries,
+    )

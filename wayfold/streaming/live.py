@@ -34,26 +34,52 @@ def deduplicated(stream: DataFrame, delay: str) -> DataFrame:
     return event_time(stream).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["vehicle", "us", "speed"])
 
 
-def tracked(stream: DataFrame, band: float, confirm_us: int, escape: float, silence_us: int) -> DataFrame:
-    """Zone crossings per vehicle from a stream with vehicle, us and distance; late fixes are dropped by the tracker."""
+def tracked(stream: DataFrame, band: float, confirm_us: int, escape: float, silence_us: int, reach: float = float("inf")) -> DataFrame:
+    """Zone crossings per vehicle from a stream with vehicle, us and distance; late fixes are dropped by the tracker.
+
+    The state of a vehicle that is outside, with no run under way, beyond ``reach`` is dropped; its next fix starts anew.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracker = Tracker(band, confirm_us, escape, silence_us)
         if state.exists:
-            inside, last, last_inside, pending, held = state.get
-            tracker.restore((inside, *(None if x < 0 else x for x in (last, last_inside, pending)), held))
+            tracker.restore(state.get)
         rows = pd.concat(list(frames)).sort_values("us", kind="stable")
         found = [x for us, d in zip(rows["us"].tolist(), rows["distance"].tolist()) for x in tracker.step(us, d)]
-        inside, *times, held = tracker.state()
-        state.update((inside, *(-1 if x is None else x for x in times), held))
+        if tracker.far_away(float(rows["distance"].iloc[-1]), reach):
+            if state.exists:
+                state.remove()
+        else:
+            state.update(tracker.state())
         if found:
             yield pd.DataFrame([(key[0], *x) for x in found], columns=["vehicle", "kind", "us"])
 
     return stream.groupBy("vehicle").applyInPandasWithState(
-        step, "vehicle long, kind string, us long", "inside boolean, last long, last_inside long, pending long, held long", "append", GroupStateTimeout.NoTimeout
+        step, "vehicle long, kind string, us long", "inside int, last long, run long, before long, held long, beyond double", "append", GroupStateTimeout.NoTimeout
     )
 
 
+def alerts(crossed: DataFrame, zones: DataFrame) -> DataFrame:
+    """One alert a visit: entries of restricted zones, and visits in which the speed limit was broken, once each.
+
+    ``crossed``: vehicle, zone, visit, speed; ``zones``: zone, restricted, limit. Works on batches and, with a watermark
+    on the column ts of ``crossed``, on streams.
+    """
+    joined = crossed.join(F.broadcast(zones), "zone")
+    kinds = F.array_compact(F.array(F.when(F.col("restricted"), "restricted"), F.when(F.col("speed") > F.col("limit"), "overspeed")))
+    return joined.select("vehicle", "zone", "visit", F.explode(kinds).alias("kind")).dropDuplicates(["vehicle", "zone", "visit", "kind"])
+
+
+def next_watermark(newest: int | None, previous: int, delay: int) -> int:
+    """The newest value seen less the delay, never backwards; a batch that saw none holds it."""
+    return previous if newest is None else max(previous, newest - delay)
+
+
+def window_start(watermark: int, lookback: int, floor: int, end: int, longest: int) -> int:
+    """Where to read again: a look back from the watermark, not before ``floor``, and no longer a window than ``longest``."""
+    return max(watermark - lookback, floor, end - longest)
+
+
 def latest_positions(stream: DataFrame, path: str) -> DataStreamWriter:
     """Keep the newest fix per vehicle at ``path``; a batch that runs again replaces what it wrote (paths by batch id)."""
 
