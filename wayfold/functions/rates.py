@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The 97.5 % point of the normal distribution.
@@ -33,13 +35,6 @@ def smoothed_rate(hits: Column, n: Column, prior: Column, weight: float) -> Colu
     return (hits + weight * prior) / (n + weight)
 
 
-def floor_percentile(values: Column, percent: int) -> Column:
-    """Nearest rank with a floored index, from an array; null for an empty one."""
-    ordered = F.sort_array(values)
-    index = F.floor(F.size(values) * F.lit(percent) / 100).cast("int")
-    return F.get(ordered, F.least(index, F.size(values) - 1))
-
-
 def percent_rank_average(value: str, window, part) -> Column:
     """Ranks with ties averaged, as a share of the rows that have a value."""
     ties = F.count(F.lit(1)).over(part)
@@ -48,3 +43,11 @@ def percent_rank_average(value: str, window, part) -> Column:
 
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def rank_value(counts: DataFrame, keys: list[str], value: str, n: str, rank: Callable[[Column], Column]) -> DataFrame:
+    """The value at a rank (from 1) that follows from the number of rows, from counts of distinct values."""
+    order = Window.partitionBy(*keys).orderBy(value)
+    so_far = F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    marked = counts.withColumn("__so_far", so_far).withColumn("__total", F.sum(n).over(Window.partitionBy(*keys)))
+    return marked.where(F.col("__so_far") >= rank(F.col("__total"))).groupBy(*keys).agg(F.min(value).alias(value))

@@ -157,3 +157,48 @@ def positive(c: Column) -> Column:
 def on_time_flag(told: Column, delay: Column) -> Column:
     """1 or 0 as the feed says it, else by the sign of the delay; null if neither is known."""
     return F.coalesce(told, F.when(delay < 0, 1).when(delay >= 0, 0))
+
+
+def metres_to_degrees(metres: Column, lat: Column) -> Column:
+    """(lat, lon) padding of a box in degrees."""
+    one = F.lit(EARTH_M) * F.radians(F.lit(1.0))
+    return F.struct((metres / one).alias("lat"), (metres / (one * F.greatest(F.cos(F.radians(lat)), F.lit(0.01)))).alias("lon"))
+
+
+def closed_ring(ring: Column) -> Column:
+    """Corners that repeat the one before them dropped, the first one repeated at the end."""
+    kept = F.filter(ring, lambda p, i: (i == 0) | ~p.eqNullSafe(F.get(ring, i - 1)))
+    open_ = F.when(F.element_at(kept, -1).eqNullSafe(F.get(kept, F.lit(0))), F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(kept)
+    return F.concat(open_, F.slice(open_, 1, 1))
+
+
+def ring_wkt(ring: Column) -> Column:
+    corners = F.transform(closed_ring(ring), lambda p: F.concat(p["lon"].cast("string"), F.lit(" "), p["lat"].cast("string")))
+    return F.concat(F.lit("POLYGON(("), F.array_join(corners, ", "), F.lit("))"))
+
+
+def distance_to_ring_m(lat: Column, lon: Column, ring: Column) -> Column:
+    """Metres from a point to the nearest edge of a ring, in a flat frame around the point."""
+    n, metre = F.size(ring), F.lit(EARTH_M) * F.radians(F.lit(1.0))
+    flat = F.transform(ring, lambda p: F.struct(((p["lon"] - lon) * metre * F.cos(F.radians(lat))).alias("x"), ((p["lat"] - lat) * metre).alias("y")))
+
+    def edge(i: Column) -> Column:
+        a, b = F.get(flat, i), F.get(flat, (i + 1) % n)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        along = F.coalesce(F.try_divide(-(a["x"] * dx + a["y"] * dy), dx * dx + dy * dy), F.lit(0.0))
+        at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+        return F.sqrt(F.pow(a["x"] + at * dx, 2) + F.pow(a["y"] + at * dy, 2))
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), n - 1), edge))
+
+
+def signed_distance_m(lat: Column, lon: Column, ring: Column) -> Column:
+    """Negative inside."""
+    far = distance_to_ring_m(lat, lon, ring)
+    return F.when(point_in_ring(lat, lon, ring), -far).otherwise(far)
+
+
+def adaptive_band(inradius_m: Column, widest: float = 25.0, least: float = 5.0, share: float = 0.5) -> Column:
+    """The band of a zone: narrower in small zones, never wider than they are; the widest where the size is not known."""
+    band = F.least(F.lit(widest), F.greatest(F.lit(least), share * inradius_m), 0.8 * inradius_m)
+    return F.when(inradius_m.isNull(), widest).otherwise(F.greatest(F.lit(0.5), band))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wayfold.operators.sequences import crossings
 from wayfold.plans.catalogue import query
@@ -30,5 +29,6 @@ def t16_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m01_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone crossings with hysteresis and confirmation; the stream of ``streaming.live`` gives the same rows."""
-    df = pings(spark, sf_dir).withColumn("distance", (F.col("k") - 40).cast("double"))
-    return crossings(df, "vehicle", "us", "distance", 5.0, 6 * HOUR, 45.0, 48 * HOUR)
+    from wayfold.plans.figure_queries import _signed
+
+    return crossings(_signed(spark, sf_dir), "vehicle", "us", "distance", 2_000.0, 6 * HOUR, 40_000.0, 48 * HOUR)
