@@ -17,14 +17,23 @@ def merged(df: DataFrame, keys: list[str], start: str = "enter", end: str = "lea
     return marked.groupBy(*keys, "__grp").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("__grp")
 
 
-def occupancy(df: DataFrame, keys: list[str], start: str = "enter", end: str = "leave") -> DataFrame:
-    """Step function: how many intervals are open from ``us`` until ``until``. Empty intervals do not count."""
+def occupancy(df: DataFrame, keys: list[str], start: str = "enter", end: str = "leave", bucket_us: int = 30 * DAY) -> DataFrame:
+    """Step function: how many intervals are open from ``us`` until ``until``. Empty intervals do not count.
+
+    Levels are running sums in two steps, over the buckets of time of a key and within each bucket, so that the steps of
+    one busy key spread over its buckets.
+    """
     live = df.where(F.col(start) < F.col(end))
     steps = live.select(*keys, F.col(start).alias("us"), F.lit(1).alias("d")).unionByName(live.select(*keys, F.col(end).alias("us"), F.lit(-1).alias("d")))
-    steps = steps.groupBy(*keys, "us").agg(F.sum("d").alias("d")).where("d <> 0")
-    order = Window.partitionBy(*keys).orderBy("us")
-    levels = steps.select(*keys, "us", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("level"), F.lead("us").over(order).alias("until"))
-    return levels
+    steps = steps.groupBy(*keys, "us").agg(F.sum("d").alias("d")).where("d <> 0").withColumn("__bucket", F.floor(F.col("us") / bucket_us))
+    order = Window.partitionBy(*keys).orderBy("__bucket")
+    buckets = steps.groupBy(*keys, "__bucket").agg(F.sum("d").alias("__d"), F.min("us").alias("__first"))
+    before = F.coalesce(F.sum("__d").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = buckets.select(*keys, "__bucket", before.alias("__before"), F.lead("__first").over(order).alias("__next"))
+    within = Window.partitionBy(*keys, "__bucket").orderBy("us")
+    level = F.col("__before") + F.sum("d").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    until = F.coalesce(F.lead("us").over(within), F.col("__next"))
+    return steps.join(buckets, [*keys, "__bucket"]).select(*keys, "us", level.alias("level"), until.alias("until"))
 
 
 def level_time(steps: DataFrame, keys: list[str]) -> DataFrame:

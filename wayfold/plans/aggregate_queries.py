@@ -28,17 +28,26 @@ def a01_fleet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TRIPS_SQL} SELECT carrier, count(*) AS trips, count(DISTINCT customer) AS customers, sum(qty) AS qty, sum(price) AS price, count(on_time) AS known, 100.0 * sum(on_time) / nullif(count(on_time), 0) AS on_time_pct,
  median(days) AS median_days, CAST(floor(quantile_cont(days, 0.9) * 10 + 0.5) AS BIGINT) AS p90_tenths, max(days) AS worst_days FROM trips WHERE carrier IS NOT NULL GROUP BY carrier HAVING count(*) >= 3""", whole=("price", "qty",))
 def a03_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per carrier: volumes, rates over known outcomes, exact percentiles."""
-    return (
-        trips(spark, sf_dir)
-        .where("carrier is not null")
-        .groupBy("carrier")
-        .agg(
-            _n().alias("trips"), F.countDistinct("customer").alias("customers"), F.sum("qty").alias("qty"), F.sum("price").alias("price"), F.count("on_time").alias("known"),
-            R.known_rate(F.col("on_time")).alias("on_time_pct"), F.median("days").alias("median_days"), F.floor(F.percentile("days", 0.9) * 10 + 0.5).alias("p90_tenths"), F.max("days").alias("worst_days"),
-        )
-        .where("trips >= 3")
+    """A row per carrier: volumes, rates over known outcomes, exact percentiles.
+
+    One pass counts by carrier, customer and days; sums, percentiles of the counts and distinct customers come from that.
+    """
+    known = trips(spark, sf_dir, lanes=False).where("carrier is not null")
+    fine = known.groupBy("carrier", "customer", "days").agg(
+        _n().alias("n"), F.sum("qty").alias("qty"), F.sum("price").alias("price"), F.count("on_time").alias("known"), F.sum("on_time").alias("met")
+    )
+    facts = fine.groupBy("carrier").agg(
+        F.sum("n").alias("trips"),
+        F.sum("qty").alias("qty"),
+        F.sum("price").alias("price"),
+        F.sum("known").alias("known"),
+        F.try_divide(100.0 * F.sum("met"), F.sum("known")).alias("on_time_pct"),
+        F.percentile("days", 0.5, F.col("n")).alias("median_days"),
+        F.floor(F.percentile("days", 0.9, F.col("n")) * 10 + 0.5).alias("p90_tenths"),
+        F.max("days").alias("worst_days"),
     )
+    customers = fine.select("carrier", "customer").distinct().groupBy("carrier").agg(_n().alias("customers"))
+    return facts.where("trips >= 3").join(customers, "carrier")
 
 
 @query(f"""WITH {TRIPS_SQL}, b AS (SELECT 1 FROM trips), w AS (SELECT CASE WHEN booked >= TIMESTAMP '1998-01-01' THEN 'now' ELSE 'before' END AS period, * FROM trips WHERE booked >= TIMESTAMP '1997-01-01' AND booked < TIMESTAMP '1999-01-01')
@@ -138,11 +147,12 @@ def a21_weighted_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PINGS_SQL} SELECT event_type, list_sort(list(speed))[CAST(floor(count(*) * 0.9::DOUBLE) AS BIGINT) + 1] AS p90_floor, list_sort(list(speed))[count(*) // 2 + 1] AS upper_median, median(speed) AS true_median, quantile_cont(speed, 0.75) AS p75 FROM pings GROUP BY ALL""")
 def a26_percentile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four percentile rules side by side: floored index, upper middle, true median, linear."""
-    ordered, n = F.sort_array(F.collect_list("speed")), F.count("speed")
-    return pings(spark, sf_dir).groupBy("event_type").agg(
-        F.get(ordered, F.floor(n * F.lit(0.9)).cast("int")).alias("p90_floor"), F.get(ordered, F.floor(n / 2).cast("int")).alias("upper_median"), F.median("speed").alias("true_median"), F.percentile("speed", 0.75).alias("p75")
-    )
+    """Four percentile rules side by side: floored index, upper middle, true median, linear. All from counts of values."""
+    counts = pings(spark, sf_dir).groupBy("event_type", "speed").agg(F.count(F.lit(1)).alias("n"))
+    floored = R.rank_value(counts, ["event_type"], "speed", "n", lambda n: F.floor(n * F.lit(0.9)) + 1).withColumnRenamed("speed", "p90_floor")
+    upper = R.rank_value(counts, ["event_type"], "speed", "n", lambda n: F.floor(n / 2) + 1).withColumnRenamed("speed", "upper_median")
+    rest = counts.groupBy("event_type").agg(F.percentile("speed", 0.5, F.col("n")).alias("true_median"), F.percentile("speed", 0.75, F.col("n")).alias("p75"))
+    return floored.join(upper, "event_type").join(rest, "event_type")
 
 
 @query(f"WITH {TRIPS_SQL} SELECT status, count(days) AS n, min(days) AS lo, max(days) AS hi, quantile_cont(days, 0.1) AS p10, median(days) AS p50, quantile_cont(days, 0.9) AS p90, sum(days) AS total, sum(days * days) AS squares FROM trips GROUP BY status", whole=("squares", "total",))
@@ -197,7 +207,7 @@ r AS (SELECT carrier, n, CASE WHEN otd IS NULL THEN NULL ELSE (rank() OVER (PART
 SELECT carrier, n, CAST(floor(1e6 * (0.6::DOUBLE * coalesce(a, 0.5) + 0.4::DOUBLE * b) + 0.5) AS BIGINT) AS score_ppm FROM r""")
 def a42_composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile ranks with ties averaged, weighted; an unknown axis counts as the middle."""
-    g = trips(spark, sf_dir).where("carrier is not null").groupBy("carrier").agg(_n().alias("n"), R.known_rate(F.col("on_time")).alias("otd"), F.median("days").alias("days"))
+    g = trips(spark, sf_dir, lanes=False).where("carrier is not null").groupBy("carrier").agg(_n().alias("n"), R.known_rate(F.col("on_time")).alias("otd"), F.median("days").alias("days"))
     unknown = F.col("otd").isNull()
     a = (F.rank().over(Window.partitionBy(unknown).orderBy("otd")) + (_n().over(Window.partitionBy("otd")) - 1) / F.lit(2.0)) / F.count("otd").over(Window.partitionBy())
     b = (F.rank().over(Window.orderBy(F.desc("days"))) + (_n().over(Window.partitionBy("days")) - 1) / F.lit(2.0)) / _n().over(Window.partitionBy())
@@ -229,7 +239,7 @@ SELECT CAST(day AS DATE) AS day, count(*) AS trips, count(DISTINCT carrier) AS c
 def a54_daily_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips on the road per day; a trip counts on at most 14 days, as the measure is defined."""
     last = F.least(F.to_date("ended"), F.date_add(F.to_date("started"), 13))
-    d = trips(spark, sf_dir).where("started is not null").select("carrier", F.explode(F.sequence(F.to_date("started"), last)).alias("day"))
+    d = trips(spark, sf_dir, lanes=False).where("started is not null").select("carrier", F.explode(F.sequence(F.to_date("started"), last)).alias("day"))
     return d.groupBy("day").agg(_n().alias("trips"), F.countDistinct("carrier").alias("carriers"))
 
 

@@ -39,6 +39,7 @@ def load() -> None:
     """Import the modules that register queries."""
     from wayfold.plans import (  # noqa: F401
         aggregate_queries,
+        detail_queries,
         figure_queries,
         filter_queries,
         interval_queries,

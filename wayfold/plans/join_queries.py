@@ -44,12 +44,15 @@ def s14_dayfirst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg((F.max(F.split(text, "/")[0].cast("int")) > 12).alias("dayfirst"))
 
 
-@query(f"""WITH {STAYS_SQL} SELECT site, array_to_string(list(CAST(vehicle AS VARCHAR) || ':' || CAST(seq AS VARCHAR) ORDER BY vehicle, seq, part), ';') AS ring FROM stays WHERE vehicle % 20 = 0 GROUP BY site""")
+@query(f"""WITH {STAYS_SQL} SELECT site, vehicle, seq, part, CAST(row_number() OVER (PARTITION BY site ORDER BY vehicle, seq, part) AS INTEGER) AS corner,
+ lead(vehicle) OVER (PARTITION BY site ORDER BY vehicle, seq, part) AS next_vehicle FROM stays""")
 def s16_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vertex rows become an ordered ring per site."""
-    rows = F.array_sort(F.collect_list(F.struct("vehicle", "seq", "part")))
-    text = F.transform(rows, lambda x: F.concat(x["vehicle"].cast("string"), F.lit(":"), x["seq"].cast("string")))
-    return stays(spark, sf_dir).where("vehicle % 20 = 0").groupBy("site").agg(F.array_join(text, ";").alias("ring"))
+    """Vertex rows get their place in the ring of their site and the vertex after them; a ring is never one value, however long."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("site").orderBy("vehicle", "seq", "part")
+    df = stays(spark, sf_dir).select("site", "vehicle", "seq", "part")
+    return df.withColumn("corner", F.row_number().over(w)).withColumn("next_vehicle", F.lead("vehicle").over(w))
 
 
 @query(f"WITH {PINGS_SQL} SELECT DISTINCT vehicle FROM pings WHERE event_id > 800 AND event_id <= 900")
@@ -148,14 +151,14 @@ def j03_left_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").join(right, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("trips"), F.max("o_orderdate").alias("latest"))
 
 
-@query(f"""WITH {PINGS_SQL}, w AS (SELECT vehicle, event_id AS trip, us AS from_us, us + 36 * {HOUR} AS to_us FROM pings WHERE event_id % 7 = 0)
+@query(f"""WITH {PINGS_SQL}, w AS (SELECT vehicle, event_id AS trip, us AS from_us, us + 36 * {HOUR} AS to_us FROM pings)
 SELECT w.trip, w.vehicle, count(*) AS fixes, min(p.us) AS first_us, max(p.us) AS last_us FROM w JOIN pings p ON p.vehicle = w.vehicle AND p.us >= from_us AND p.us < to_us GROUP BY ALL""")
 def j04_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trip's view of its vehicle's series: fixes within the trip's window. Windows are cut into buckets of time."""
     from wayfold.operators.intervals import overlap_join
 
     df = pings(spark, sf_dir)
-    windows = df.where("event_id % 7 = 0").select("vehicle", F.col("event_id").alias("trip"), F.col("us").alias("from_us"), (F.col("us") + 36 * HOUR).alias("to_us"))
+    windows = df.select("vehicle", F.col("event_id").alias("trip"), F.col("us").alias("from_us"), (F.col("us") + 36 * HOUR).alias("to_us"))
     fixes = df.select("vehicle", "us", (F.col("us") + 1).alias("us_end"))
     held = overlap_join(windows, fixes, "vehicle", 24 * HOUR, "from_us", "to_us", "us", "us_end")
     return held.groupBy("trip", "vehicle").agg(F.count(F.lit(1)).alias("fixes"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
@@ -223,11 +226,11 @@ def j13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("event_id").agg(F.count(F.lit(1)).alias("near"), F.min_by("place", F.struct("metres", "place")).alias("nearest"))
 
 
-@query(f"""WITH {PINGS_SQL}, h AS (SELECT h FROM generate_series(0, 23) AS g(h)), c AS (SELECT (us // {HOUR}) % 24 AS h, count(*) AS n FROM pings WHERE vehicle % 37 = 0 GROUP BY ALL)
+@query(f"""WITH {PINGS_SQL}, h AS (SELECT h FROM generate_series(0, 23) AS g(h)), c AS (SELECT (us // {HOUR}) % 24 AS h, count(*) AS n FROM pings GROUP BY ALL)
 SELECT CAST(h.h AS BIGINT) AS hour, coalesce(n, 0) AS fixes FROM h LEFT JOIN c ON c.h = h.h""")
 def j19_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 24 hours, with nothing where nothing happened."""
-    counts = pings(spark, sf_dir).where("vehicle % 37 = 0").groupBy((F.floor(F.col("us") / HOUR) % 24).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    counts = pings(spark, sf_dir).groupBy((F.floor(F.col("us") / HOUR) % 24).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     return spark.range(24).withColumnRenamed("id", "hour").join(counts, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("fixes"))
 
 

@@ -143,11 +143,11 @@ def i10_phase_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stays(spark, sf_dir).groupBy("vehicle").agg(part("A").alias("loading_us"), part("N").alias("transit_us"), part("R").alias("unloading_us"), (F.max("leave") - F.min("enter")).alias("span_us"))
 
 
-@query(f"""WITH {STAYS_SQL}, a AS (SELECT site, vehicle, enter, leave, part FROM stays WHERE status = 'F' AND part % 5 = 0), b AS (SELECT site, vehicle, enter, leave, part FROM stays WHERE status = 'O' AND part % 5 = 0)
+@query(f"""WITH {STAYS_SQL}, a AS (SELECT site, vehicle, enter, leave, part FROM stays WHERE status = 'F'), b AS (SELECT site, vehicle, enter, leave, part FROM stays WHERE status = 'O')
 SELECT a.site, a.part AS a_part, a.vehicle AS a_vehicle, count(b.part) AS overlaps FROM a LEFT JOIN b ON b.site = a.site AND b.enter < a.leave AND a.enter < b.leave GROUP BY a.site, a.part, a.vehicle, a.enter, a.leave""")
 def j16_run_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each visit of one run, how many visits of another overlap it; visits without any count zero."""
-    df = stays(spark, sf_dir).where("part % 5 = 0")
+    df = stays(spark, sf_dir)
     a = df.where("status = 'F'").select("site", F.col("part").alias("a_part"), F.col("vehicle").alias("a_vehicle"), F.col("enter").alias("a1"), F.col("leave").alias("a2"))
     b = df.where("status = 'O'").select("site", F.col("enter").alias("b1"), F.col("leave").alias("b2"))
     keys = ["site", "a_part", "a_vehicle", "a1", "a2"]
@@ -214,12 +214,12 @@ def n05_demand_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("lane", F.floor(1000 * ((F.col("sy") - slope * F.col("sx")) / F.col("n") + slope * (F.col("last") + 1)) + 0.5).alias("next_milli"))
 
 
-@query(f"""WITH RECURSIVE {PLACED_SQL}, p AS (SELECT event_id AS id, CAST(floor(lat * 1000) AS BIGINT) AS y, CAST(floor(lon * 1000) AS BIGINT) AS x FROM placed WHERE vehicle % 5 = 0),
+@query(f"""WITH RECURSIVE {PLACED_SQL}, p AS (SELECT event_id AS id, CAST(floor(lat * 1000) AS BIGINT) AS y, CAST(floor(lon * 1000) AS BIGINT) AS x FROM placed),
 n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON abs(a.x - b.x) <= 40 AND abs(a.y - b.y) <= 40 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1600),
 core AS (SELECT a FROM n GROUP BY a HAVING count(*) >= 4), e AS (SELECT n.a, n.b FROM n JOIN core c ON c.a = n.a JOIN core d ON d.a = n.b),
 r AS (SELECT a AS id, a AS label FROM core UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.id),
 l AS (SELECT id, min(label) AS label FROM r GROUP BY id) SELECT p.id, coalesce(l.label, (SELECT min(m.label) FROM n JOIN l m ON m.id = n.b WHERE n.a = p.id)) AS cluster FROM p LEFT JOIN l ON l.id = p.id""")
 def g17_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density clusters: grid neighbours, core points, components of cores; a border point joins the lowest cluster near it."""
-    p = placed(spark, sf_dir).where("vehicle % 5 = 0").select(F.col("event_id").alias("id"), F.floor(F.col("lat") * 1000).alias("y"), F.floor(F.col("lon") * 1000).alias("x"))
+    p = placed(spark, sf_dir).select(F.col("event_id").alias("id"), F.floor(F.col("lat") * 1000).alias("y"), F.floor(F.col("lon") * 1000).alias("x"))
     return clusters.dbscan(p, 40, 4)

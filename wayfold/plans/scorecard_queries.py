@@ -166,12 +166,12 @@ def a57_running_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(24).withColumnRenamed("id", "hour").join(h, "hour", "left").na.fill(0)
 
 
-@query(f"""WITH {STAYS_SQL}, f AS (SELECT s_suppkey AS site FROM supplier), v AS (SELECT site, count(*) AS visits, count(DISTINCT vehicle) AS vehicles, count(*) FILTER (WHERE status = 'O') AS open, median(leave - enter) FILTER (WHERE status = 'F') AS dwell_us, max(leave - enter) FILTER (WHERE status = 'F') AS worst_us FROM stays WHERE site % 4 <> 0 GROUP BY site)
+@query(f"""WITH {STAYS_SQL}, f AS (SELECT s_suppkey AS site FROM supplier), v AS (SELECT site, count(*) AS visits, count(DISTINCT vehicle) AS vehicles, count(*) FILTER (WHERE status = 'O') AS open, median(leave - enter) FILTER (WHERE status = 'F') AS dwell_us, max(leave - enter) FILTER (WHERE status = 'F') AS worst_us FROM stays GROUP BY site)
 SELECT f.site, coalesce(visits, 0) AS visits, coalesce(vehicles, 0) AS vehicles, coalesce(open, 0) AS open, dwell_us, worst_us FROM f LEFT JOIN v ON v.site = f.site""")
 def a60_site_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits and dwell per site, dwell over measured stays only, with sites that nobody visited."""
     closed = F.when(F.col("status") == "F", F.col("leave") - F.col("enter"))
-    v = stays(spark, sf_dir).where("site % 4 <> 0").groupBy("site").agg(_n().alias("visits"), F.countDistinct("vehicle").alias("vehicles"), F.count_if(F.col("status") == "O").alias("open"), F.median(closed).alias("dwell_us"), F.max(closed).alias("worst_us"))
+    v = stays(spark, sf_dir).groupBy("site").agg(_n().alias("visits"), F.countDistinct("vehicle").alias("vehicles"), F.count_if(F.col("status") == "O").alias("open"), F.median(closed).alias("dwell_us"), F.max(closed).alias("worst_us"))
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site")).join(v, "site", "left").na.fill(0, ["visits", "vehicles", "open"])
 
 
@@ -315,12 +315,12 @@ def j10_hourly_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(w, ["lane", "hour"], "left").select("event_id", F.when(k.isNull(), "unknown").when(k > 60, "storm").when(k > 30, "rain").otherwise("clear").alias("weather"))
 
 
-@query(f"""WITH {STAYS_SQL}, {PINGS_SQL}, v AS (SELECT vehicle, vehicle % 20 AS site, us AS a, us + {DAY} AS b FROM pings WHERE event_id % 11 = 0)
+@query(f"""WITH {STAYS_SQL}, {PINGS_SQL}, v AS (SELECT vehicle, vehicle % 20 AS site, us AS a, us + {DAY} AS b FROM pings)
 SELECT v.vehicle, v.a, count(*) AS fixes, count(*) FILTER (WHERE speed > 4000) AS fast, arg_max(event_id, (speed, event_id)) AS worst FROM v JOIN pings p ON p.vehicle = v.vehicle AND p.us >= v.a AND p.us < v.b GROUP BY ALL""")
 def m08_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The worst fix and the number of violations inside each visit."""
     df = pings(spark, sf_dir)
-    visits = df.where("event_id % 11 = 0").select("vehicle", F.col("us").alias("a"), (F.col("us") + DAY).alias("b"))
+    visits = df.select("vehicle", F.col("us").alias("a"), (F.col("us") + DAY).alias("b"))
     fixes = df.select("vehicle", "us", (F.col("us") + 1).alias("us_end"), "speed", "event_id")
     held = I.overlap_join(visits, fixes, "vehicle", DAY, "a", "b", "us", "us_end")
     return held.groupBy("vehicle", "a").agg(_n().alias("fixes"), F.count_if(F.col("speed") > 4000).alias("fast"), F.max_by("event_id", F.struct("speed", "event_id")).alias("worst"))

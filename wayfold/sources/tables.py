@@ -82,7 +82,8 @@ trips AS (
   FROM orders LEFT JOIN lines ON trip = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN supplier ON s_suppkey = carrier)"""
 
 
-def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trips(spark: SparkSession, sf_dir: str, lanes: bool = True) -> DataFrame:
+    """``lanes``: with origin and dest, which take two more joins."""
     lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("trip")).agg(
         F.count(F.lit(1)).alias("stops"),
         F.sum(F.col("l_quantity").cast("long")).alias("qty"),
@@ -99,7 +100,10 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").alias("booked"),
         F.round(F.col("o_totalprice") * 100).cast("long").alias("price"),
     )
+    days = F.datediff(F.to_date("ended"), F.to_date("started")).cast("long")
+    met = orders.join(lines, "trip", "left").withColumn("days", days)
+    if not lanes:
+        return met
     who = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("origin"))
     by = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("carrier"), F.col("s_nationkey").alias("dest"))
-    days = F.datediff(F.to_date("ended"), F.to_date("started")).cast("long")
-    return orders.join(lines, "trip", "left").join(who, "customer", "left").join(by, "carrier", "left").withColumn("days", days)
+    return met.join(who, "customer", "left").join(by, "carrier", "left")
