@@ -1,7 +1,8 @@
 """Language identification by Bayesian evidence fusion.
 
 Text likelihoods are multinomial models over hashed character trigrams, counted for every declared language over all
-rows by a grouped aggregation. A first reading by text alone gives the counts behind the other evidence: how often a
+rows by a grouped aggregation; a text weighs as much as ``WEIGHT`` trigrams at most, so that no very long one becomes
+its language. A first reading by text alone gives the counts behind the other evidence: how often a
 language declares which markup language, how often it stands under which address suffix, and which languages a host
 publishes. Host priors are smoothed towards their suffix, suffixes towards the whole corpus, so rare hosts borrow from
 what lies above them. The posterior adds up the logarithms.
@@ -30,6 +31,8 @@ from wayfold.llm.common import pieces_of, slim, stage, utf8
 
 #: Hashed trigrams; nats that a trigram must gain over evenly spread ones, and that a text may lack; bytes of a model.
 BUCKETS, LIFT, MISFIT, MODEL = 1 << 14, 0.5, 20.0, 512 << 20
+#: Trigrams that a text counts for in a model, at most; all of them are counted, with a lower weight.
+WEIGHT = 1_000.0
 #: Weight of the text evidence of one trigram (trigrams overlap), and pseudo-counts of the smoothing.
 TRIGRAM_WEIGHT, PULL, DOUBT = 0.35, 20.0, 1.0
 _FOLD = np.full(256, 32, np.uint8)
@@ -57,12 +60,13 @@ def _counts(languages: list[str]):
     index = {name: k for k, name in enumerate(languages)}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        total = np.zeros((len(languages), BUCKETS))
         for batch in pieces_of(batches):
             bucket, row, _ = _trigrams(*utf8(batch.column(1)))
             lang = np.array([index.get(x, -1) for x in batch.column(0).to_pylist()])[row]
+            weight = np.minimum(1.0, WEIGHT / np.maximum(np.bincount(row, minlength=batch.num_rows), 1))[row]
             ok = lang >= 0
-            total += np.bincount(lang[ok] * BUCKETS + bucket[ok], minlength=total.size).reshape(total.shape)
+            total += np.bincount(lang[ok] * BUCKETS + bucket[ok], weight[ok], total.size).reshape(total.shape)
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], names=["lang", "bucket", "n"])
 
@@ -133,7 +137,7 @@ def identify(rows: DataFrame, accepted: list[str] | None = None, least_posterior
         return plain.select("id", *none)
     k = len(languages)
 
-    partial = plain.select("declared", "text").mapInArrow(slim(_counts(languages)), "lang int, bucket int, n long")
+    partial = plain.select("declared", "text").mapInArrow(slim(_counts(languages)), "lang int, bucket int, n double")
     counted = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
     model = np.full((k, BUCKETS), 0.5)
     model[counted["lang"].to_numpy(int), counted["bucket"].to_numpy(int)] += counted["n"].to_numpy(float)
