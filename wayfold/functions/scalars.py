@@ -180,16 +180,20 @@ def ring_wkt(ring: Column) -> Column:
 def distance_to_ring_m(lat: Column, lon: Column, ring: Column) -> Column:
     """Metres from a point to the nearest edge of a ring, in a flat frame around the point."""
     n, metre = F.size(ring), F.lit(EARTH_M) * F.radians(F.lit(1.0))
-    flat = F.transform(ring, lambda p: F.struct(((p["lon"] - lon) * metre * F.cos(F.radians(lat))).alias("x"), ((p["lat"] - lat) * metre).alias("y")))
+    wide = metre * F.cos(F.radians(lat))
 
     def edge(i: Column) -> Column:
-        a, b = F.get(flat, i), F.get(flat, (i + 1) % n)
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        along = F.coalesce(F.try_divide(-(a["x"] * dx + a["y"] * dy), dx * dx + dy * dy), F.lit(0.0))
-        at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-        return F.sqrt(F.pow(a["x"] + at * dx, 2) + F.pow(a["y"] + at * dy, 2))
+        a, b = F.get(ring, i), F.get(ring, (i + 1) % n)
+        return F.struct(
+            ((a["lon"] - lon) * wide).alias("x"), ((a["lat"] - lat) * metre).alias("y"), ((b["lon"] - a["lon"]) * wide).alias("dx"), ((b["lat"] - a["lat"]) * metre).alias("dy")
+        )
 
-    return F.array_min(F.transform(F.sequence(F.lit(0), n - 1), edge))
+    def nearest(e: Column) -> Column:
+        along = F.coalesce(F.try_divide(-(e["x"] * e["dx"] + e["y"] * e["dy"]), e["dx"] * e["dx"] + e["dy"] * e["dy"]), F.lit(0.0))
+        return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)).alias("t"), e.alias("e"))
+
+    points = F.transform(F.transform(F.sequence(F.lit(0), n - 1), edge), nearest)
+    return F.array_min(F.transform(points, lambda p: F.hypot(p["e"]["x"] + p["t"] * p["e"]["dx"], p["e"]["y"] + p["t"] * p["e"]["dy"])))
 
 
 def signed_distance_m(lat: Column, lon: Column, ring: Column) -> Column:

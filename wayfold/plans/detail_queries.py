@@ -246,7 +246,7 @@ def c45_live_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.crossJoin(F.broadcast(newest)).select("vehicle", "us", "lat", "lon", "moving", (F.col("us") >= F.col("newest") - 3 * DAY).alias("live"))
 
 
-@query(f"WITH {TRIPS_SQL} SELECT trip, qty FROM trips WHERE qty IS NOT NULL ORDER BY abs(qty - 123), trip LIMIT 1")
+@query(f"WITH {TRIPS_SQL} SELECT trip, qty FROM trips WHERE qty IS NOT NULL ORDER BY abs(qty - 123), trip LIMIT 1", whole=("qty",))
 def c48_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips(spark, sf_dir, lanes=False).where("qty is not null").orderBy(F.abs(F.col("qty") - 123), "trip").select("trip", "qty").limit(1)
 

@@ -269,7 +269,7 @@ def u06_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return touch(lines.where("l_returnflag = 'R'")).union(touch(lines.where("l_quantity = 50"))).distinct()
 
 
-@query("SELECT p_partkey, p_size * 1000 AS whole, CAST(p_size AS DOUBLE) / 2 AS share, CAST(NULL AS BIGINT) AS bad FROM part")
+@query("SELECT p_partkey, CAST(p_size * 1000 AS BIGINT) AS whole, CAST(p_size AS DOUBLE) / 2 AS share, CAST(NULL AS BIGINT) AS bad FROM part")
 def f02_tolerant_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Separators and percent signs are ignored; what is no number is null."""
     size = F.col("p_size")
@@ -326,7 +326,7 @@ def f12_half_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pings(spark, sf_dir).groupBy((F.floor(F.col("us") / (HOUR // 2)) * (HOUR // 2)).alias("slot_us")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT p_partkey, CAST(floor(100 * ln(1 + p_size) + 0.5) AS BIGINT) AS squash, CAST(ceil(p_size / 7.0::DOUBLE) AS BIGINT) AS up, greatest(p_size, 10) AS least_ten, abs(p_size - 25) AS off,
+@query("""SELECT p_partkey, CAST(floor(100 * ln(1 + p_size) + 0.5) AS BIGINT) AS squash, CAST(ceil(p_size / 7.0::DOUBLE) AS BIGINT) AS up, CAST(greatest(p_size, 10) AS BIGINT) AS least_ten, abs(p_size - 25) AS off,
 CAST(p_size AS DOUBLE) * p_size AS square FROM part""")
 def f13_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
