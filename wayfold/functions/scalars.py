@@ -206,3 +206,16 @@ def adaptive_band(inradius_m: Column, widest: float = 25.0, least: float = 5.0,
     """The band of a zone: narrower in small zones, never wider than they are; the widest where the size is not known."""
     band = F.least(F.lit(widest), F.greatest(F.lit(least), share * inradius_m), 0.8 * inradius_m)
     return F.when(inradius_m.isNull(), widest).otherwise(F.greatest(F.lit(0.5), band))
+
+
+def cell_timestamp(c: Column) -> Column:
+    """A cell of a sheet: a serial day of spreadsheets (from 1899-12-30, plausible ones only), else a text in a known format."""
+    serial = c.try_cast("double")
+    day = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int")).cast("timestamp_ntz")
+    return F.when(serial.between(20_000, 80_000), day).otherwise(F.when(serial.isNull(), parsed_timestamp(c)))
+
+
+def clock_minutes(c: Column) -> Column:
+    """Minutes of "hh:mm", or of a share of the day."""
+    clock = F.regexp_extract(c, r"^(\d+):(\d+)", 1).try_cast("long") * 60 + F.regexp_extract(c, r"^(\d+):(\d+)", 2).try_cast("long")
+    return F.coalesce(clock, F.round(c.try_cast("double") * 1440).cast("long"))
