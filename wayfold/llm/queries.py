@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe_transducer, exact_dedup, language, line_dedup, near_vectors, ngram_join, packing, quality, secrets, suffix_dedup
+from wayfold.llm import bpe_transducer, exact_dedup, language, line_dedup, near_vectors, ngram_join, oracles, packing, quality, secrets, suffix_dedup
 from wayfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,4 +67,10 @@ _ALL = (
     op7_exact_dedup, op8_ngram_join, op9_quality, op10_byte_bpe, language_id_of_pages,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": oracles.LINE_DEDUP,
+    "op3_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op6_near_vectors": oracles.NEAR_VECTORS,
+    "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_ngram_join": oracles.NGRAM_JOIN,
+}
