@@ -219,3 +219,11 @@ def clock_minutes(c: Column) -> Column:
     """Minutes of "hh:mm", or of a share of the day."""
     clock = F.regexp_extract(c, r"^(\d+):(\d+)", 1).try_cast("long") * 60 + F.regexp_extract(c, r"^(\d+):(\d+)", 2).try_cast("long")
     return F.coalesce(clock, F.round(c.try_cast("double") * 1440).cast("long"))
+
+
+def encoded_steps(step: Column) -> Column:
+    """Whole steps of up to 34 bits in the text code of polylines: sign in the lowest bit, groups of five bits, the low ones first."""
+    z = F.when(step < 0, -2 * step - 1).otherwise(2 * step).cast("long")
+    rest = [F.shiftright(z, 5 * i) for i in range(8)]
+    group = [F.chr(63 + rest[i].bitwiseAND(31) + F.when(rest[i + 1] > 0, 32).otherwise(0)) for i in range(7)]
+    return F.concat(group[0], *[F.when(rest[i] > 0, group[i]).otherwise("") for i in range(1, 7)])

@@ -50,4 +50,5 @@ def load() -> None:
         scorecard_queries,
         sequence_queries,
         stream_queries,
+        upkeep_queries,
     )

@@ -363,6 +363,20 @@ def g06_signed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signed(spark, sf_dir).select("event_id", F.floor(F.abs("distance") / 10 + 0.5).alias("tens"), (F.col("distance") < 0).alias("inside"))
 
 
+@query(f"""WITH {_RING_SQL}, tens AS (
+  SELECT event_id, vehicle % 50 AS trail, lat, lon, CAST(floor(far / 10 + 0.5) AS BIGINT) AS tens FROM near JOIN placed USING (event_id)),
+closest AS (SELECT *, row_number() OVER (PARTITION BY trail ORDER BY tens, event_id) AS place FROM tens)
+SELECT trail, event_id, tens, lat > 19.95 AND lat < 29.95 AND lon > 76.05 AND lon < 78.25 AS inside, true AS agree FROM closest WHERE place <= 6""")
+def c61_containment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each trail the six fixes closest to the edge of a zone: the side by signed distance against the side by crossing count."""
+    ring = F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in _RING])
+    by_count = X.point_in_ring(F.col("lat"), F.col("lon"), ring)
+    near = _signed(spark, sf_dir).select("event_id", (F.col("vehicle") % 50).alias("trail"), "distance", by_count.alias("inside"), F.floor(F.abs("distance") / 10 + 0.5).alias("tens"))
+    place = F.row_number().over(Window.partitionBy("trail").orderBy("tens", "event_id"))
+    six = near.withColumn("place", place).where("place <= 6")
+    return six.select("trail", "event_id", "tens", "inside", ((F.col("distance") < 0) == F.col("inside")).alias("agree"))
+
+
 @query()
 def i26_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits of a zone paired from confirmed crossings; sequential, so tested against hand-made series and not in SQL."""

@@ -41,8 +41,8 @@ def s27_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s28_alias_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old names over a contract, as a view for SQL."""
     view = read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").withColumnsRenamed({"o_orderkey": "trip_no", "o_orderstatus": "trip_status", "o_orderpriority": "class"})
-    view.createOrReplaceTempView("tta_trips_by_contract")
-    return spark.sql("SELECT trip_no, trip_status, class FROM tta_trips_by_contract")
+    view.createOrReplaceTempView("trips_by_contract")
+    return spark.sql("SELECT trip_no, trip_status, class FROM trips_by_contract")
 
 
 @query("SELECT o_orderkey // 1000 AS chunk, count(*) AS n, min(o_orderkey) AS from_id, max(o_orderkey) AS to_id FROM orders GROUP BY 1")
