@@ -109,3 +109,64 @@ components AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
 SELECT t.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, t.doc_id) AS component_id
 FROM texts t LEFT JOIN sizes s ON t.doc_id = s.doc_id LEFT JOIN components c ON t.doc_id = c.a
 """
+
+_PIECES = rf"string_split_regex({_LOWER.format(text='text')}, '[.,;:!?\x0A-\x0D]')"
+
+COLLOCATIONS = rf"""
+WITH pieces AS MATERIALIZED (
+  SELECT lang, row_number() OVER () AS piece_no, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest({_PIECES}) AS piece FROM documents)),
+words AS (SELECT lang, piece_no, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM pieces),
+runs AS MATERIALIZED (
+  SELECT lang, word, lead(word) OVER run AS word2, lead(word, 2) OVER run AS word3 FROM words WINDOW run AS (PARTITION BY piece_no ORDER BY i)),
+totals AS (SELECT lang, count(*) AS n FROM runs GROUP BY lang),
+grams AS (
+  SELECT lang, 1 AS size, word AS phrase FROM runs
+  UNION ALL SELECT lang, 2, word || ' ' || word2 FROM runs WHERE word2 IS NOT NULL
+  UNION ALL SELECT lang, 3, word || ' ' || word2 || ' ' || word3 FROM runs WHERE word3 IS NOT NULL),
+counts AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT c.lang, c.size, c.phrase, c.f AS a, h.f AS l, t.f AS r, k.k,
+         (1000000::HUGEINT * c.f * c.f) // (h.f::HUGEINT * t.f) AS score
+  FROM counts c JOIN (VALUES (1), (2)) k(k) ON k.k < c.size
+  JOIN counts h ON h.lang = c.lang AND h.phrase = array_to_string(string_split(c.phrase, ' ')[1:k.k], ' ')
+  JOIN counts t ON t.lang = c.lang AND t.phrase = array_to_string(string_split(c.phrase, ' ')[k.k + 1:], ' ')
+  WHERE c.size > 1),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (
+  SELECT lang, phrase, max(f) AS longer FROM (
+    SELECT lang, f, array_to_string(string_split(phrase, ' ')[1:2], ' ') AS phrase FROM counts WHERE size = 3
+    UNION ALL SELECT lang, f, array_to_string(string_split(phrase, ' ')[2:3], ' ') FROM counts WHERE size = 3)
+  GROUP BY lang, phrase),
+free AS (
+  SELECT lowest.* FROM lowest LEFT JOIN held ON held.lang = lowest.lang AND held.phrase = lowest.phrase
+  WHERE held.longer IS NULL OR 100 * held.longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM free)
+SELECT ranked.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+"""
+
+FILL_IN_MIDDLE = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+drawn AS (
+  SELECT *, len(lines) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM texts),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, array_to_string(lines[1:low], '') AS prefix, array_to_string(lines[low + 1:high], '') AS middle, array_to_string(lines[high + 1:], '') AS suffix
+  FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                   ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(CASE WHEN form = 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM parts
+"""

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe_transducer, exact_dedup, language, line_dedup, near_vectors, ngram_join, oracles, packing, quality, secrets, suffix_dedup
+from wayfold.llm import (
+    bpe_transducer, collocations, exact_dedup, fill_in_middle, language, line_dedup, near_vectors, ngram_join, oracles, packing,
+    personal_data, quality, secrets, suffix_dedup,
+)
 from wayfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,9 +65,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_line_dedup, op2_language_id, op3_suffix_dedup, op4_best_fit_packing, op5_secret_scan, op6_near_vectors,
-    op7_exact_dedup, op8_ngram_join, op9_quality, op10_byte_bpe, language_id_of_pages,
+    op7_exact_dedup, op8_ngram_join, op9_quality, op10_byte_bpe, op11_personal_data, op12_collocations, op13_fill_in_middle, language_id_of_pages,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {
@@ -73,4 +88,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_near_vectors": oracles.NEAR_VECTORS,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_ngram_join": oracles.NGRAM_JOIN,
+    "op12_collocations": oracles.COLLOCATIONS,
+    "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
