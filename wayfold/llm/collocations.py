@@ -250,9 +250,9 @@ def frequent_pairs(rows: DataFrame, least: int, shard: int, n_bits: int) -> np.n
     mask = F.lit(n_bits - 1).cast("long")
     places = F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 32).bitwiseAND(mask))
     words = counted.select(F.explode(places).alias("place")).select(F.shiftrightunsigned("place", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(n_bits // 64, np.uint64)
-    bits[found["word"].to_numpy(int)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return bits
 
 
