@@ -253,7 +253,7 @@ def test_word_tokenizer_equals_library():
     rng = random.Random(2)
     with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as file:
         own = packing.WordTokenizer(file.read())
-    letters = "ab  \n\t'sé中文😀1 2,.!ñΣİXß́ <|startoftext|>\x85\x1c"
+    letters = "ab  \n\t'sé中文😀1 2,.!ñΣİXß́ <|startoftext|>\x85\x1c" + "".join(map(chr, range(128)))
     for _ in range(1_500):
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
         assert np.frombuffer(own.encode(text), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe_transducer, exact_dedup, language, line_dedup, near_vectors, ngram_join, packing, quality, secrets, suffix_dedup
+from wayfold.llm import bpe_transducer, collocations, exact_dedup, fill_in_middle, language, line_dedup, near_vectors, ngram_join, packing, personal_data, quality, secrets, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, mark int, copies string, text_key string, n int, at string, key string"
 LONG = " ".join(f"word{i % 977} other{i % 613}." for i in range(30_000))
@@ -48,11 +48,14 @@ def operators(labels):
         "exact": exact_dedup.exact_dedup,
         "ngrams": ngram_join.ngram_join,
         "quality": lambda d: quality.quality_scores(d, labels),
+        "personal": personal_data.personal_data,
+        "phrases": collocations.collocations,
+        "middle": fill_in_middle.fill_in_middle,
         "bpe": lambda d: bpe_transducer.token_digests(d, byte, public_tokenizers.PATTERN),
     }
 
 
-@pytest.mark.parametrize("name", ["lines", "language", "suffix", "packing", "secrets", "exact", "ngrams", "quality", "bpe"])
+@pytest.mark.parametrize("name", ["lines", "language", "suffix", "packing", "secrets", "exact", "ngrams", "quality", "personal", "phrases", "middle", "bpe"])
 def test_empty_table(empty, labels, name):
     assert operators(labels)[name](empty).collect() == []
 

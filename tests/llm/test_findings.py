@@ -120,6 +120,23 @@ def test_rare_languages_are_learnt_and_noise_is_rejected(spark):
     assert not got[3_000].kept and got[3_000].fit < 0
 
 
+def test_length_does_not_decide(spark):
+    """A language that only odd texts declare says nothing about fit: texts of its letters stay, whole or cut, and noise goes."""
+    english = "the quick brown fox jumps over the lazy dog and then sleeps all day long in the warm sun " * 400
+    noise = "".join(chr(0x4E00 + i * 37 % 9000) for i in range(3_000))
+    rows = [(i, t, "en") for i, t in enumerate(("xx yy zz", "hello there 1", "q w e r t y"))]
+    rows += [(100 + n, english[:n], None) for n in (30, 60, 200, 1_000, 30_000)] + [(50 + k, noise[:n], None) for k, n in enumerate((100, 3_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("web"))
+    kept = {r.doc_id: r.kept for r in language.language_of_documents(docs).collect()}
+    assert all(v for i, v in kept.items() if i >= 100) and not kept[50] and not kept[51]
+
+
+def test_pages_without_address_or_markup(spark):
+    pages = [(1, None, None), (2, "http://a.de/x", "<html lang='de'><script>" * 2_000), (3, "not an address", "lorem kibo <!-- open"), (4, "http://b.aa/", "<html lang=aa>lorem kibo < tando mira</html>")]
+    got = {r.page_id: r for r in language.language_of_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(got) == 4 and not got[1].kept and got[4].lang == "aa" and got[4].letters == 18
+
+
 def test_vectors_of_extreme_size(spark):
     rows = [(1, [1e200, 0.0]), (2, [1e200, 1.0]), (3, [1e-200, 0.0]), (4, [2e-200, 0.0]), (5, [1.0, 0.0]), (6, [0.0, 1e-300])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}

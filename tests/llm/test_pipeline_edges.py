@@ -58,3 +58,17 @@ def test_packing_holds_every_token(results):
 @pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
 def test_no_rows(spark, name):
     assert dict(corpus_pipeline.STAGES)[name](spark, spark.createDataFrame([], COLUMNS), "").count() == 0
+
+
+def test_only_the_span_of_a_finding_changes(spark):
+    cases = [
+        ("the password: 1 was tried 11 times in 2011 with 1 user", "the password: [secret] was tried 11 times in 2011 with 1 user"),
+        (" \n bearer A1 class A1 road A10\n\n", " \n bearer [secret] class A1 road A10\n\n"),
+        ("password=hunter2 and hunter2\n x", "password=[secret] and hunter2\n x"),
+        ("token = 2024 in the year 2024", "token = [secret] in the year 2024"),
+        ('see (secret="Ab1!x#9qZ"). end  ', 'see (secret="[secret]"). end  '),
+        ("ghp_abcdefghijklmnop123456,ghp_abcdefghijklmnop123456 x", "[secret],[secret] x"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, (t, _) in enumerate(cases)], COLUMNS)
+    texts = {r.doc_id: r.text for r in corpus_pipeline.scan_secrets(spark, docs, "").collect()}
+    assert [texts[i] for i in range(len(cases))] == [t for _, t in cases]

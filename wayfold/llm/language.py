@@ -9,9 +9,12 @@ what lies above them. The posterior adds up the logarithms.
 
 Every declared language is learnt, however few rows declare it; rare ones lean on the smoothed priors. A declaration
 counts by its primary subtag (``pt-BR`` is ``pt``) if that has 2 to 8 letters. Beside the posterior, which only compares
-the learnt languages, a text must fit: its best language must make it likelier than evenly spread trigrams would, by
-``LIFT`` nats a trigram; only texts that miss this by more than ``MISFIT`` nats in all, so no short ones, are rejected.
-Those are noise and scripts that no language was learnt for.
+the learnt languages, a text must fit. Where its language was learnt from at least ``EVIDENCE`` weighted trigrams, that
+language must make it likelier than evenly spread trigrams would, by ``LIFT`` nats a trigram. A language learnt from less
+says too little about other texts of its own; there the letters decide, which few texts suffice to learn: the letters of
+all declared texts together must make the text likelier than evenly spread bytes. Both are means per trigram or byte, and
+a text passes that comes within two standard errors of the bar (``SPREAD`` nats over the root of its number), so it is
+rejected on what it is, not on how long it is. What is rejected is noise and scripts that no language was learnt for.
 
 Defined results: null or letterless text has no language (``und``) and is rejected; null declarations, suffixes and
 hosts are values of their own ("absent"); a null id is kept; repeated rows are judged alike; an empty table gives an
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import pieces_of, slim, stage, utf8
 
-#: Hashed trigrams; nats that a trigram must gain over evenly spread ones, and that a text may lack; bytes of a model.
-BUCKETS, LIFT, MISFIT, MODEL = 1 << 14, 0.5, 20.0, 512 << 20
+#: Hashed trigrams; nats that a trigram must gain over evenly spread ones; their spread; bytes of a model.
+BUCKETS, LIFT, SPREAD, MODEL = 1 << 14, 0.5, 2.0, 512 << 20
+#: Weighted trigrams from which a model is more data than smoothing; the number that stands for the letters of all languages.
+EVIDENCE, LETTERS = 0.5 * BUCKETS, -1
 #: Trigrams that a text counts for in a model, at most; all of them are counted, with a lower weight.
 WEIGHT = 1_000.0
 #: Weight of the text evidence of one trigram (trigrams overlap), and pseudo-counts of the smoothing.
@@ -56,36 +61,45 @@ def _trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _counts(languages: list[str]):
-    """Trigram counts by declared language, added up within the task."""
+    """Trigram counts by declared language, and counts of letters, added up within the task."""
     index = {name: k for k, name in enumerate(languages)}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS))
+        total, letters = np.zeros((len(languages), BUCKETS)), np.zeros(256)
         for batch in pieces_of(batches):
-            bucket, row, _ = _trigrams(*utf8(batch.column(1)))
+            data, offs = utf8(batch.column(1))
+            bucket, row, _ = _trigrams(data, offs)
+            known = np.array([x in index for x in batch.column(0).to_pylist()])
+            size = np.diff(offs)
+            letters += np.bincount(_FOLD[data], np.repeat(known * np.minimum(1.0, WEIGHT / np.maximum(size, 1)), size), 256)
             lang = np.array([index.get(x, -1) for x in batch.column(0).to_pylist()])[row]
             weight = np.minimum(1.0, WEIGHT / np.maximum(np.bincount(row, minlength=batch.num_rows), 1))[row]
             ok = lang >= 0
             total += np.bincount(lang[ok] * BUCKETS + bucket[ok], weight[ok], total.size).reshape(total.shape)
         lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], names=["lang", "bucket", "n"])
+        seen = np.flatnonzero(letters)
+        n = np.concatenate([total[lang, bucket], letters[seen]])
+        lang, bucket = np.concatenate([lang, np.full(len(seen), LETTERS)]), np.concatenate([bucket, seen])
+        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(n)], names=["lang", "bucket", "n"])
 
     return run
 
 
 def _read(shared, weight: float):
-    """The log-likelihood of each text under each language, and its letters. Columns: key columns, then text."""
+    """The log-likelihood of each text under each language, its letters and how well they fit. Columns: key columns, then text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, alphabet = shared.value
         for batch in pieces_of(batches):
-            bucket, row, letters = _trigrams(*utf8(batch.column(batch.schema.get_field_index("text"))))
+            data, offs = utf8(batch.column(batch.schema.get_field_index("text")))
+            bucket, row, letters = _trigrams(data, offs)
+            gain = np.bincount(np.repeat(np.arange(batch.num_rows), np.diff(offs)), alphabet[_FOLD[data]], batch.num_rows) / np.maximum(letters, 1)
             score = np.stack([np.bincount(row, weights=own[bucket], minlength=batch.num_rows) for own in model], 1) * weight
             listed = pa.FixedSizeListArray.from_arrays(pa.array(score.ravel()), len(model)).cast(pa.list_(pa.float64()))
             many = np.bincount(row, minlength=batch.num_rows)
             keys = [c for c, name in zip(batch.columns, batch.schema.names) if name != "text"]
             names = [name for name in batch.schema.names if name != "text"]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(letters.astype(np.int64)), pa.array(many.astype(np.int64)), listed], names=[*names, "letters", "trigrams", "heard"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(letters.astype(np.int64)), pa.array(many.astype(np.int64)), pa.array(gain), listed], names=[*names, "letters", "trigrams", "spelt", "heard"])
 
     return run
 
@@ -117,9 +131,9 @@ def _added(a: Column, b: Column) -> Column:
 def identify(rows: DataFrame, accepted: list[str] | None = None, least_posterior: float = 0.5) -> DataFrame:
     """``rows`` has the columns id, text, declared, suffix, host.
 
-    Gives id, lang, posterior, declared, letters, fit, kept: kept rows have letters, reach ``least_posterior``, fit their
-    language and speak an accepted one (null: any that was learnt). ``fit`` is in nats per trigram, above evenly spread
-    trigrams.
+    Gives id, lang, posterior, declared, letters, fit, founded, kept: kept rows have letters, reach ``least_posterior``,
+    fit their language and speak an accepted one (null: any that was learnt). ``fit`` is in nats per trigram, above evenly
+    spread trigrams; ``founded`` says whether the language rests on enough text for that to count.
     """
     plain = rows.select(
         F.col("id").cast("long").alias("id"),
@@ -133,17 +147,24 @@ def identify(rows: DataFrame, accepted: list[str] | None = None, least_posterior
     if len(languages) > most:
         raise ValueError(f"more than {most} languages are declared: map the declarations to language tags first")
     if not languages:
-        none = (F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), "declared", F.lit(0).cast("long").alias("letters"), F.lit(0.0).alias("fit"), F.lit(False).alias("kept"))
+        none = (F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), "declared", F.lit(0).cast("long").alias("letters"), F.lit(0.0).alias("fit"), F.lit(False).alias("founded"), F.lit(False).alias("kept"))
         return plain.select("id", *none)
     k = len(languages)
 
     partial = plain.select("declared", "text").mapInArrow(slim(_counts(languages)), "lang int, bucket int, n double")
     counted = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
-    model = np.full((k, BUCKETS), 0.5)
-    model[counted["lang"].to_numpy(int), counted["bucket"].to_numpy(int)] += counted["n"].to_numpy(float)
-    shared = rows.sparkSession.sparkContext.broadcast(np.log(model / model.sum(1, keepdims=True)).astype(np.float32))
-
-    schema = "id long, declared string, suffix string, host string, letters long, trigrams long, heard array<double>"
+    spelt = counted["lang"].to_numpy(int) == LETTERS
+    model, alphabet = np.full((k, BUCKETS), 0.5), np.full(256, 0.5)
+    model[counted["lang"].to_numpy(int)[~spelt], counted["bucket"].to_numpy(int)[~spelt]] += counted["n"].to_numpy(float)[~spelt]
+    alphabet[counted["bucket"].to_numpy(int)[spelt]] += counted["n"].to_numpy(float)[spelt]
+    evidence = [float(x) for x in model.sum(1) - 0.5 * BUCKETS]
+    # Letters are told from other letters: blanks, and the bytes that folding makes blanks, say nothing.
+    folded = np.unique(_FOLD[_FOLD != 32])
+    gains = np.zeros(256, np.float64)
+    gains[folded] = np.log(alphabet[folded] / alphabet[folded].sum() * len(folded))
+    shared = rows.sparkSession.sparkContext.broadcast((np.log(model / model.sum(1, keepdims=True)).astype(np.float32), gains))
+
+    schema = "id long, declared string, suffix string, host string, letters long, trigrams long, spelt double, heard array<double>"
     read = plain.select("id", "declared", "suffix", "host", "text").mapInArrow(slim(_read(shared, TRIGRAM_WEIGHT)), schema)
     read = stage(read.withColumn("first", _best("heard", languages)), "language-read")
 
@@ -165,8 +186,11 @@ def identify(rows: DataFrame, accepted: list[str] | None = None, least_posterior
     none = F.array(*[F.lit(0.0)] * k)
     fused = read.join(hosts, "host", "left").join(declares, "declared", "left").join(stands, "suffix", "left")
     total_score = _added(_added(F.col("heard"), _log(F.coalesce("host_prior", flat))), _added(F.coalesce("says", none), F.coalesce("stands", none)))
-    fit = F.array_max("heard") / TRIGRAM_WEIGHT + F.col("trigrams") * float(np.log(BUCKETS))
-    scored = fused.select("id", "declared", "letters", "trigrams", fit.alias("fit"), total_score.alias("score")).withColumn("top", F.array_max("score")).withColumn("at", _best("score", languages))
+    fit = (F.array_max("heard") / TRIGRAM_WEIGHT) / F.greatest("trigrams", F.lit(1)) + F.when(F.col("trigrams") > 0, float(np.log(BUCKETS))).otherwise(0.0)
+    founded = F.get(F.array(*[F.lit(x >= EVIDENCE) for x in evidence]), _best("heard", languages))
+    near = lambda mean, n: mean + 2 * SPREAD / F.sqrt(F.greatest(n, F.lit(1)))
+    likely = F.when(founded, near(fit, F.col("trigrams")) >= LIFT).otherwise(near(F.col("spelt"), F.col("letters")) >= 0)
+    scored = fused.select("id", "declared", "letters", fit.alias("fit"), founded.alias("founded"), likely.alias("likely"), total_score.alias("score")).withColumn("top", F.array_max("score")).withColumn("at", _best("score", languages))
     sum_exp = F.aggregate(F.transform("score", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, b: a + b)
     named = F.array(*[F.lit(x) for x in languages])
     spoken = F.col("letters") > 0
@@ -176,8 +200,9 @@ def identify(rows: DataFrame, accepted: list[str] | None = None, least_posterior
         F.when(spoken, 1 / sum_exp).otherwise(0.0).alias("posterior"),
         "declared",
         "letters",
-        (F.col("fit") / F.greatest("trigrams", F.lit(1))).alias("fit"),
-        (F.col("fit") - LIFT * F.col("trigrams") >= -MISFIT).alias("likely"),
+        "fit",
+        "founded",
+        "likely",
     )
     wanted = F.col("lang").isin(accepted) if accepted is not None else F.lit(True)
     return out.withColumn("kept", (F.col("letters") > 0) & (F.col("posterior") >= least_posterior) & F.col("likely") & wanted).drop("likely")
@@ -200,18 +225,18 @@ def documents_evidence(docs: DataFrame) -> DataFrame:
 
 
 def pages_evidence(pages: DataFrame) -> DataFrame:
-    """Pages declare a language in their markup; suffix and host come from the address."""
+    """Pages declare a language in their markup; suffix and host come from the address. What is left open ends with the page."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1))
     marked = F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
-    visible = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-zA-Z#0-9]+;", " ")
+    visible = F.regexp_replace("html", r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^<>]*>|&[a-zA-Z#0-9]+;", " ")
     return pages.select(F.col("page_id").alias("id"), visible.alias("text"), F.nullif(marked, F.lit("")).alias("declared"), F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit("")).alias("suffix"), F.nullif(host, F.lit("")).alias("host"))
 
 
 def language_of_documents(docs: DataFrame, accepted: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, lang, posterior, declared, letters, fit, kept."""
+    """One row per document: doc_id, lang, posterior, declared, letters, fit, founded, kept."""
     return identify(documents_evidence(docs), accepted).withColumnRenamed("id", "doc_id")
 
 
 def language_of_pages(pages: DataFrame, accepted: list[str] | None = None) -> DataFrame:
-    """One row per page: page_id, lang, posterior, declared, letters, fit, kept."""
+    """One row per page: page_id, lang, posterior, declared, letters, fit, founded, kept."""
     return identify(pages_evidence(pages), accepted).withColumnRenamed("id", "page_id")

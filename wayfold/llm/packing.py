@@ -83,7 +83,7 @@ class WordTokenizer:
 
     def _part(self, part: str) -> bytes:
         """One pre-token, lower-cased: its bytes as the model spells them, merged by the library."""
-        spelt = part if part.isascii() else part.encode().decode("latin-1").translate(_SPELT)
+        spelt = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_SPELT)
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _word(self, word: str) -> bytes:

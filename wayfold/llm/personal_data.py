@@ -52,7 +52,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _BRACKETED_AT = re.compile(r"[\[({<][ \t]?(?:at|AT|@)[ \t]?[\])}>]")
 _SPELT_LOCAL = re.compile(r"[\w%+-]+(?:(?:\.|[ \t]?(?:\[dot\]|\(dot\)|[ \t]dot[ \t])[ \t]?)[\w%+-]+)*[ \t]?\Z")
 _DOT = r"(?:\.|[ \t]?[\[({<][ \t]?(?:dot|DOT|\.)[ \t]?[\])}>][ \t]?|[ \t](?:dot|DOT)[ \t])"
-_SPELT_DOMAIN = re.compile(rf"[ \t]?([\w-]+(?:{_DOT}[\w-]+)*?{_DOT}([A-Za-z]{{2,12}})(?![\w@-]))")
+_SPELT_DOMAIN = re.compile(rf"[ \t]?([\w-]+(?:{_DOT}[\w-]+)*{_DOT}([A-Za-z]{{2,12}})(?![\w@-]))")
 _WORD_DOT = re.compile(r"(?i)[ \t]dot[ \t]|[\[({<][ \t]?dot")
 _UNICODE_LOCAL = re.compile(r"[\w.%+-]+\Z")
 _UNICODE_DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)+")

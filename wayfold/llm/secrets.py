@@ -7,6 +7,7 @@ Each is described by its length, its make-up, the transitions between classes of
 words cover, the path it stands under and the words beside it. A random forest (MLlib) trained on labelled findings
 decides. ``labelled_findings`` gives a deterministic labelled set; teams pass their own triaged findings instead.
 A secret of fewer characters than ``SHORTEST``, or without a digit, that nothing introduces is no candidate.
+Redaction cuts a secret where it was found, in its token, and nothing else: the same characters elsewhere stay.
 
 Defined results: null text has no findings; null ids, sources and neighbours are allowed; repeated rows give repeated
 findings; an empty table gives an empty result; other columns are ignored.
@@ -141,11 +142,14 @@ def train(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestC
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """(doc_id, text_key, token_no, value, before, after, path): every candidate of every whole text."""
+    """(doc_id, text_key, token_no, start, value, before, after, path): every candidate of every whole text.
+
+    ``start`` is the place of the value in its token, from 0; what a token holds as a run, perhaps twice, has -1.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), text.alias("text"))
     some = F.col("text").rlike(_MAYBE) | F.col("text").rlike(f"(?i){HINTS}") | F.col("text").rlike(_ISSUED_RUN)
-    cut = plain.where(some).select("doc_id", "path", F.xxhash64("text").alias("text_key"), F.split("text", r"\s+").alias("tokens"))
+    cut = plain.where(some).select("doc_id", "path", F.md5(F.encode("text", "UTF-8")).alias("text_key"), F.split("text", r"\s+").alias("tokens"))
     before = lambda i: F.array_join(F.slice("tokens", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), " ")
     led = lambda i: (F.get("tokens", i - 1).rlike(r"[:=>\"']$|(?i)^is$|bearer$")) & before(i).rlike(_LEADING)
     held = lambda token: token.rlike(_MAYBE) | token.rlike(_ISSUED_RUN) | token.rlike(_INLINE)
@@ -162,36 +166,64 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
     )
     one = cut.select("doc_id", "path", "text_key", F.explode(around).alias("x")).select("doc_id", "path", "text_key", "x.*")
+    # What is given ends with its token; the signs around it are not part of it.
+    opening = F.length(F.regexp_extract("given", r"^([\"'(\[]*)", 1))
+    one = one.withColumn("at", F.length("token") - F.length("given") + opening)
     one = one.withColumn("given", F.nullif(F.regexp_replace("given", _EDGES, ""), F.lit("")))
     runs = F.filter(F.regexp_extract_all("token", F.lit(f"({_RUN})"), F.lit(1)), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
     runs = F.concat(runs, F.regexp_extract_all("token", F.lit(_ISSUED_RUN), F.lit(1)))
     # What a longer value holds is part of it.
     apart = F.filter(runs, lambda v: F.col("given").isNull() | ~F.contains(F.col("given"), v))
-    one = one.withColumn("value", F.explode(F.array_distinct(F.concat(apart, F.array_compact(F.array("given"))))))
-    head = F.expr("substring_index(token, value, 1)")
-    return one.select(
-        "doc_id", "text_key", "token_no", "value", F.concat_ws(" ", "before", head).alias("before"), "after", "path"
+    placed = F.concat(
+        F.transform(F.array_distinct(apart), lambda v: F.struct(v.alias("value"), F.lit(-1).alias("start"))),
+        F.when(F.col("given").isNull(), F.array().cast("array<struct<value:string,start:int>>")).otherwise(F.array(F.struct(F.col("given").alias("value"), F.col("at").alias("start")))),
     )
+    one = one.withColumn("x", F.explode(placed)).select("*", "x.value", "x.start")
+    head = F.when(F.col("start") >= 0, F.expr("substring(token, 1, start)")).otherwise(F.expr("substring_index(token, value, 1)"))
+    return one.select("doc_id", "text_key", "token_no", "start", "value", F.concat_ws(" ", "before", head).alias("before"), "after", "path")
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """One row per candidate: doc_id, text_key, token_no, value, score, is_secret."""
+    """One row per candidate: doc_id, text_key, token_no, start, value, score, is_secret."""
     model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(described(candidates(docs, id_col, text_col, path_col)))
     scored = model.transform(rows).withColumn("score", F.get(vector_to_array("probability"), 1))
-    return scored.select("doc_id", "text_key", "token_no", "value", "score", (F.col("score") >= 0.5).alias("is_secret"))
+    return scored.select("doc_id", "text_key", "token_no", "start", "value", "score", (F.col("score") >= 0.5).alias("is_secret"))
 
 
 def redact(docs: DataFrame, text: Column, secrets: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with the secrets cut out of ``text``. ``secrets`` has (text_key, values); texts that are equal share them."""
-    found = secrets.select(F.col("text_key").alias("__key"), F.col("values").alias("__values"))
-    joined = docs.withColumn("__key", F.xxhash64(F.coalesce(text, F.lit("")))).join(found, "__key", "left")
-    cut = F.aggregate("__values", text, lambda acc, value: F.replace(acc, value, F.lit(mark)))
-    return joined.withColumn("__text", F.when(F.col("__values").isNull(), text).otherwise(cut)).drop("__key", "__values")
+    """``docs`` with the secrets cut out of ``text`` where they were found. ``secrets`` is ``secrets_by_text``; equal texts share them."""
+    found = secrets.select(F.col("text_key").alias("__key"), F.col("places").alias("__places"))
+    joined = docs.withColumn("__key", F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))).join(found, "__key", "left")
+    # A text is its tokens, each with the blanks before it; blanks before the first count as an empty token of their own.
+    parts = F.regexp_extract_all(text, F.lit(r"(\s*\S+|\s+\z)"), F.lit(1))
+    joined = joined.withColumns({"__parts": F.when(F.col("__places").isNotNull(), parts), "__shift": text.rlike(r"^\s").cast("int")})
+    joined = joined.select("*", F.aggregate("__places", F.struct(F.lit("").alias("done"), F.lit(0).alias("at")), lambda acc, x: _cut_next(acc, x, mark)).alias("__cut"))
+    rest = F.array_join(F.slice("__parts", F.col("__cut.at") + 1, F.size("__parts")), "")
+    return joined.withColumn("__text", F.when(F.col("__places").isNull(), text).otherwise(F.concat("__cut.done", rest))).drop("__key", "__places", "__parts", "__shift", "__cut")
+
+
+def _cut_next(done: Column, place: Column, mark: str) -> Column:
+    """Take up the parts before the next token with secrets, and this token without them."""
+    no = place["token_no"] - F.col("__shift")
+    part = F.get(F.col("__parts"), no)
+    token = F.regexp_extract(part, r"^\s*(\S*)", 1)
+    blanks = F.substring(part, F.lit(1), F.length(part) - F.length(token))
+    # The place in the token comes last in it, so it is cut first; then what stands before it as runs.
+    cut = F.aggregate(
+        place["cuts"],
+        token,
+        lambda t, x: F.when(x["start"] < 0, F.replace(t, x["value"], F.lit(mark))).otherwise(
+            F.concat(F.substring(t, F.lit(1), x["start"]), F.lit(mark), F.substring(t, x["start"] + F.length(x["value"]) + 1, F.length(t)))
+        ),
+    )
+    before = F.array_join(F.slice(F.col("__parts"), done["at"] + 1, no - done["at"]), "")
+    return F.struct(F.concat(done["done"], before, blanks, cut).alias("done"), (no + 1).alias("at"))
 
 
 def secrets_by_text(found: DataFrame) -> DataFrame:
-    """(text_key, values): the distinct secrets of each text, longest first so that none is cut inside another."""
-    own = found.where("is_secret").select("text_key", "value").distinct().groupBy("text_key").agg(F.collect_list("value").alias("values"))
-    longest_first = F.transform(F.sort_array(F.transform("values", lambda v: F.struct(-F.length(v), v.alias("v")))), lambda x: x["v"])
-    return own.select("text_key", longest_first.alias("values"))
+    """(text_key, places): of each text the tokens that hold secrets, in order, with what to cut there: given places first, then longer runs before shorter ones."""
+    own = found.where("is_secret").select("text_key", "token_no", "start", "value").distinct()
+    tokens = own.groupBy("text_key", "token_no").agg(F.sort_array(F.collect_list(F.struct(-F.col("start"), -F.length("value"), F.col("start").alias("start"), F.col("value").alias("value")))).alias("cuts"))
+    cuts = F.transform("cuts", lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value")))
+    return tokens.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("token_no", cuts.alias("cuts")))).alias("places"))
