@@ -51,4 +51,5 @@ def load() -> None:
         sequence_queries,
         stream_queries,
         upkeep_queries,
+        zone_queries,
     )
