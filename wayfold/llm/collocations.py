@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import mix64, parallelism, pieces_of, slim, stage, utf8, whole_text
 
 #: Words of a shard; texts are not cut, so a longer one is a shard of its own.
-SHARD = 2_000_000
+SHARD = 1_200_000
 #: Bits of the filter of frequent pairs (8 MB).
 FILTER_BITS = 1 << 26
 #: A part of phrases that makes 1/RARE of all words or more is frequent enough to be dealt over ``SALTS`` tasks.
