@@ -68,3 +68,24 @@ def area2(lats, lons):
     n = F.size(lats)
     twice = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(x, i) * F.get(y, (i + 1) % n) - F.get(x, (i + 1) % n) * F.get(y, i))
     return F.abs(F.aggregate(twice, F.lit(0).cast("long"), lambda a, b: a + b))
+
+
+#: One row per fix of a drive along a lane of ten trips: zigzags with scatter, every ninth fix a standstill, side trips by blocks of six fixes.
+DRIVES_SQL = PINGS_SQL + """, numbered AS (
+  SELECT event_id, vehicle AS trip, vehicle // 10 AS lane, us, speed, row_number() OVER (PARTITION BY vehicle ORDER BY us, event_id) - 1 AS j FROM pings),
+drives AS (
+  SELECT trip, lane, event_id, us,
+         CAST(12000000 + (lane % 100) * 100000 + (j - (j + trip) // 9) * 4000 + (speed % 37 - 18) * 10 AS BIGINT) AS lat6,
+         CAST(72000000 + (lane // 100) * 1000000 + abs(((j - (j + trip) // 9) * 7 + lane) % 40 - 20) * 600 + (speed % 41 - 20) * 10
+              + CASE WHEN ((j // 6) * 5 + trip * 3) % 7 = 0 THEN 9000 + (trip % 3) * 8000 ELSE 0 END AS BIGINT) AS lon6
+  FROM numbered)"""
+
+
+def drives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("vehicle").orderBy("us", "event_id")
+    df = pings(spark, sf_dir).withColumns({"trip": F.col("vehicle"), "lane": F.floor(F.col("vehicle") / 10), "j": F.row_number().over(w).cast("long") - 1})
+    along = F.col("j") - F.floor((F.col("j") + F.col("trip")) / 9)
+    aside = F.when((F.floor(F.col("j") / 6) * 5 + F.col("trip") * 3) % 7 == 0, 9_000 + (F.col("trip") % 3) * 8_000).otherwise(0)
+    lat = 12_000_000 + (F.col("lane") % 100) * 100_000 + along * 4_000 + (F.col("speed") % 37 - 18) * 10
+    lon = 72_000_000 + F.floor(F.col("lane") / 100) * 1_000_000 + F.abs((along * 7 + F.col("lane")) % 40 - 20) * 600 + (F.col("speed") % 41 - 20) * 10 + aside
+    return df.select("trip", "lane", "event_id", "us", lat.cast("long").alias("lat6"), lon.cast("long").alias("lon6"))
