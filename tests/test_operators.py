@@ -59,7 +59,7 @@ def test_day_split_keeps_total(spark):
 
 def test_painting(spark):
     df = spark.createDataFrame([("v", 0, 100, 1, "road"), ("v", 20, 40, 2, "stop"), ("v", 30, 60, 3, "zone")], "v string, enter long, leave long, priority int, kind string")
-    assert sorted((r.enter, r.leave, r.kind) for r in I.painted(df, ["v"]).collect()) == [(0, 20, "road"), (20, 30, "stop"), (30, 60, "zone"), (60, 100, "road")]
+    assert sorted((r.enter, r.leave, r.kind) for r in I.painted(df, "v").collect()) == [(0, 20, "road"), (20, 30, "stop"), (30, 60, "zone"), (60, 100, "road")]
 
 
 def test_scalar_cases(spark):

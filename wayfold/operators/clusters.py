@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder; where none is named (tests), a local one is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayfold-"))
-    return df.checkpoint()
+from wayfold.operators.components import components
+from wayfold.sources.shared import staged
 
 
 def neighbours(points: DataFrame, reach: int) -> DataFrame:
@@ -28,19 +21,11 @@ def neighbours(points: DataFrame, reach: int) -> DataFrame:
 
 def dbscan(points: DataFrame, reach: int, least: int) -> DataFrame:
     """(id, cluster): cluster is the least id of its core points; noise has none."""
-    pairs = _cut(neighbours(points, reach))
+    pairs = staged(neighbours(points, reach), "near-points")
     core = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a")
-    links = _cut(pairs.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b"))
-    labels = _cut(core.select(F.col("a").alias("id"), F.col("a").alias("label")))
-    while True:
-        # The least label among the neighbours, then one step along the labels: long chains close in a few rounds.
-        met = links.join(labels, links["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("label"))
-        step = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        new = _cut(met.join(step, "label").select(F.col("a").alias("id"), F.least("label", "further").alias("label")))
-        moved = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
-        labels = new
-        if moved:
-            break
+    links = pairs.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b")
+    found = components(links.where("a < b"), "dense")
+    labels = core.join(found, core["a"] == found["node"], "left").select(F.col("a").alias("id"), F.coalesce("component", "a").alias("label"))
     border = pairs.join(labels, pairs["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
     out = points.select("id").join(labels, "id", "left").join(border.withColumnRenamed("a", "id"), "id", "left")
     return out.select("id", F.coalesce("label", "near").alias("cluster"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from heapq import heappop, heappush
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.sequences import walked
+
 DAY = 86_400_000_000
 
 
@@ -23,9 +28,10 @@ def occupancy(df: DataFrame, keys: list[str], start: str = "enter", end: str = "
     Levels are running sums in two steps, over the buckets of time of a key and within each bucket, so that the steps of
     one busy key spread over its buckets.
     """
-    live = df.where(F.col(start) < F.col(end))
-    steps = live.select(*keys, F.col(start).alias("us"), F.lit(1).alias("d")).unionByName(live.select(*keys, F.col(end).alias("us"), F.lit(-1).alias("d")))
-    steps = steps.groupBy(*keys, "us").agg(F.sum("d").alias("d")).where("d <> 0").withColumn("__bucket", F.floor(F.col("us") / bucket_us))
+    ends = F.explode(F.array(F.struct(F.col(start).alias("us"), F.lit(1).alias("d")), F.struct(F.col(end).alias("us"), F.lit(-1).alias("d"))))
+    flat = df.where(F.col(start) < F.col(end)).select(*keys, ends.alias("__e")).select(*keys, "__e.us", "__e.d", F.floor(F.col("__e.us") / bucket_us).alias("__bucket"))
+    # Dealt once by bucket: sums by time, sums by bucket and the windows within buckets all keep to that.
+    steps = flat.repartition(*keys, "__bucket").groupBy(*keys, "__bucket", "us").agg(F.sum("d").alias("d")).where("d <> 0")
     order = Window.partitionBy(*keys).orderBy("__bucket")
     buckets = steps.groupBy(*keys, "__bucket").agg(F.sum("d").alias("__d"), F.min("us").alias("__first"))
     before = F.coalesce(F.sum("__d").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -82,15 +88,153 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, bucket_us: int, l_
     return a.join(b, [key, "__bucket"]).where(hit & first).drop("__bucket")
 
 
-def painted(layers: DataFrame, keys: list[str], start: str = "enter", end: str = "leave", priority: str = "priority", kind: str = "kind") -> DataFrame:
-    """A timeline in which higher priorities cover lower ones: atoms between all cut points take the highest layer over them."""
-    cuts = layers.select(*keys, F.col(start).alias("us")).union(layers.select(*keys, F.col(end).alias("us"))).distinct()
-    atoms = cuts.withColumn("until", F.lead("us").over(Window.partitionBy(*keys).orderBy("us"))).where("until is not null")
-    spans = layers.select(*keys, F.col(start).alias("__a"), F.col(end).alias("__b"), F.col(priority).alias("__p"), F.col(kind).alias("__k"))
-    covered = atoms.join(spans, keys).where("__a <= us and until <= __b")
-    top = covered.groupBy(*keys, "us", "until").agg(F.max(F.struct("__p", "__k")).alias("top"))
-    order = Window.partitionBy(*keys).orderBy("us")
-    flat = top.select(*keys, "us", "until", F.col("top.__k").alias(kind))
-    joins = F.lag(kind).over(order).eqNullSafe(F.col(kind)) & (F.lag("until").over(order) == F.col("us"))
-    numbered = flat.withColumn("__grp", F.sum(F.when(joins, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "__grp", kind).agg(F.min("us").alias(start), F.max("until").alias(end)).drop("__grp")
+class _Painter:
+    """Paints the layers of one key in order of their starts; holds the layers that are open."""
+
+    def __init__(self):
+        self.open: list[tuple] = []  # (priority, kind, end), the highest last
+        self.at: int | None = None
+        self.stroke: list | None = None  # kind, from, to
+
+    def _paint(self, kind, start: int, end: int) -> list[tuple]:
+        if self.stroke and self.stroke[0] == kind and self.stroke[2] == start:
+            self.stroke[2] = end
+            return []
+        done, self.stroke = self.stroke, [kind, start, end]
+        return [tuple(done)] if done else []
+
+    def _advance(self, to: int | None) -> list[tuple]:
+        out: list[tuple] = []
+        while self.open and (to is None or self.at < to):
+            _, kind, end = self.open[-1]
+            if end <= self.at:
+                self.open.pop()
+                continue
+            until = end if to is None else min(end, to)
+            out += self._paint(kind, self.at, until)
+            self.at = until
+        return out
+
+    def step(self, start: int, end: int, priority, kind) -> list[tuple]:
+        if end <= start:
+            return []
+        out = self._advance(start)
+        self.at = start
+        insort(self.open, (priority, kind, end))
+        if len(self.open) > 64 and len(self.open) & (len(self.open) - 1) == 0:  # now and then those that ended below others go
+            self.open = [x for x in self.open if x[2] > start]
+        return out
+
+    def end(self) -> list[tuple]:
+        return self._advance(None) + ([tuple(self.stroke)] if self.stroke else [])
+
+
+def painted(layers: DataFrame, key: str, start: str = "enter", end: str = "leave", priority: str = "priority", kind: str = "kind") -> DataFrame:
+    """A timeline in which higher priorities (then greater kinds) cover lower ones: (key, kind, start, end). One sweep per key."""
+    kinds = {f.name: f.dataType.simpleString() for f in layers.schema}
+    schema = f"{key} {kinds[key]}, {kind} {kinds[kind]}, {start} long, {end} long"
+    return walked(layers, key, [start, end, priority, kind], [start, end], _Painter, schema)
+
+
+class Copies:
+    """Copies of one event among the rows (start, end, trip, *name) of one key, in order of start and end.
+
+    Rows of different trips that overlap are linked, touching ones too if ``touching`` is set; equal spans always are;
+    rows of one trip are not linked to each other otherwise. Gives (*name, event) when an event is over; its number is
+    that of its first row. Holds the rows that are open and the names of events that are not over, no more.
+    """
+
+    def __init__(self, touching: bool = False):
+        self.touching = touching
+        self.n = 0
+        self.before: tuple | None = None  # the span before, and its row
+        self.ends: list[tuple[int, int]] = []  # (end, row) of the open rows, a heap
+        self.parent: dict[int, int] = {}
+        self.names: dict[int, list[tuple]] = {}  # by root: row, name
+        self.trips: dict[int, dict] = {}  # by root: trip -> open rows
+        self.alone: dict = {}  # trip -> roots whose open rows are all of it
+        self.mixed: set[int] = set()
+        self.trip_of: dict[int, object] = {}
+
+    def _root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def _unfile(self, root: int) -> None:
+        self.mixed.discard(root)
+        for trip in self.trips[root] if len(self.trips[root]) == 1 else ():
+            own = self.alone.get(trip)
+            if own:
+                own.discard(root)
+                if not own:
+                    del self.alone[trip]
+
+    def _file(self, root: int) -> None:
+        trips = self.trips[root]
+        if len(trips) > 1:
+            self.mixed.add(root)
+        elif trips:
+            self.alone.setdefault(next(iter(trips)), set()).add(root)
+
+    def _union(self, a: int, b: int) -> int:
+        a, b = self._root(a), self._root(b)
+        if a == b:
+            return a
+        if len(self.names[a]) < len(self.names[b]):
+            a, b = b, a
+        self._unfile(a)
+        self._unfile(b)
+        self.parent[b] = a
+        self.names[a] += self.names.pop(b)
+        for trip, n in self.trips.pop(b).items():
+            self.trips[a][trip] = self.trips[a].get(trip, 0) + n
+        self._file(a)
+        return a
+
+    def _close(self, before: int | None) -> list[tuple]:
+        """Rows that ended before ``before`` (null: all) are no longer open; events without an open row are over."""
+        out: list[tuple] = []
+        while self.ends and (before is None or self.ends[0][0] < before or self.ends[0][0] == before and not self.touching):
+            _, row = heappop(self.ends)
+            root, trip = self._root(row), self.trip_of.pop(row)
+            self._unfile(root)
+            self.trips[root][trip] -= 1
+            if not self.trips[root][trip]:
+                del self.trips[root][trip]
+            self._file(root)
+            if not self.trips[root]:
+                del self.trips[root]
+                own = self.names.pop(root)
+                event = min(i for i, _ in own)
+                out += [(*name, event) for _, name in own]
+                for i, _ in own:
+                    del self.parent[i]
+        return out
+
+    def step(self, start: int, end: int, trip, *name) -> list[tuple]:
+        same = self.before is not None and self.before[:2] == (start, end)
+        out = [] if same else self._close(start)
+        row, self.n = self.n, self.n + 1
+        self.parent[row], self.names[row], self.trips[row], self.trip_of[row] = row, [(row, name)], {trip: 1}, trip
+        others = [root for t, roots in self.alone.items() if t != trip for root in roots] if len(self.alone) > (trip in self.alone) else []
+        others += self.mixed
+        self._file(row)
+        for other in others:
+            self._union(row, other)
+        if same:
+            self._union(row, self.before[2])
+        heappush(self.ends, (end, row))
+        self.before = (start, end, row)
+        return out
+
+    def end(self) -> list[tuple]:
+        return self._close(None)
+
+
+def copies(df: DataFrame, key: str, trip: str, names: list[str], start: str = "enter", end: str = "leave", touching: bool = False) -> DataFrame:
+    """(key, *names, event): rows that are copies of one event have its number, that of its first row within the key."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in (key, *names)), "event long"])
+    return walked(df, key, [start, end, trip, *names], [start, end, trip, *names], lambda: Copies(touching), schema)

@@ -68,7 +68,7 @@ def walked(df: DataFrame, key: str, columns: list[str], order: list[str], machin
         current, own = None, None
         for frame in frames:
             out: list[tuple] = []
-            for k, *row in zip(*(frame[c].tolist() for c in (key, *columns))):
+            for k, *row in zip(*(frame[c].tolist() for c in fed)):
                 if own is None or k != current:
                     out += [(current, *x) for x in own.end()] if own is not None else []
                     current, own = k, machine()
@@ -77,8 +77,9 @@ def walked(df: DataFrame, key: str, columns: list[str], order: list[str], machin
         if own is not None:
             yield pd.DataFrame([(current, *x) for x in own.end()], columns=names)
 
-    ordered = df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order)
-    return ordered.select(key, *columns).mapInPandas(run, schema)
+    fed = [f"__{i}" for i in range(len(columns) + 1)]  # a column may be fed twice
+    ordered = df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *dict.fromkeys(order))
+    return ordered.select(*[F.col(c).alias(name) for c, name in zip((key, *columns), fed)]).mapInPandas(run, schema)
 
 
 def clean_trail(df: DataFrame, key: str, us: str, x: str, y: str, most_per_s: float) -> DataFrame:

@@ -48,6 +48,7 @@ def load() -> None:
         register_queries,
         report_queries,
         scalar_queries,
+        scene_queries,
         scorecard_queries,
         sequence_queries,
         stream_queries,

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,41 +36,46 @@ def i02_fold_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vehicle", "site", "enter", "leave", F.array_join(F.col("t").cast("array<string>"), ",").alias("trips"), "open")
 
 
-@query()
+def _copies_sql(touching: bool) -> str:
+    """Recursive: from each stay of a vehicle to all that links reach. The event is the place of its first stay."""
+    less = "<=" if touching else "<"
+    return f"""WITH RECURSIVE {STAYS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY vehicle ORDER BY enter, leave, seq, site, part) - 1 AS i FROM stays),
+link AS (SELECT a.vehicle, a.i AS a, b.i AS b FROM o a JOIN o b ON a.vehicle = b.vehicle AND a.i <> b.i
+  WHERE (a.enter = b.enter AND a.leave = b.leave) OR (a.seq <> b.seq AND a.enter {less} b.leave AND b.enter {less} a.leave)),
+reach AS (SELECT vehicle, i AS a, i AS b FROM o UNION SELECT r.vehicle, r.a, l.b FROM reach r JOIN link l ON l.vehicle = r.vehicle AND l.a = r.b),
+event AS (SELECT vehicle, a AS i, min(b) AS event FROM reach GROUP BY vehicle, a),
+found AS (SELECT o.*, event FROM o JOIN event e ON e.vehicle = o.vehicle AND e.i = o.i)"""
+
+
+def _copies(spark: SparkSession, sf_dir: str, touching: bool) -> DataFrame:
+    df = stays(spark, sf_dir).select("vehicle", "site", "seq", "part", "enter", "leave")
+    return I.copies(df, "vehicle", "seq", ["seq", "site", "part", "enter", "leave"], touching=touching)
+
+
+@query(f"{_copies_sql(False)} SELECT vehicle, site, seq, enter, event FROM found")
 def i03_strict_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stays of different lines that strictly overlap are one event, transitively; per vehicle, whose stays are few."""
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = pd.DataFrame()
-        for frame in frames:
-            rows = pd.concat([rest, frame], ignore_index=True)
-            ready = rows["vehicle"] != rows["vehicle"].iloc[-1]  # the last vehicle may go on in the next batch
-            rest = rows[~ready]
-            yield _events(rows[ready])
-        yield _events(rest)
-
-    df = stays(spark, sf_dir).select("vehicle", "site", "seq", "enter", "leave")
-    return df.repartition("vehicle").sortWithinPartitions("vehicle", "enter", "leave", "seq", "site").mapInPandas(walk, "vehicle long, site long, seq int, enter long, event long")
-
-
-def _events(rows: pd.DataFrame) -> pd.DataFrame:
-    """The event of each stay, numbered within its vehicle; rows are in order of vehicle."""
-    if rows.empty:
-        return pd.DataFrame(columns=["vehicle", "site", "seq", "enter", "event"])
-    vehicle, enter, leave, seq = (rows[c].to_numpy() for c in ("vehicle", "enter", "leave", "seq"))
-    cuts = np.flatnonzero(np.concatenate([[True], vehicle[1:] != vehicle[:-1], [True]])).tolist()
-    events = np.zeros(len(rows), np.int64)
-    for a, b in zip(cuts, cuts[1:]):
-        e, x, s = enter[a:b], leave[a:b], seq[a:b]
-        linked = (s[:, None] != s) & (e[:, None] < x) & (e < x[:, None]) | np.eye(b - a, dtype=bool)
-        label = np.arange(b - a)
-        while True:  # the least label of the neighbours, until nothing changes
-            new = np.where(linked, label, b - a).min(1)
-            if np.array_equal(new, label):
-                break
-            label = new
-        events[a:b] = label
-    return rows[["vehicle", "site", "seq", "enter"]].assign(event=events)
+    """Stays of different lines that strictly overlap are one event, transitively: one sweep per vehicle over its open stays."""
+    return _copies(spark, sf_dir, False).select("vehicle", "site", "seq", "enter", "event")
+
+
+@query(f"""{_copies_sql(True)}, best AS (SELECT *, row_number() OVER (PARTITION BY vehicle, event ORDER BY leave - enter DESC, i) AS rn FROM found)
+SELECT vehicle, event, CAST(min(enter) AS BIGINT) AS enter, CAST(max(leave) AS BIGINT) AS leave, max(CASE WHEN rn = 1 THEN site END) AS site,
+       array_to_string(list_sort(list_distinct(list(seq))), ',') AS trips FROM best GROUP BY vehicle, event""")
+def i04_physical_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of a stop, touching ones too, as one: from the first start to the last end, at the place of the longest, with the trips it was seen in."""
+    found = _copies(spark, sf_dir, True)
+    longest = F.struct(F.col("enter") - F.col("leave"), "enter", "leave", "seq", "site", "part")
+    out = found.groupBy("vehicle", "event").agg(F.min("enter").alias("enter"), F.max("leave").alias("leave"), F.min_by("site", longest).alias("site"), F.sort_array(F.collect_set("seq")).alias("t"))
+    return out.select("vehicle", "event", "enter", "leave", "site", F.array_join(F.col("t").cast("array<string>"), ",").alias("trips"))
+
+
+@query(f"{_copies_sql(False)} SELECT vehicle, event, site, seq, enter, leave FROM found WHERE i = event")
+def i05_physical_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One representative row for each event: the first of its copies."""
+    found = _copies(spark, sf_dir, False)
+    first = F.struct("enter", "leave", "seq", "site", "part")
+    one = found.groupBy("vehicle", "event").agg(F.min(first).alias("x"))
+    return one.select("vehicle", "event", "x.site", "x.seq", "x.enter", "x.leave")
 
 
 @query(f"""WITH {STAYS_SQL}, m0 AS (SELECT *, max(leave) OVER (PARTITION BY vehicle ORDER BY enter, leave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM stays),
@@ -96,7 +97,7 @@ SELECT vehicle, kind, min(us) AS enter, max(until) AS leave FROM g GROUP BY vehi
 def i08_painted_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A timeline per vehicle on which later lines paint over earlier ones."""
     layers = stays(spark, sf_dir).select("vehicle", "enter", "leave", F.col("seq").alias("priority"), F.col("flag").alias("kind"))
-    return I.painted(layers, ["vehicle"])
+    return I.painted(layers, "vehicle")
 
 
 @query(f"WITH {STAYS_SQL}, {_STEPS} SELECT site, us, level, until FROM steps")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from wayfold.operators import zones as Z
 from wayfold.plans.catalogue import query
+from wayfold.sources.shared import shared_folder
 from wayfold.sources.tables import HOUR
 from wayfold.sources.trails import TRAILS_SQL, ZONES_SQL, trails, zones
 from wayfold.streaming.detector import detected
-from wayfold.streaming.runs import in_slices, shared_folder, to_the_end
+from wayfold.streaming.runs import in_slices, to_the_end
 
 #: Fixes of the tables are hours apart, so what takes minutes in a fleet takes hours here.
 CONFIRM_US, ESCAPE, SILENCE_US = 8 * HOUR, 1_000.0, 36 * HOUR
