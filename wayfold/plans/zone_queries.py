@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.functions.scalars import adaptive_band
 from wayfold.operators import zones as Z
+from wayfold.operators.rings import checked
+from wayfold.operators.silences import moving_silences, passages
 from wayfold.plans.catalogue import query
 from wayfold.sources.shared import shared_folder
 from wayfold.sources.tables import HOUR
@@ -85,3 +88,42 @@ def t03_live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m07_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by batch: one ordered walk per vehicle."""
     return Z.events(_near(spark, sf_dir), CONFIRM_US, ESCAPE, SILENCE_US)
+
+
+_CROSSED_SQL = f"""{ZONES_SQL}, swapped AS (
+  SELECT zone, CASE WHEN zone % 3 = 0 AND i = 1 THEN 3 WHEN zone % 3 = 0 AND i = 3 THEN 1 ELSE i END AS i, lat6, lon6, count(*) OVER (PARTITION BY zone) AS n FROM corners),
+edges AS (SELECT a.zone, a.i, a.n, a.lon6 AS x1, a.lat6 AS y1, b.lon6 AS x2, b.lat6 AS y2 FROM swapped a JOIN swapped b ON b.zone = a.zone AND b.i = (a.i + 1) % a.n),
+pairs AS (SELECT e.zone, e.i AS a, f.i AS b,
+    sign((e.x2 - e.x1) * (f.y1 - e.y1) - (e.y2 - e.y1) * (f.x1 - e.x1)) * sign((e.x2 - e.x1) * (f.y2 - e.y1) - (e.y2 - e.y1) * (f.x2 - e.x1)) AS s,
+    sign((f.x2 - f.x1) * (e.y1 - f.y1) - (f.y2 - f.y1) * (e.x1 - f.x1)) * sign((f.x2 - f.x1) * (e.y2 - f.y1) - (f.y2 - f.y1) * (e.x2 - f.x1)) AS t
+  FROM edges e JOIN edges f ON f.zone = e.zone AND f.i > e.i + 1 AND NOT (e.i = 0 AND f.i = e.n - 1)),
+first_pair AS (SELECT zone, a, b FROM pairs WHERE s < 0 AND t < 0 QUALIFY row_number() OVER (PARTITION BY zone ORDER BY a, b) = 1)"""
+
+
+def _swapped(zones_: DataFrame) -> DataFrame:
+    """Outlines, every third with its second and fourth corner in each other's place, as careless drawing leaves them."""
+    place = lambda i: F.when((F.col("zone") % 3 == 0) & (i == 1), 3).when((F.col("zone") % 3 == 0) & (i == 3), 1).otherwise(i)
+    moved = lambda c: F.transform(F.col(c), lambda _, i: F.get(F.col(c), place(i)))
+    return zones_.select("zone", moved("lats").alias("lats"), moved("lons").alias("lons"))
+
+
+@query(f"WITH {_CROSSED_SQL} SELECT z.zone, CAST(a AS INTEGER) AS crossing_a, CAST(b AS INTEGER) AS crossing_b FROM zones z LEFT JOIN first_pair p ON p.zone = z.zone")
+def g08_crossing_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two edges of each outline that cross; none in a proper one."""
+    return checked(_swapped(zones(spark, sf_dir))).select("zone", "crossing_a", "crossing_b")
+
+
+@query()
+def g09_inscribed_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The radius of the largest circle in each outline, to half a metre, and the band that follows from it."""
+    found = checked(zones(spark, sf_dir), 5_000.0)
+    return found.select("zone", F.round("inradius_m", 2).alias("inradius_m"), F.round(adaptive_band(F.col("inradius_m")), 3).alias("band"))
+
+
+@query()
+def m16_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones that vehicles may have passed in their silences of a day or more. Without a router the route is the straight leg at 0.004 m/s, the pace of these trails."""
+    gaps = moving_silences(trails(spark, sf_dir), 24 * HOUR, 300.0)
+    routed = gaps.withColumns({"route_m": F.col("straight_m"), "route_s": F.col("straight_m") / 0.004})
+    found = passages(routed, zones(spark, sf_dir), _visits(spark, sf_dir), unexplained_s=12 * 3_600.0)
+    return found.withColumns({c: F.round(c, 2) for c in ("inside_m", "nearest_m")})
