@@ -54,5 +54,6 @@ def load() -> None:
         sequence_queries,
         stream_queries,
         upkeep_queries,
+        upload_queries,
         zone_queries,
     )
