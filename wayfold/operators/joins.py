@@ -34,3 +34,20 @@ def radius_join(points: DataFrame, places: DataFrame, metres: float, cell: float
     py, px = cells(F.col("lat"), F.col("lon"), cell)
     found = points.withColumns({"cy": py, "cx": px}).join(spread, ["cy", "cx"]).drop("cy", "cx")
     return found.withColumn("metres", haversine_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).where(F.col("metres") <= metres)
+
+
+def known_by(asked: DataFrame, events: DataFrame, keys: list[str], asked_us: str, event_us: str, value: str, name: str) -> DataFrame:
+    """What was known when it was asked: of the events of the same keys strictly before, their number (name_n) and the mean of ``value`` (name_mean).
+
+    One sort of both sides per key, with running sums; no row sees itself or what came later. Null keys know nothing.
+    """
+    a = asked.withColumns({"__us": F.col(asked_us), "__event": F.lit(0), "__v": F.lit(None).cast("double")})
+    b = events.select(*keys, F.col(event_us).alias("__us"), F.lit(1).alias("__event"), F.col(value).cast("double").alias("__v"))
+    before = Window.partitionBy(*keys).orderBy("__us", "__event").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b.where(F.col("__us").isNotNull() & F.col("__v").isNotNull()), allowMissingColumns=True)
+    summed = both.withColumns({f"{name}_n": F.count("__v").over(before), f"{name}_mean": F.avg("__v").over(before)}).where("__event = 0")
+    told = F.lit(True)
+    for k in keys:
+        told = told & F.col(k).isNotNull()
+    told = told & F.col("__us").isNotNull()
+    return summed.select(*asked.columns, F.when(told, F.col(f"{name}_n")).otherwise(0).alias(f"{name}_n"), F.when(told, F.col(f"{name}_mean")).alias(f"{name}_mean"))

@@ -11,6 +11,7 @@ from wayfold.functions import rates as R
 from wayfold.operators import intervals as I
 from wayfold.operators import sequences as S
 from wayfold.plans.catalogue import query
+from wayfold.plans.model_queries import booked_features
 from wayfold.sources.tables import HOUR, PINGS_SQL, PLACED_SQL, STAYS_SQL, TRIPS_SQL, pings, placed, read, stays, trips
 
 _ORDER = ["us", "event_id"]
@@ -261,18 +262,16 @@ def c49_incremental_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.join(held.select("o_orderkey"), "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
 
 
-@query(f"""WITH {TRIPS_SQL}, r AS (SELECT origin, dest, count(*) AS route_trips, avg(days) AS route_days FROM trips WHERE dest IS NOT NULL GROUP BY ALL), c AS (SELECT carrier, count(*) AS carrier_trips, avg(on_time) AS carrier_rate FROM trips GROUP BY 1)
-SELECT trip, coalesce(route_trips, 0) AS route_trips, coalesce(route_days, 60.0::DOUBLE) AS route_days, coalesce(carrier_trips, 0) AS carrier_trips, coalesce(carrier_rate, 0.5::DOUBLE) AS carrier_rate,
- extract('isodow' FROM booked) - 1 AS weekday, CASE WHEN extract('isodow' FROM booked) >= 6 THEN 1 ELSE 0 END AS weekend FROM trips LEFT JOIN r USING (origin, dest) LEFT JOIN c USING (carrier)""")
+@query(f"""WITH {TRIPS_SQL}, r AS (SELECT t.trip, count(s.days) AS n, avg(s.days) AS mean FROM trips t JOIN trips s ON s.origin = t.origin AND s.dest = t.dest AND s.ended < t.booked GROUP BY t.trip),
+c AS (SELECT t.trip, count(s.on_time) AS n, avg(s.on_time) AS mean FROM trips t JOIN trips s ON s.carrier = t.carrier AND s.ended < t.booked GROUP BY t.trip)
+SELECT trip, coalesce(r.n, 0) AS route_trips, coalesce(r.mean, 60.0::DOUBLE) AS route_days, coalesce(c.n, 0) AS carrier_trips, coalesce(c.mean, 0.5::DOUBLE) AS carrier_rate,
+ extract('isodow' FROM booked) - 1 AS weekday, CASE WHEN extract('isodow' FROM booked) >= 6 THEN 1 ELSE 0 END AS weekend FROM trips LEFT JOIN r USING (trip) LEFT JOIN c USING (trip)""")
 def c51_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of route, carrier and time per trip, with defaults where nothing is known."""
-    t = trips(spark, sf_dir)
-    route = t.where("dest is not null").groupBy("origin", "dest").agg(_n().alias("route_trips"), F.avg("days").alias("route_days"))
-    who = t.groupBy("carrier").agg(_n().alias("carrier_trips"), F.avg("on_time").alias("carrier_rate"))
-    df = t.join(route, ["origin", "dest"], "left").join(who.where("carrier is not null"), "carrier", "left")
+    """Features of route, carrier and time as they were known when a trip was booked, with defaults where nothing was."""
+    df = booked_features(trips(spark, sf_dir))
     day = F.weekday("booked").cast("long")
-    known = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
-    return df.select("trip", known("route_trips", 0), known("route_days", 60.0), known("carrier_trips", 0), known("carrier_rate", 0.5), day.alias("weekday"), (day >= 5).cast("int").alias("weekend"))
+    known = lambda c, v, name: F.coalesce(c, F.lit(v)).alias(name)
+    return df.select("trip", "route_n", known("route_mean", 60.0, "route_days"), "carrier_n", known("carrier_mean", 0.5, "carrier_rate"), day.alias("weekday"), (day >= 5).cast("int").alias("weekend")).withColumnsRenamed({"route_n": "route_trips", "carrier_n": "carrier_trips"})
 
 
 @query(f"""WITH {TRIPS_SQL}, q AS (SELECT quantile_disc(days, 0.01) AS lo, quantile_disc(days, 0.99) AS hi FROM trips WHERE days IS NOT NULL)

@@ -9,8 +9,9 @@ from wayfold.functions import rates as R
 from wayfold.functions import scalars as X
 from wayfold.operators import merges as K
 from wayfold.operators import sequences as S
+from wayfold.operators.joins import known_by
 from wayfold.plans.catalogue import query
-from wayfold.sources.tables import HOUR, PINGS_SQL, PLACED_SQL, STAYS_SQL, TRIPS_SQL, pings, placed, read, stays, trips
+from wayfold.sources.tables import micros, HOUR, PINGS_SQL, PLACED_SQL, STAYS_SQL, TRIPS_SQL, pings, placed, read, stays, trips
 
 _ORDER = ["us", "event_id"]
 _W = "OVER (PARTITION BY vehicle ORDER BY us, event_id)"
@@ -297,13 +298,13 @@ def m14_departure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("vehicle").agg(departs.alias("departs"), _n().alias("n")).select("vehicle", "departs", F.coalesce("departs", F.lit(0)).alias("at_origin"), (F.col("n") - F.coalesce("departs", F.lit(0))).alias("on_the_way"))
 
 
-@query(f"""WITH {TRIPS_SQL}, s AS (SELECT carrier, customer, count(*) AS n, avg(on_time) AS rate FROM trips WHERE carrier IS NOT NULL GROUP BY ALL)
-SELECT trip, coalesce(n, 0) AS together, rate, on_time AS label FROM trips LEFT JOIN s USING (carrier, customer) WHERE on_time IS NOT NULL""")
+@query(f"""WITH {TRIPS_SQL} SELECT t.trip, count(s.trip) AS together, avg(s.on_time) AS rate, any_value(t.on_time) AS label FROM trips t
+LEFT JOIN trips s ON s.carrier = t.carrier AND s.customer = t.customer AND s.ended < t.booked AND s.on_time IS NOT NULL WHERE t.on_time IS NOT NULL GROUP BY t.trip""")
 def n02_sla_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a carrier did for a customer before, beside the label."""
-    t = trips(spark, sf_dir, lanes=False)
-    s = t.where("carrier is not null").groupBy("carrier", "customer").agg(_n().alias("n"), F.avg("on_time").alias("rate"))
-    return t.where("on_time is not null").join(s, ["carrier", "customer"], "left").select("trip", F.coalesce("n", F.lit(0)).alias("together"), "rate", F.col("on_time").alias("label"))
+    """What a carrier had done for a customer when a trip was booked, beside the label: trips that had ended by then alone."""
+    t = trips(spark, sf_dir, lanes=False).select("trip", "carrier", "customer", "on_time", micros("booked").alias("booked_us"), micros("ended").alias("ended_us"))
+    found = known_by(t.where("on_time is not null"), t.where("carrier is not null"), ["carrier", "customer"], "booked_us", "ended_us", "on_time", "past")
+    return found.select("trip", F.col("past_n").alias("together"), F.col("past_mean").alias("rate"), F.col("on_time").alias("label"))
 
 
 @query(f"""WITH {TRIPS_SQL} SELECT carrier, 1000 * count(*) FILTER (WHERE on_time = 1) // nullif(count(on_time), 0) AS otd_per_mille, max(CASE WHEN on_time IS NULL THEN 1 ELSE 0 END) AS any_unknown, median(days) AS mid FROM trips GROUP BY carrier""")
