@@ -11,7 +11,6 @@ from wayfold.operators import intervals as I
 from wayfold.operators import sequences as S
 from wayfold.plans.catalogue import query
 from wayfold.sources.tables import HOUR, PINGS_SQL, PLACED_SQL, STAYS_SQL, TRIPS_SQL, pings, placed, read, stays, trips
-from wayfold.streaming import live
 
 _ORDER = ["us", "event_id"]
 _W = "OVER (PARTITION BY vehicle ORDER BY us, event_id)"
@@ -451,15 +450,6 @@ def g03_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("p_partkey", F.floor(1e7 * F.col("d.lat") + 0.5).alias("dlat"), F.floor(1e7 * F.col("d.lon") + 0.5).alias("dlon"))
 
 
-@query("SELECT n_nationkey, 'POLYGON((0.0 0.0, ' || (n_nationkey + 1) || '.0 0.0, ' || (n_nationkey + 1) || '.0 1.0, 0.0 0.0))' AS wkt FROM nation")
-def g04_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated corners go, the ring is closed."""
-    w = (F.col("n_nationkey") + 1).cast("double")
-    corner = lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon"))
-    a, b, c = corner(F.lit(0.0), F.lit(0.0)), corner(F.lit(0.0), w), corner(F.lit(1.0), w)
-    return read(spark, sf_dir, "nation").select("n_nationkey", F.array(a, a, b, c, c, a).alias("ring")).select("n_nationkey", X.ring_wkt(F.col("ring")).alias("wkt"))
-
-
 @query("SELECT p_partkey, CASE WHEN p_partkey % 20 = 0 THEN 750.0::DOUBLE ELSE greatest(150.0, least(500.0, p_size * 15.0::DOUBLE)) END AS radius FROM part")
 def g20_radius_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An override, else the spread and a half within bounds."""
@@ -467,15 +457,6 @@ def g20_radius_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 20 == 0, 750.0).otherwise(rule).alias("radius"))
 
 
-@query(f"""WITH {PINGS_SQL}, v AS (SELECT vehicle, event_type AS zone, us // {24 * HOUR} AS visit, max(speed) AS speed FROM pings GROUP BY ALL)
-SELECT vehicle, zone, visit, 'restricted' AS kind FROM v WHERE zone = 'error' UNION ALL SELECT vehicle, zone, visit, 'overspeed' FROM v WHERE speed > 7000 AND zone IN ('error', 'click')""")
-def t06_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Once a visit, however many fixes break a rule; the function is that of the stream."""
-    zones = spark.createDataFrame([("error", True, 7_000), ("click", False, 7_000)], "zone string, restricted boolean, limit long")
-    crossed = pings(spark, sf_dir).select("vehicle", F.col("event_type").alias("zone"), F.floor(F.col("us") / (24 * HOUR)).alias("visit"), "speed")
-    return live.alerts(crossed, zones)
-
-
 @query(f"""WITH {PINGS_SQL}, n AS (SELECT vehicle, max(us) AS newest FROM pings WHERE k % 50 > 0 GROUP BY vehicle), a AS (SELECT DISTINCT vehicle FROM pings)
 SELECT vehicle, CASE WHEN newest IS NULL THEN 0 ELSE newest - {HOUR} END AS watermark FROM a LEFT JOIN n USING (vehicle)""")
 def t08_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -500,12 +481,3 @@ def t12_stale_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series with other counts than when they were evaluated (here: without the fixes that came last); one pass over both."""
     counts = pings(spark, sf_dir).groupBy("vehicle").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") < 95).alias("past"))
     return counts.where("n <> past").select("vehicle", (F.col("n") - F.col("past")).alias("behind"))
-
-
-@query(f"""WITH {PINGS_SQL}, w AS (SELECT unnest([us // {6 * HOUR}, us // {6 * HOUR} - 1, us // {6 * HOUR} - 2, us // {6 * HOUR} - 3]) * {6 * HOUR} AS start_us, speed FROM pings)
-SELECT start_us, count(*) AS fixes, max(speed) AS peak FROM w GROUP BY 1""")
-def t17_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A day long, every six hours; on a stream with a watermark the same expression."""
-    timed = live.event_time(pings(spark, sf_dir))
-    out = timed.groupBy(F.window("ts", "24 hours", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("fixes"), F.max("speed").alias("peak"))
-    return out.select(F.unix_micros("w.start").alias("start_us"), "fixes", "peak")

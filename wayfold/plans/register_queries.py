@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions import rates as R
 from wayfold.functions import scalars as X
 from wayfold.operators import merges as K
 from wayfold.operators import sequences as S
@@ -93,41 +92,6 @@ def l09_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.crossJoin(F.broadcast(last)).where(after).orderBy("us", "event_id").limit(50).select("event_id", "us")
 
 
-@query(f"""WITH {PINGS_SQL}, l AS (SELECT event_id, vehicle, us, max(us) OVER (PARTITION BY vehicle ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM pings)
-SELECT event_id, vehicle FROM l WHERE newest IS NULL OR us > newest""")
-def t05_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In order of arrival, fixes that are not newer than all before them are late and dropped."""
-    newest = F.max("us").over(S.series("vehicle", "event_id").rowsBetween(Window.unboundedPreceding, -1))
-    return pings(spark, sf_dir).withColumn("newest", newest).where("newest is null or us > newest").select("event_id", "vehicle")
-
-
-_SITES = [(0, 20.0, 76.0, 30.0, 78.2), (1, 22.0, 76.4, 25.0, 77.1), (2, 23.0, 76.5, 24.0, 76.8)]
-_SITES_SQL = "sites(site, a, b, c, d) AS (VALUES " + ", ".join(f"({i}::BIGINT, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for i, a, b, c, d in _SITES) + ")"
-
-
-def _sites(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_SITES, "site long, a double, b double, c double, d double")
-
-
-@query(f"""WITH {PLACED_SQL}, {_SITES_SQL}, l AS (SELECT vehicle, max(us) AS us, arg_max(lat, (us, event_id)) AS lat, arg_max(lon, (us, event_id)) AS lon FROM placed GROUP BY vehicle)
-SELECT vehicle, us, (SELECT arg_min(site, (c - a) * (d - b)) FROM sites WHERE lat > a AND lat < c AND lon > b AND lon < d) AS innermost FROM l""")
-def t07_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last position of each vehicle with the innermost of a few zones around it."""
-    last = placed(spark, sf_dir).groupBy("vehicle").agg(F.max(F.struct("us", "event_id", "lat", "lon")).alias("x")).select("vehicle", "x.us", "x.lat", "x.lon")
-    return _innermost(spark, last, ["vehicle", "us"])
-
-
-@query(f"""WITH {PLACED_SQL}, {_SITES_SQL} SELECT event_id, (SELECT arg_min(site, (c - a) * (d - b)) FROM sites WHERE lat > a AND lat < c AND lon > b AND lon < d) AS innermost FROM placed WHERE NOT moving""")
-def c32_facility_of_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _innermost(spark, placed(spark, sf_dir).where("not moving"), ["event_id"])
-
-
-def _innermost(spark: SparkSession, df: DataFrame, columns: list[str]) -> DataFrame:
-    inside = (F.col("lat") > F.col("a")) & (F.col("lat") < F.col("c")) & (F.col("lon") > F.col("b")) & (F.col("lon") < F.col("d"))
-    size = (F.col("c") - F.col("a")) * (F.col("d") - F.col("b"))
-    return df.join(F.broadcast(_sites(spark)), inside, "left").groupBy(*columns).agg(F.min_by("site", size).alias("innermost"))
-
-
 @query(f"""WITH {PINGS_SQL}, w AS (SELECT max(us) - 2 * {DAY} AS since FROM pings), r AS (SELECT vehicle, us, speed FROM pings, w WHERE us >= since UNION ALL SELECT vehicle, us, speed FROM pings, w WHERE us >= since + {DAY})
 SELECT DISTINCT vehicle, us, speed FROM r""")
 def t09_overlapping_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,27 +131,6 @@ def g14_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", "x.leg", F.floor(1e5 * F.col("x.off") + 0.5).alias("off_e5"))
 
 
-@query(f"""WITH {PLACED_SQL}, {_SITES_SQL}, i AS (SELECT event_id, min(site) AS inside FROM placed, sites WHERE lat > a AND lat < c AND lon > b AND lon < d GROUP BY event_id),
-n AS (SELECT event_id, arg_min(site, (pow(lat - (a + c) / 2, 2) + pow(lon - (b + d) / 2, 2), site)) AS nearest FROM placed, sites GROUP BY event_id)
-SELECT event_id, coalesce(inside, nearest) AS region, inside IS NULL AS outside FROM n LEFT JOIN i USING (event_id)""")
-def g12_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The region of a point, else the one whose middle is nearest; regions are few and broadcast."""
-    inside = (F.col("lat") > F.col("a")) & (F.col("lat") < F.col("c")) & (F.col("lon") > F.col("b")) & (F.col("lon") < F.col("d"))
-    off = F.pow(F.col("lat") - (F.col("a") + F.col("c")) / 2, 2) + F.pow(F.col("lon") - (F.col("b") + F.col("d")) / 2, 2)
-    met = placed(spark, sf_dir).crossJoin(F.broadcast(_sites(spark)))
-    best = met.groupBy("event_id").agg(F.min(F.when(inside, F.col("site"))).alias("inside"), F.min(F.struct(off.alias("off"), "site")).alias("near"))
-    return best.select("event_id", F.coalesce("inside", "near.site").alias("region"), F.col("inside").isNull().alias("outside"))
-
-
-@query("SELECT n_nationkey, n_nationkey % 6 <= n_nationkey % 4 AS hit FROM nation")
-def g05_point_in_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half-open containment in a triangle: points on its diagonal belong to the ring below it."""
-    i = F.col("n_nationkey")
-    corner = lambda lat, lon: F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon"))
-    below = F.array(corner(-1.0, -2.0), corner(-1.0, 9.0), corner(9.0, 9.0))
-    return read(spark, sf_dir, "nation").select("n_nationkey", X.point_in_ring((i % 6).cast("double") - 0.25, (i % 4).cast("double"), below).alias("hit"))
-
-
 @query(f"""WITH {PLACED_SQL}, d AS (SELECT event_id, vehicle, us, row_number() {_W} AS pos, CASE WHEN k % 13 = 0 THEN 'repeat' WHEN speed > 9000 THEN 'speed' ELSE 'kept' END AS verdict FROM placed)
 SELECT vehicle, us // {DAY} AS day, verdict, count(*) AS n, min(pos) AS first_pos FROM d GROUP BY ALL""")
 def c31_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

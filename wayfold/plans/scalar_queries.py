@@ -126,14 +126,3 @@ def g01_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("vehicle").orderBy("us", "event_id")
     df = placed(spark, sf_dir).select("event_id", "lat", "lon", F.lag("lat").over(w).alias("p_lat"), F.lag("lon").over(w).alias("p_lon"))
     return df.select("event_id", F.floor(X.haversine_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) / 10 + 0.5).alias("tens"))
-
-
-@query("""WITH r AS (SELECT n_nationkey, CAST(n_nationkey % 7 + 1 AS DOUBLE) AS w, CAST(n_nationkey % 5 + 1 AS DOUBLE) AS h FROM nation)
-SELECT n_nationkey, w * h AS area, 0.5 < w AND 0.5 < h AS mid_inside, w > 2 AND h > 3 AS point_inside FROM r""")
-def g07_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area and containment of rings, as array expressions."""
-    w, h = (F.col("n_nationkey") % 7 + 1).cast("double"), (F.col("n_nationkey") % 5 + 1).cast("double")
-    corner = lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon"))
-    ring = F.array(corner(F.lit(0.0), F.lit(0.0)), corner(F.lit(0.0), w), corner(h, w), corner(h, F.lit(0.0)))
-    df = read(spark, sf_dir, "nation").select("n_nationkey", ring.alias("ring"))
-    return df.select("n_nationkey", X.ring_area(F.col("ring")).alias("area"), X.point_in_ring(F.lit(0.5), F.lit(0.5), F.col("ring")).alias("mid_inside"), X.point_in_ring(F.lit(3.0), F.lit(2.0), F.col("ring")).alias("point_inside"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.functions.scalars import adaptive_band
+from wayfold.functions import scalars as X
 from wayfold.operators import zones as Z
 from wayfold.operators.rings import checked
+from wayfold.operators.scenes import centroids
 from wayfold.operators.silences import moving_silences, passages
 from wayfold.plans.catalogue import query
 from wayfold.sources.shared import shared_folder
@@ -117,7 +118,7 @@ def g08_crossing_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g09_inscribed_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The radius of the largest circle in each outline, to half a metre, and the band that follows from it."""
     found = checked(zones(spark, sf_dir), 5_000.0)
-    return found.select("zone", F.round("inradius_m", 2).alias("inradius_m"), F.round(adaptive_band(F.col("inradius_m")), 3).alias("band"))
+    return found.select("zone", F.round("inradius_m", 2).alias("inradius_m"), F.round(X.adaptive_band(F.col("inradius_m")), 3).alias("band"))
 
 
 @query()
@@ -127,3 +128,91 @@ def m16_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed = gaps.withColumns({"route_m": F.col("straight_m"), "route_s": F.col("straight_m") / 0.004})
     found = passages(routed, zones(spark, sf_dir), _visits(spark, sf_dir), unexplained_s=12 * 3_600.0)
     return found.withColumns({c: F.round(c, 2) for c in ("inside_m", "nearest_m")})
+
+
+_INNERMOST_SQL = f"""{_INSIDE_SQL}, areas AS (SELECT zone, abs(CAST(sum(x1 * y2 - x2 * y1) AS HUGEINT)) AS area2 FROM edges GROUP BY zone),
+innermost AS (SELECT event_id, arg_min(i.zone, (area2, i.zone)) AS innermost FROM inside i JOIN areas a ON a.zone = i.zone GROUP BY event_id)"""
+
+
+def _innermost(spark: SparkSession, sf_dir: str, fixes: DataFrame) -> DataFrame:
+    """(event_id, innermost) of the fixes that a zone holds."""
+    held = Z.fixes_near(fixes, zones(spark, sf_dir), 0.0).where("near AND distance <= 0").select("event_id", "zone")
+    return held.join(zones(spark, sf_dir).select("zone", "area2"), "zone").groupBy("event_id").agg(F.min_by("zone", F.struct("area2", "zone")).alias("innermost"))
+
+
+@query(f"""WITH {_INNERMOST_SQL}, l AS (SELECT vehicle, max(us) AS us, arg_max(event_id, (us, event_id)) AS event_id FROM trails GROUP BY vehicle)
+SELECT vehicle, us, innermost FROM l LEFT JOIN innermost USING (event_id)""")
+def t07_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last position of each vehicle with the innermost zone around it."""
+    df = trails(spark, sf_dir)
+    newest = F.max_by(F.struct("us", "event_id", "lat6", "lon6", "speed"), F.struct("us", "event_id"))
+    last = df.groupBy("vehicle").agg(newest.alias("x")).select("vehicle", "x.*")
+    return last.join(_innermost(spark, sf_dir, last), "event_id", "left").select("vehicle", "us", "innermost")
+
+
+@query(f"WITH {_INNERMOST_SQL} SELECT event_id, innermost FROM trails LEFT JOIN innermost USING (event_id) WHERE speed < 3000")
+def c32_facility_of_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The innermost zone at each slow fix."""
+    slow = trails(spark, sf_dir).where("speed < 3000")
+    return slow.select("event_id").join(_innermost(spark, sf_dir, slow), "event_id", "left")
+
+
+@query(f"""WITH {_INNERMOST_SQL}, legs AS (SELECT e.*, first(lat6) OVER (PARTITION BY e.zone ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS y0 FROM edges e JOIN (SELECT zone, i, lat6, lon6 FROM corners) c ON c.zone = e.zone AND c.lat6 = e.y1 AND c.lon6 = e.x1),
+near AS (
+  SELECT event_id, g.zone, (x1 - t.lon6) * {Z.METRE6!r}::DOUBLE * cos(radians(y0 * 1e-6)) AS ax, (y1 - t.lat6) * {Z.METRE6!r}::DOUBLE AS ay, (x2 - x1) * {Z.METRE6!r}::DOUBLE * cos(radians(y0 * 1e-6)) AS ex, (y2 - y1) * {Z.METRE6!r}::DOUBLE AS ey
+  FROM trails t JOIN boxes b ON t.lat6 BETWEEN s - 20000 AND n + 20000 AND t.lon6 BETWEEN w - 20000 AND e + 20000 JOIN legs g ON g.zone = b.zone),
+along AS (SELECT *, greatest(0, least(1, -(ax * ex + ay * ey) / (ex * ex + ey * ey))) AS u FROM near),
+closest AS (SELECT event_id, zone, min(sqrt(pow(ax + u * ex, 2) + pow(ay + u * ey, 2))) AS metres FROM along GROUP BY ALL HAVING min(sqrt(pow(ax + u * ex, 2) + pow(ay + u * ey, 2))) < 1500),
+best AS (SELECT event_id, arg_min(zone, (metres, zone)) AS nearest FROM closest GROUP BY event_id)
+SELECT event_id, coalesce(innermost, nearest) AS region, innermost IS NULL AS outside FROM trails LEFT JOIN innermost USING (event_id) LEFT JOIN best USING (event_id)""")
+def g12_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The innermost zone of a fix, else the nearest one within 1,500 m by the distance to its edge."""
+    df = trails(spark, sf_dir)
+    near = Z.fixes_near(df, zones(spark, sf_dir).withColumn("band", F.lit(0.0)), 1_500.0).where("near").join(zones(spark, sf_dir).select("zone", "area2"), "zone")
+    best = near.groupBy("event_id").agg(F.min_by("zone", F.when(F.col("distance") <= 0, F.struct("area2", "zone"))).alias("inside"), F.min_by("zone", F.struct("distance", "zone")).alias("nearest"))
+    return df.select("event_id").join(best, "event_id", "left").select("event_id", F.coalesce("inside", "nearest").alias("region"), F.col("inside").isNull().alias("outside"))
+
+
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines as arrays of corners in degrees."""
+    corners = F.transform(F.sequence(F.lit(0), F.size("lats") - 1), lambda i: F.struct((F.get("lats", i) / 1e6).alias("lat"), (F.get("lons", i) / 1e6).alias("lon")))
+    return zones(spark, sf_dir).select("zone", "lats", "lons", corners.alias("ring"))
+
+
+@query(f"""WITH {ZONES_SQL}, p AS (SELECT zone, i, lat6 / 1e6::DOUBLE AS lat, lon6 / 1e6::DOUBLE AS lon FROM corners), f AS (SELECT zone, lat || '' AS a, lon || '' AS b FROM p WHERE i = 0)
+SELECT p.zone, 'POLYGON((' || string_agg(p.lon || ' ' || p.lat, ', ' ORDER BY i) || ', ' || any_value(f.b) || ' ' || any_value(f.a) || '))' AS wkt FROM p JOIN f ON f.zone = p.zone GROUP BY p.zone""")
+def g04_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines as text: corners that repeat the one before them go, the ring is closed."""
+    doubled = F.flatten(F.transform("ring", lambda p: F.array(p, p)))
+    return _rings(spark, sf_dir).select("zone", X.ring_wkt(doubled).alias("wkt"))
+
+
+@query(f"""WITH {ZONES_SQL}, edges AS (SELECT zone, i, lat6 / 1e6::DOUBLE AS y1, lon6 / 1e6::DOUBLE AS x1, coalesce(lead(lat6) OVER w, first(lat6) OVER w) / 1e6::DOUBLE AS y2, coalesce(lead(lon6) OVER w, first(lon6) OVER w) / 1e6::DOUBLE AS x2
+  FROM corners WINDOW w AS (PARTITION BY zone ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+probes AS (SELECT zone, 'corner' AS probe, lats[1] / 1e6::DOUBLE AS lat, lons[1] / 1e6::DOUBLE AS lon FROM zones UNION ALL SELECT zone, 'middle', (lats[1] + lats[3]) / 2e6::DOUBLE, (lons[1] + lons[3]) / 2e6::DOUBLE FROM zones
+  UNION ALL SELECT zone, 'aside', lats[1] / 1e6::DOUBLE + 0.01::DOUBLE, lons[1] / 1e6::DOUBLE FROM zones)
+SELECT p.zone, probe, count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) % 2 = 1 AS hit FROM probes p JOIN edges e ON e.zone = p.zone GROUP BY p.zone, probe, lat, lon""")
+def g05_point_in_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-open containment as an array expression: a corner, a point between corners and one beside, against every outline."""
+    lat, lon = (lambda i: F.get("lats", F.lit(i))), (lambda i: F.get("lons", F.lit(i)))
+    point = lambda name, a, b: F.struct(F.lit(name).alias("probe"), a.alias("lat"), b.alias("lon"))
+    probes = F.array(point("corner", lat(0) / 1e6, lon(0) / 1e6), point("middle", (lat(0) + lat(2)) / 2e6, (lon(0) + lon(2)) / 2e6), point("aside", lat(0) / 1e6 + F.lit(0.01), lon(0) / 1e6))
+    df = _rings(spark, sf_dir).select("zone", "ring", F.explode(probes).alias("p"))
+    return df.select("zone", "p.probe", X.point_in_ring(F.col("p.lat"), F.col("p.lon"), F.col("ring")).alias("hit"))
+
+
+@query(f"""WITH {ZONES_SQL}, edges AS (SELECT zone, lat6 AS y1, lon6 AS x1, coalesce(lead(lat6) OVER w, first(lat6) OVER w) AS y2, coalesce(lead(lon6) OVER w, first(lon6) OVER w) AS x2, first(lat6) OVER w AS oy, first(lon6) OVER w AS ox
+  FROM corners WINDOW w AS (PARTITION BY zone ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+t AS (SELECT zone, oy, ox, (x1 - ox) * (y2 - oy) - (x2 - ox) * (y1 - oy) AS c, y1 + y2 - 2 * oy AS sy, x1 + x2 - 2 * ox AS sx,
+         {Z.METRE6!r}::DOUBLE * sqrt(pow(y2 - y1, 2) + pow((x2 - x1) * cos(radians(oy * 1e-6)), 2)) AS metres FROM edges)
+SELECT zone, abs(CAST(sum(c) AS BIGINT)) AS area2, sum(c) > 0 AS counter_clockwise, CAST(floor(sum(metres) / 10 + 0.5) AS BIGINT) AS perimeter_10m,
+       CAST(round(any_value(oy) + sum(CAST(sy AS DOUBLE) * c) / (3 * sum(c))) AS BIGINT) AS lat6, CAST(round(any_value(ox) + sum(CAST(sx AS DOUBLE) * c) / (3 * sum(c))) AS BIGINT) AS lon6 FROM t GROUP BY zone""")
+def g07_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area, direction, perimeter and centre of every outline."""
+    df = centroids(zones(spark, sf_dir))
+    n, at = F.size("lats"), lambda c, i: F.get(F.col(c), i)
+    wide = F.cos(F.radians(F.get("lats", F.lit(0)) * 1e-6))
+    edge = lambda i, j: F.sqrt(F.pow(at("lats", j) - at("lats", i), F.lit(2)) + F.pow((at("lons", j) - at("lons", i)) * wide, F.lit(2)))
+    perimeter = Z.METRE6 * F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda i: edge(i, (i + 1) % n)), F.lit(0.0), lambda a, b: a + b)
+    ring = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((at("lats", i) - at("lats", F.lit(0))).alias("lat"), (at("lons", i) - at("lons", F.lit(0))).alias("lon")))
+    return df.select("zone", "area2", (X.ring_area(ring) > 0).alias("counter_clockwise"), F.floor(perimeter / 10 + 0.5).alias("perimeter_10m"), "lat6", "lon6")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wayfold.operators.trackers import Tracker
@@ -59,6 +59,31 @@ def tracked(stream: DataFrame, band: float, confirm_us: int, escape: float, sile
     )
 
 
+class _Newest(StatefulProcessor):
+    """Lets rows of a key pass that are newer than all that arrived before them."""
+
+    def init(self, handle) -> None:
+        self.newest = handle.getValueState("newest", "us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["arrival", "event_id"], kind="stable")
+        before = self.newest.get()[0] if self.newest.exists() else None
+        so_far = frame["us"].cummax().shift()
+        held = so_far if before is None else so_far.fillna(before).clip(lower=before)
+        passed = frame[held.isna() | (frame["us"] > held)]
+        top = int(frame["us"].max())
+        self.newest.update((top if before is None else max(top, before),))
+        yield passed[["event_id", "us"]].assign(vehicle=key[0])[["event_id", "vehicle", "us"]]
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(stream: DataFrame) -> DataFrame:
+    """Rows (vehicle, event_id, us, arrival) that are newer than all that arrived before them of their vehicle; late and repeated ones go."""
+    return stream.groupBy("vehicle").transformWithStateInPandas(_Newest(), "event_id long, vehicle long, us long", "Append", "None")
+
+
 def alerts(crossed: DataFrame, zones: DataFrame) -> DataFrame:
     """One alert a visit: entries of restricted zones, and visits in which the speed limit was broken, once each.
 
