@@ -141,3 +141,71 @@ def test_vectors_of_extreme_size(spark):
     rows = [(1, [1e200, 0.0]), (2, [1e200, 1.0]), (3, [1e-200, 0.0]), (4, [2e-200, 0.0]), (5, [1.0, 0.0]), (6, [0.0, 1e-300])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {**dict.fromkeys(range(1, 6), (4, 1)), 6: (0, 6)}
+
+
+def plain_candidates(text):
+    """(token_no, start, value, before, after): by a plain reading of the rules, token by token."""
+    hints = "(?:passw|passwd|pwd|secret|token|api.?key|apikey|access.?key|auth|bearer|credential|private)"
+    issued = "(?:AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|sk-|AIza|glpat-|npm_)"
+    tokens = re.split(r"[ \t\n\x0b\f\r]+", text)
+    out = []
+    for i, token in enumerate(tokens):
+        two, before = (" ".join(tokens[max(0, i - n) : i]) for n in (2, 3))
+        leads = i > 0 and re.search(r"[:=>\"']$|^(?i:is)$|(?i:bearer)$", tokens[i - 1]) and re.search(rf"(?i:{hints}[\w.-]*[\"']?[ \t\n\x0b\f\r]?(?:[:=]+>?|is)[\"']?$|bearer$)", two, re.ASCII)
+        inline = re.search(rf"(?i:{hints})[\w.-]*[\"']?(?:[:=]+>?)[\"']?([^\s:=>\"'].*)$", token, re.ASCII)
+        given, at = (token, 0) if leads else (inline[1], inline.start(1)) if inline else (None, None)
+        if given is not None:
+            opening = re.match(r"[\"'(\[]*", given)[0]
+            bare = re.sub(r"^[\"'(\[]+|[\"'][^A-Za-z0-9]*$|[\"',;.)\]]+$", "", given)
+            given, at = (bare, at + len(opening)) if bare else (None, None)
+        runs = [r for r in re.findall(r"[A-Za-z0-9+/_-]{12,}={0,2}", token) if re.search("[0-9]", r) and re.search("[A-Za-z]", r)]
+        runs += re.findall(rf"(?<![A-Za-z0-9_-]){issued}[A-Za-z0-9_-]{{8,}}", token)
+        after = tokens[i + 1] if i + 1 < len(tokens) else None
+        for value in dict.fromkeys(r for r in runs if given is None or r not in given):
+            head = token.split(value)[0]
+            out.append((i, -1, value, f"{before} {head}", after))
+        if given is not None:
+            out.append((i, at, given, f"{before} {token[:at]}", after))
+    return out
+
+
+def plain_features(value, before, after, path, words):
+    kinds = "".join("a" if c.isascii() and c.islower() else "A" if c.isascii() and c.isupper() else "0" if c in "0123456789" else c for c in value)
+    n, low = len(value), before.lower()
+    changes = lambda a, b: sum((x in a and y in b) or (x in b and y in a) for x, y in zip(kinds, kinds[1:]))
+    spelt = "|".join(sorted(words, key=lambda w: (-len(w), w)))
+    flag = lambda pattern, text: float(bool(re.search(pattern, text)))
+    return [
+        float(n), sum(c in "0123456789" for c in value) / n, sum(c.isascii() and c.isupper() for c in value) / n, flag("^[0-9a-f]+$", value),
+        (len([1 for k, c in enumerate(kinds) if k == 0 or c != kinds[k - 1]]) - 1) / n, changes("a", "A") / n, changes("aA", "0") / n,
+        len(set(value)) / n, 1 - len(re.sub(spelt, "", value.lower())) / n, float(value.count("/")), len(re.sub("[A-Za-z0-9]", "", value)) / n,
+        float(bool(re.fullmatch("[A-ZÄÖÜÉ]?[a-zäöüßéè]+", value))), flag(secrets.ISSUED, value), flag(secrets.HINTS, low), flag(secrets.DECOYS, low),
+        flag(rf"(?:{secrets.HINTS})[\w.-]*[\"']?\s?(?:[:=]+>?|is)[\"']?$|bearer$", low), flag(secrets.FAKE_PATHS, (path or "").lower()), flag("[0-9]", f"{before} {after or ''}"),
+    ]
+
+
+def odd_texts():
+    rng = random.Random(12)
+    parts = ["password", "token", "the", "is", "bearer", "Auth:", "=", ":", "=>", '"', "'", "(", ").", " ", " ", "\n", "x1", "AKIAABCDEFGH1234", "ghp_abcdefgh", "abcdef123456", "/usr/lib/a1b2c3d4", "==", "commit", "é", "hunter2!", ",", "secret", "api_key", "9f86d081884c7d65"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(600)] + [t for t, _ in SECRETS] + HARMLESS
+
+
+def test_candidates_and_features_equal_a_plain_reading(spark):
+    texts = odd_texts()
+    docs = spark.createDataFrame([(i, t, "docs/x" if i % 5 == 0 else None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    words = (*secrets.DICTIONARY, "hunter", "abcd")
+    rows = secrets.described(secrets.candidates(docs), words).collect()
+    got = sorted((r.doc_id, r.token_no, r.start, r.value, *(round(r[f], 9) for f in secrets.FEATURES)) for r in rows)
+    want = []
+    for i, t in enumerate(texts):
+        for no, start, value, before, after in plain_candidates(t):
+            want.append((i, no, start, value, *(round(x, 9) for x in plain_features(value, before, after, "docs/x" if i % 5 == 0 else None, words))))
+    assert got == sorted(want) and len(want) > 300
+
+
+def test_the_dictionary_has_the_most_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "OFTEN", 2)
+    monkeypatch.setattr(secrets, "WORDS", 3)
+    docs = spark.createDataFrame([("Apple pear apple",), ("PEAR grape-plum grape",), (None,), ("the the the kiwi plum " + "w" * 20,)], "text string")
+    assert secrets.corpus_words(docs) == ["apple", "grape", "pear"]
+    assert secrets.corpus_words(docs.where("false")) == []

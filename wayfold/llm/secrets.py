@@ -4,7 +4,8 @@ Candidates are (a) runs of at least ``SHORTEST`` characters of keys and hashes t
 they stand; (b) what begins as issued keys do, with or without a digit; (c) whatever follows a word such as "password"
 and a sign of assignment, in the same token or in the next one, of any length and with any characters.
 Each is described by its length, its make-up, the transitions between classes of characters, how much of it dictionary
-words cover, the path it stands under and the words beside it. A random forest (MLlib) trained on labelled findings
+words cover, the path it stands under and the words beside it. The dictionary is a short list of stand-ins and the
+most frequent words of all texts, counted for each scan. A random forest (MLlib) trained on labelled findings
 decides. ``labelled_findings`` gives a deterministic labelled set; teams pass their own triaged findings instead.
 A secret of fewer characters than ``SHORTEST``, or without a digit, that nothing introduces is no candidate.
 Redaction cuts a secret where it was found, in its token, and nothing else: the same characters elsewhere stay.
@@ -26,12 +27,14 @@ SHORTEST = 12
 _RUN = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}"
 #: A token with such a run and a digit in it: the cheap test that texts and tokens must pass first.
 _MAYBE = rf"(?=[A-Za-z0-9+/_-]{{{SHORTEST}}})[A-Za-z+/_-]*[0-9]"
-#: Words of the dictionary; what they cover of a candidate speaks against it.
+#: Words that stand in for a secret, whatever the corpus; what the dictionary covers of a candidate speaks against it.
 DICTIONARY = (
     "example", "sample", "dummy", "changeme", "placeholder", "password", "secret", "token", "test", "demo", "your", "here",
     "image", "page", "file", "index", "article", "section", "version", "release", "document", "user", "name", "data",
     "the", "and", "for", "with", "from", "ing", "tion", "ment", "lich", "keit", "ando",
 )
+#: Words of the corpus that join the dictionary: the most frequent ones of so many letters that occur so often at least.
+WORDS, LETTERS, OFTEN = 1_000, (4, 12), 100
 #: Words before a secret, and words before what only looks like one.
 HINTS = r"passw|passwd|pwd|secret|token|api.?key|apikey|access.?key|auth|bearer|credential|private"
 DECOYS = r"commit|sha|md5|hash|checksum|digest|uuid|guid|revision|build|order|invoice|isbn|serial|ticket|etag|example|sample"
@@ -50,12 +53,20 @@ FEATURES = (
 )
 
 
-def described(found: DataFrame) -> DataFrame:
-    """Add the features. Columns needed: value, before (the words before), after, path."""
+def corpus_words(docs: DataFrame, text_col: str = "text") -> list[str]:
+    """The ``WORDS`` most frequent words of all texts (lower-case Latin letters), ties by spelling: a list of bounded length."""
+    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    words = docs.select(F.explode(F.split(text, "[^a-z]+")).alias("word")).where(F.length("word").between(*LETTERS))
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+
+
+def described(found: DataFrame, words: tuple[str, ...] = DICTIONARY) -> DataFrame:
+    """Add the features. Columns needed: value, before (the words before), after, path. ``words`` is the dictionary; longer words cover first."""
     low = F.lower("value")
     kinds = F.translate("value", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
     size = F.length("value").cast("double")
-    words = "|".join(DICTIONARY)
+    spelt = "|".join(sorted(words, key=lambda w: (-len(w), w)))
     flag = lambda test: test.cast("double")
     before = F.coalesce(F.lower("before"), F.lit(""))
     return found.withColumns(
@@ -70,7 +81,7 @@ def described(found: DataFrame) -> DataFrame:
             "symbols": F.length(F.regexp_replace("value", "[A-Za-z0-9]", "")) / size,
             "lower_only": flag(F.col("value").rlike(r"^\p{Lu}?\p{Ll}+$")),
             "distinct": F.size(F.array_distinct(F.split("value", ""))) / size,
-            "covered": 1 - F.length(F.regexp_replace(low, words, "")) / size,
+            "covered": 1 - F.length(F.regexp_replace(low, spelt, "")) / size,
             "slashes": F.length(F.regexp_replace("value", "[^/]", "")).cast("double"),
             "issued": flag(F.col("value").rlike(ISSUED)),
             "hint": flag(before.rlike(HINTS)),
@@ -135,9 +146,9 @@ def labelled_findings(spark: SparkSession, n: int = 8_000) -> DataFrame:
     return spark.range(n).select(value.alias("value"), before.alias("before"), word.alias("after"), path.alias("path"), ((kind < 6) | kind.between(12, 16)).cast("double").alias("label"))
 
 
-def train(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
+def train(findings: DataFrame, trees: int = 24, depth: int = 7, words: tuple[str, ...] = DICTIONARY) -> RandomForestClassificationModel:
     """A random forest on labelled findings (value, before, after, path, label)."""
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(described(findings.where("value is not null and label is not null")))
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(described(findings.where("value is not null and label is not null"), words))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(rows.select("features", "label"))
 
 
@@ -185,8 +196,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """One row per candidate: doc_id, text_key, token_no, start, value, score, is_secret."""
-    model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(described(candidates(docs, id_col, text_col, path_col)))
+    words = tuple(dict.fromkeys((*DICTIONARY, *corpus_words(docs, text_col))))
+    model = train(labelled_findings(docs.sparkSession) if findings is None else findings, words=words)
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(described(candidates(docs, id_col, text_col, path_col), words))
     scored = model.transform(rows).withColumn("score", F.get(vector_to_array("probability"), 1))
     return scored.select("doc_id", "text_key", "token_no", "start", "value", "score", (F.col("score") >= 0.5).alias("is_secret"))
 
