@@ -67,3 +67,27 @@ def scenes(episodes: DataFrame, crowd: DataFrame, places: DataFrame, ratio: floa
     sized = of.join(places.select("zone", "area2"), "zone", "left").withColumn("__key", F.struct(F.coalesce("area2", F.lit(0).cast("long")), "start_us", "episode"))
     first = sized.groupBy("scene").agg(F.min_by("episode", "__key").alias("first"))
     return sized.join(first, "scene").select("episode", "scene", (F.col("episode") == F.col("first")).alias("primary"))
+
+
+def grounds(places: DataFrame) -> DataFrame:
+    """(zone, ground): places drawn on the same outline with the same band are one ground, named after the lowest of them.
+
+    Outlines are the same if they have the same corners in the same order; they meet by a 128-bit hash of these.
+    """
+    shape = F.md5(F.to_json(F.struct("lats", "lons", "band")).cast("binary"))
+    keyed = places.select("zone", shape.alias("shape"))
+    return keyed.join(keyed.groupBy("shape").agg(F.min("zone").alias("ground")), "shape").select("zone", "ground")
+
+
+def layout(places: DataFrame) -> DataFrame:
+    """(ground, copies, plant): each ground with how many outlines draw it, and the largest ground that holds its centre, which is larger than it; else itself."""
+    of = grounds(places)
+    lead = places.join(of.where("zone = ground").select("zone"), "zone", "left_semi")
+    probes = centroids(lead).select(F.col("zone").alias("vehicle"), F.lit(0).cast("long").alias("event_id"), F.lit(0).cast("long").alias("us"), "lat6", "lon6", F.lit(0).cast("long").alias("speed"))
+    bare = lead.select("zone", "lats", "lons", F.lit(0.0).alias("band"), F.lit(None).cast("long").alias("speed_limit"), F.lit(None).cast("string").alias("category"))
+    held = fixes_near(probes, bare, 1.0).where("near AND distance <= 0 AND vehicle <> zone").select(F.col("vehicle").alias("ground"), "zone")
+    size = lead.select("zone", "area2")
+    sized = held.join(size, "zone").join(size.select(F.col("zone").alias("ground"), F.col("area2").alias("own")), "ground").where("area2 > own")
+    outer = sized.groupBy("ground").agg(F.max_by("zone", F.struct("area2", -F.col("zone"))).alias("plant"))
+    copies = of.groupBy("ground").agg(F.count(F.lit(1)).alias("copies"))
+    return copies.join(outer, "ground", "left").select("ground", "copies", F.coalesce("plant", "ground").alias("plant"))

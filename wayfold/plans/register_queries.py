@@ -232,15 +232,6 @@ def f23_weather_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.join(mid, "vehicle").groupBy("vehicle").agg(_n().alias("slots"), F.count_if(slow & (F.col("weather") >= 80)).alias("held_up"))
 
 
-@query(f"""WITH {PLACED_SQL}, n AS (SELECT vehicle, us, row_number() {_W} AS pos, lon < 77 AS near FROM placed), d AS (SELECT vehicle, max(pos) FILTER (WHERE near) AS departs FROM n GROUP BY vehicle)
-SELECT vehicle, departs, count(*) FILTER (WHERE pos <= departs) AS at_origin, count(*) FILTER (WHERE departs IS NULL OR pos > departs) AS on_the_way FROM n JOIN d USING (vehicle) GROUP BY ALL""")
-def m14_departure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last fix near the origin, and what lies before and after it."""
-    df = placed(spark, sf_dir).withColumn("pos", F.row_number().over(S.series("vehicle", *_ORDER)).cast("long"))
-    departs = F.max(F.when(F.col("lon") < 77, F.col("pos")))
-    return df.groupBy("vehicle").agg(departs.alias("departs"), _n().alias("n")).select("vehicle", "departs", F.coalesce("departs", F.lit(0)).alias("at_origin"), (F.col("n") - F.coalesce("departs", F.lit(0))).alias("on_the_way"))
-
-
 @query(f"""WITH {TRIPS_SQL} SELECT t.trip, count(s.trip) AS together, avg(s.on_time) AS rate, any_value(t.on_time) AS label FROM trips t
 LEFT JOIN trips s ON s.carrier = t.carrier AND s.customer = t.customer AND s.ended < t.booked AND s.on_time IS NOT NULL WHERE t.on_time IS NOT NULL GROUP BY t.trip""")
 def n02_sla_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,20 +255,6 @@ def x07_day_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stays(spark, sf_dir).select("vehicle", "seq", "part", "site", F.explode(days).alias("day"))
 
 
-@query(f"""WITH {STAYS_SQL}, g AS (SELECT site % 40 AS ground, list_sort(list(DISTINCT site))::VARCHAR AS members, count(*) AS visits FROM stays GROUP BY 1) SELECT * FROM g""")
-def i21_grounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites with the same outline are one ground (here: equal keys), with their members and visits."""
-    members = F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_set("site")).cast("array<string>"), ", "), F.lit("]"))
-    return stays(spark, sf_dir).groupBy((F.col("site") % 40).alias("ground")).agg(members.alias("members"), _n().alias("visits"))
-
-
-@query(f"WITH {STAYS_SQL} SELECT max(leave - enter) AS widest_us, CAST(max((leave - enter) // {HOUR}) * 100 AS BIGINT) AS pad_m FROM stays")
-def c57_largest_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bound by which searches are padded."""
-    widest = F.max(F.col("leave") - F.col("enter"))
-    return stays(spark, sf_dir).agg(widest.alias("widest_us"), (F.floor(widest / HOUR) * 100).alias("pad_m"))
-
-
 @query(f"""WITH {TRIPS_SQL}, p AS (SELECT 'late trips' AS figure, count(*) AS value FROM trips WHERE on_time = 0 UNION ALL SELECT 'long trips', count(*) FROM trips WHERE days > 80)
 SELECT figure, value, (SELECT count(*) FROM trips) AS of_all FROM p""")
 def a76_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,24 @@ def i19_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     eps, crowd = crowded_episodes(spark, sf_dir)
     where = eps.select("zone").distinct()
     return C.scenes(eps, crowd, zones(spark, sf_dir).join(where, "zone", "left_semi"), RATIO, SHARE, 30 * DAY)
+
+
+_LAYOUT_SQL = f"""{ZONES_SQL}, copies AS (SELECT zone AS ground, CASE WHEN zone % 7 = 0 THEN 2 ELSE 1 END + CASE WHEN zone % 21 = 0 THEN 1 ELSE 0 END AS copies FROM zones),
+edges AS (SELECT zone, lat6 AS y1, lon6 AS x1, coalesce(lead(lat6) OVER w, first(lat6) OVER w) AS y2, coalesce(lead(lon6) OVER w, first(lon6) OVER w) AS x2, first(lat6) OVER w AS oy, first(lon6) OVER w AS ox
+  FROM corners WINDOW w AS (PARTITION BY zone ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+boxes AS (SELECT zone, min(lat6) AS s, max(lat6) AS n, min(lon6) AS w, max(lon6) AS e FROM corners GROUP BY zone),
+t AS (SELECT zone, oy, ox, (x1 - ox) * (y2 - oy) - (x2 - ox) * (y1 - oy) AS c, y1 + y2 - 2 * oy AS sy, x1 + x2 - 2 * ox AS sx FROM edges),
+places AS (SELECT zone, abs(CAST(sum(c) AS BIGINT)) AS area2, CAST(round(any_value(oy) + sum(CAST(sy AS DOUBLE) * c) / (3 * sum(c))) AS BIGINT) AS cy, CAST(round(any_value(ox) + sum(CAST(sx AS DOUBLE) * c) / (3 * sum(c))) AS BIGINT) AS cx FROM t GROUP BY zone),
+holds AS (
+  SELECT p.zone, e.zone AS outer_zone FROM places p JOIN boxes b ON b.zone <> p.zone AND cy BETWEEN s AND n AND cx BETWEEN w AND b.e JOIN edges e ON e.zone = b.zone GROUP BY ALL
+  HAVING count(*) FILTER (WHERE (y1 > cy) <> (y2 > cy)
+    AND CASE WHEN y2 > y1 THEN (x1 - cx) * (y2 - y1) + (x2 - x1) * (cy - y1) > 0 ELSE (x1 - cx) * (y2 - y1) + (x2 - x1) * (cy - y1) < 0 END) % 2 = 1),
+plants AS (SELECT h.zone, arg_max(outer_zone, (o.area2, -outer_zone)) AS plant FROM holds h JOIN places p ON p.zone = h.zone JOIN places o ON o.zone = outer_zone WHERE o.area2 > p.area2 GROUP BY h.zone)"""
+
+
+@query(f"WITH {_LAYOUT_SQL} SELECT ground, copies, coalesce(plant, ground) AS plant FROM copies LEFT JOIN plants ON plants.zone = ground", whole=("copies",))
+def i21_grounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines that were drawn twice or three times under other numbers are one ground each; a ground belongs to the largest one around it."""
+    once = zones(spark, sf_dir)
+    again = [once.where(F.col("zone") % n == 0).withColumn("zone", F.col("zone") + n * 1_000_000) for n in (7, 21)]
+    return C.layout(once.unionByName(again[0]).unionByName(again[1]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import scalars as X
@@ -216,3 +216,23 @@ def g07_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     perimeter = Z.METRE6 * F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda i: edge(i, (i + 1) % n)), F.lit(0.0), lambda a, b: a + b)
     ring = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((at("lats", i) - at("lats", F.lit(0))).alias("lat"), (at("lons", i) - at("lons", F.lit(0))).alias("lon")))
     return df.select("zone", "area2", (X.ring_area(ring) > 0).alias("counter_clockwise"), F.floor(perimeter / 10 + 0.5).alias("perimeter_10m"), "lat6", "lon6")
+
+
+@query(f"WITH {ZONES_SQL} SELECT category, max(band) AS widest_band, CAST(ceil((max(band) + {ESCAPE}::DOUBLE) / {Z.METRE6!r}::DOUBLE) AS BIGINT) AS pad6 FROM zones GROUP BY category")
+def c57_largest_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far outside a zone of each category a fix may still matter, in metres and micro-degrees: the padding of searches."""
+    pad = F.ceil((F.max("band") + ESCAPE) / Z.METRE6)
+    return zones(spark, sf_dir).groupBy("category").agg(F.max("band").alias("widest_band"), pad.cast("long").alias("pad6"))
+
+
+@query(f"""WITH {TRAILS_SQL}, n AS (SELECT vehicle, row_number() OVER w AS pos, first(lat6) OVER w AS y0, first(lon6) OVER w AS x0, lat6, lon6 FROM trails WINDOW w AS (PARTITION BY vehicle ORDER BY us, event_id)),
+d AS (SELECT vehicle, pos, 2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians((lat6 - y0) / 1e6::DOUBLE) / 2), 2) + cos(radians(y0 / 1e6::DOUBLE)) * cos(radians(lat6 / 1e6::DOUBLE)) * pow(sin(radians((lon6 - x0) / 1e6::DOUBLE) / 2), 2))) AS metres FROM n),
+f AS (SELECT vehicle, max(pos) FILTER (WHERE metres <= 1500) AS departs, count(*) AS n FROM d GROUP BY vehicle)
+SELECT vehicle, departs, departs AS at_origin, n - departs AS on_the_way FROM f""")
+def m14_departure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last fix within 1,500 m of where a trail begins, and how many lie before and after it."""
+    w = Window.partitionBy("vehicle").orderBy("us", "event_id")
+    df = trails(spark, sf_dir).select("vehicle", F.row_number().over(w).cast("long").alias("pos"), *[(F.col(c) / 1e6).alias(c) for c in ("lat6", "lon6")], *[(F.first(c).over(w) / 1e6).alias(f"{c}_0") for c in ("lat6", "lon6")])
+    metres = X.haversine_m(F.col("lat6_0"), F.col("lon6_0"), F.col("lat6"), F.col("lon6"))
+    found = df.groupBy("vehicle").agg(F.max(F.when(metres <= 1_500, F.col("pos"))).alias("departs"), F.count(F.lit(1)).alias("n"))
+    return found.select("vehicle", "departs", F.col("departs").alias("at_origin"), (F.col("n") - F.col("departs")).alias("on_the_way"))
