@@ -44,6 +44,7 @@ def load() -> None:
         filter_queries,
         interval_queries,
         join_queries,
+        master_queries,
         model_queries,
         name_queries,
         path_queries,
