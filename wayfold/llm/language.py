@@ -38,6 +38,8 @@ BUCKETS, LIFT, SPREAD, MODEL = 1 << 14, 0.5, 2.0, 512 << 20
 EVIDENCE, LETTERS = 0.5 * BUCKETS, -1
 #: Trigrams that a text counts for in a model, at most; all of them are counted, with a lower weight.
 WEIGHT = 1_000.0
+#: A host with 1/LARGE of the rows or more is joined without a shuffle.
+LARGE = 64
 #: Weight of the text evidence of one trigram (trigrams overlap), and pseudo-counts of the smoothing.
 TRIGRAM_WEIGHT, PULL, DOUBT = 0.35, 20.0, 1.0
 _FOLD = np.full(256, 32, np.uint8)
@@ -175,16 +177,16 @@ def identify(rows: DataFrame, accepted: list[str] | None = None, least_posterior
     suffixes = _shares(read, "suffix", languages)
     suffixes = suffixes.withColumn("suffix_prior", _smoothed("n", flat)).select("suffix", "suffix_prior", F.col("n").alias("suffix_n"))
     hosts = read.where("letters > 0").groupBy("host").agg(
-        F.max("suffix").alias("suffix"), F.array(*[F.sum((F.col("first") == i).cast("double")) for i in range(k)]).alias("n")
+        F.max("suffix").alias("suffix"), F.array(*[F.sum((F.col("first") == i).cast("double")) for i in range(k)]).alias("n"), F.count(F.lit(1)).alias("rows")
     )
     hosts = hosts.join(suffixes.select("suffix", "suffix_prior"), "suffix", "left")
-    hosts = hosts.select("host", _smoothed("n", F.coalesce("suffix_prior", flat)).alias("host_prior"))
+    hosts = stage(hosts.select("host", "rows", _smoothed("n", F.coalesce("suffix_prior", flat)).alias("host_prior")), "language-hosts")
     # How likely each language is to declare a value, or to stand under a suffix.
     declares = _shares(read, "declared", languages).select("declared", _given(F.col("n"), sums).alias("says"))
     stands = suffixes.select("suffix", _given(F.col("suffix_n"), sums).alias("stands"))
 
     none = F.array(*[F.lit(0.0)] * k)
-    fused = read.join(hosts, "host", "left").join(declares, "declared", "left").join(stands, "suffix", "left")
+    fused = _with_host(read, hosts, sum(sums)).join(declares, "declared", "left").join(stands, "suffix", "left")
     total_score = _added(_added(F.col("heard"), _log(F.coalesce("host_prior", flat))), _added(F.coalesce("says", none), F.coalesce("stands", none)))
     fit = (F.array_max("heard") / TRIGRAM_WEIGHT) / F.greatest("trigrams", F.lit(1)) + F.when(F.col("trigrams") > 0, float(np.log(BUCKETS))).otherwise(0.0)
     founded = F.get(F.array(*[F.lit(x >= EVIDENCE) for x in evidence]), _best("heard", languages))
@@ -208,6 +210,17 @@ def identify(rows: DataFrame, accepted: list[str] | None = None, least_posterior
     return out.withColumn("kept", (F.col("letters") > 0) & (F.col("posterior") >= least_posterior) & F.col("likely") & wanted).drop("likely")
 
 
+def _with_host(read: DataFrame, hosts: DataFrame, rows: float) -> DataFrame:
+    """Add the prior of its host to each row. The hosts with 1/``LARGE`` of all rows or more, at most ``LARGE`` of them, go
+    to every task; their rows take no part in the join of the others but are spread over its tasks."""
+    large = hosts.where(F.col("rows") * LARGE >= rows).select("host", F.col("host_prior").alias("__large"))
+    small = hosts.where(F.col("rows") * LARGE < rows).select(F.col("host").alias("__host"), F.col("host_prior").alias("__small"))
+    met = read.join(F.broadcast(large), "host", "left")
+    key = F.when(F.col("__large").isNull(), F.col("host")).otherwise(F.concat(F.lit("\x00"), F.xxhash64("id", "letters", "trigrams").cast("string")))
+    joined = met.withColumn("__key", key).join(small, F.col("__key") == F.col("__host"), "left")
+    return joined.withColumn("host_prior", F.coalesce("__large", "__small")).drop("__large", "__small", "__host", "__key")
+
+
 def _smoothed(counts: str, prior: Column) -> Column:
     """Shares of the counts with ``PULL`` rows of the prior added."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b) + PULL
