@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayfold.operators import intervals as I
 from wayfold.operators.clusters import dbscan
@@ -130,11 +131,20 @@ def test_scenes(spark):
     assert got == {10: (10, True), 11: (10, False), 12: (10, False), 13: (13, True), **{k: (k, True) for k in (20, 21, 30, 31, 40)}}
 
 
-def test_dbscan_equals_plain(spark):
-    rng = random.Random(3)
-    points = [(i, rng.choice([0, 40, 200]) + rng.randint(0, 12), rng.choice([0, 60]) + rng.randint(0, 12)) for i in range(150)]
-    near = {i: [j for j, u, v in points if (u - x) ** 2 + (v - y) ** 2 <= 16] for i, x, y in points}
-    core = {i for i in near if len(near[i]) >= 5}
+@pytest.mark.parametrize(("reach", "least"), [(4, 5), (1, 3), (7, 12), (30, 4)])
+def test_dbscan_equals_plain(spark, reach, least):
+    rng = random.Random(reach)
+    points = [(i, rng.choice([0, 40, 200]) + rng.randint(-6, 12), rng.choice([0, 60]) + rng.randint(-6, 12)) for i in range(220)]
+    near = {i: [j for j, u, v in points if (u - x) ** 2 + (v - y) ** 2 <= reach * reach] for i, x, y in points}
+    core = {i for i in near if len(near[i]) >= least}
     label = plain_components([(i, j) for i in core for j in near[i] if j in core])
     want = {i: label.get(i, i) if i in core else min((label.get(j, j) for j in near[i] if j in core), default=None) for i in near}
-    assert {r.id: r.cluster for r in dbscan(spark.createDataFrame(points, "id long, x long, y long"), 4, 5).collect()} == want
+    assert {r.id: r.cluster for r in dbscan(spark.createDataFrame(points, "id long, x long, y long"), reach, least).collect()} == want
+    assert core and len(core) < len(points) or reach == 30
+
+
+def test_a_dense_place_makes_no_pairs(spark):
+    """30,000 points on a spot ten wide and a few apart: all pairs would be 900 million."""
+    points = spark.range(30_000).select("id", (F.col("id") % 10).alias("x"), (F.floor(F.col("id") / 10) % 10).alias("y")).union(spark.sql("SELECT 50000L, 40L, 0L UNION ALL SELECT 50001L, 22L, 0L"))
+    got = {r.cluster: r.n for r in dbscan(points, 14, 10).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {0: 30_001, None: 1}
