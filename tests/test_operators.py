@@ -180,7 +180,14 @@ def test_stream_dedup_and_latest(spark, tmp_path):
     query = live.latest_positions(stream, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.processAllAvailable()
     query.stop()
-    assert sorted((r.vehicle, r.us) for r in spark.read.parquet(str(tmp_path / "out" / "batch=0")).collect()) == [(1, 20), (2, 5)]
+    assert sorted((r.vehicle, r.us) for r in live.positions(spark, str(tmp_path / "out")).collect()) == [(1, 20), (2, 5)]
+    # A later micro-batch with a late fix of one vehicle and a new one of another; the first one's folder is not touched.
+    spark.createDataFrame([(5, 1, 15, 9), (6, 2, 30, 2)], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = live.latest_positions(stream, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted((r.vehicle, r.us) for r in live.positions(spark, str(tmp_path / "out")).collect()) == [(1, 20), (2, 30)]
+    assert spark.read.parquet(str(tmp_path / "out" / "batch=1")).count() == 2
 
 
 def test_incremental_equals_full(spark):

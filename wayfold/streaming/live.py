@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -106,14 +106,21 @@ def window_start(watermark: int, lookback: int, floor: int, end: int, longest: i
 
 
 def latest_positions(stream: DataFrame, path: str) -> DataStreamWriter:
-    """Keep the newest fix per vehicle at ``path``; a batch that runs again replaces what it wrote (paths by batch id)."""
+    """Keep the newest fix per vehicle under ``path``: a micro-batch leaves the vehicles that it touched, under its number, and nothing else.
+
+    One that runs again replaces what it left; no micro-batch reads what others wrote. ``positions`` reads the result.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("vehicle").agg(F.max_by(F.struct(*batch.columns), F.struct("us", "event_id")).alias("x")).select("x.*")
-        if batch_id:
-            before = batch.sparkSession.read.parquet(f"{path}/batch={batch_id - 1}")
-            both = before.select(newest.columns).unionByName(newest)
-            newest = both.groupBy("vehicle").agg(F.max_by(F.struct(*newest.columns), F.struct("us", "event_id")).alias("x")).select("x.*")
-        newest.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _newest(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write)
+
+
+def positions(spark: SparkSession, path: str) -> DataFrame:
+    """The newest fix of each vehicle over all micro-batches so far, whatever order late ones came in."""
+    return _newest(spark.read.parquet(path).drop("batch"))
+
+
+def _newest(fixes: DataFrame) -> DataFrame:
+    return fixes.groupBy("vehicle").agg(F.max_by(F.struct(*fixes.columns), F.struct("us", "event_id")).alias("x")).select("x.*")
