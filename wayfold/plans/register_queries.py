@@ -10,12 +10,16 @@ from wayfold.operators import merges as K
 from wayfold.operators import sequences as S
 from wayfold.operators.joins import known_by
 from wayfold.plans.catalogue import query
-from wayfold.sources.tables import micros, HOUR, PINGS_SQL, PLACED_SQL, STAYS_SQL, TRIPS_SQL, pings, placed, read, stays, trips
+from wayfold.sources.tables import HOUR, PINGS_SQL, PLACED_SQL, STAYS_SQL, TRIPS_SQL, micros, pings, placed, read, stays, trips
+from wayfold.sources.trails import TRAILS_SQL, trails
 
 _ORDER = ["us", "event_id"]
 _W = "OVER (PARTITION BY vehicle ORDER BY us, event_id)"
 DAY = 24 * HOUR
 
+#: Micro-degrees a second beyond which a step of the trails is too fast.
+_FAST = 1.0
+
 
 def _n():
     return F.count(F.lit(1))
@@ -131,13 +135,18 @@ def g14_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", "x.leg", F.floor(1e5 * F.col("x.off") + 0.5).alias("off_e5"))
 
 
-@query(f"""WITH {PLACED_SQL}, d AS (SELECT event_id, vehicle, us, row_number() {_W} AS pos, CASE WHEN k % 13 = 0 THEN 'repeat' WHEN speed > 9000 THEN 'speed' ELSE 'kept' END AS verdict FROM placed)
+@query(f"""WITH {TRAILS_SQL}, l AS (SELECT *, row_number() {_W} AS pos, us - lag(us) {_W} AS gap, lat6 - lag(lat6) {_W} AS dy, lon6 - lag(lon6) {_W} AS dx FROM trails),
+d AS (SELECT vehicle, us, pos, CASE WHEN gap IS NULL THEN 'kept' WHEN gap <= 0 THEN 'late' WHEN dy = 0 AND dx = 0 THEN 'repeat'
+        WHEN sqrt(CAST(dy * dy + dx * dx AS DOUBLE)) > {_FAST}::DOUBLE * gap / 1000000 THEN 'too_fast' ELSE 'kept' END AS verdict FROM l)
 SELECT vehicle, us // {DAY} AS day, verdict, count(*) AS n, min(pos) AS first_pos FROM d GROUP BY ALL""")
 def c31_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept and rejected fixes of each trail and day, with the reason."""
-    verdict = F.when(F.col("k") % 13 == 0, "repeat").when(F.col("speed") > 9000, "speed").otherwise("kept")
-    df = pings(spark, sf_dir).withColumn("pos", F.row_number().over(S.series("vehicle", *_ORDER)).cast("long")).withColumn("verdict", verdict)
-    return df.groupBy("vehicle", F.floor(F.col("us") / DAY).alias("day"), "verdict").agg(_n().alias("n"), F.min("pos").alias("first_pos"))
+    """Kept and rejected fixes of each trail and day, with the reason: not later than the one before, at its place, or too fast from there."""
+    w = S.series("vehicle", *_ORDER)
+    step = lambda c: F.col(c) - F.lag(c).over(w)
+    df = trails(spark, sf_dir).select("vehicle", "us", F.row_number().over(w).cast("long").alias("pos"), step("us").alias("gap"), step("lat6").alias("dy"), step("lon6").alias("dx"))
+    fast = F.sqrt((F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).cast("double")) > F.lit(_FAST) * F.col("gap") / 1_000_000
+    verdict = F.when(F.col("gap").isNull(), "kept").when(F.col("gap") <= 0, "late").when((F.col("dy") == 0) & (F.col("dx") == 0), "repeat").when(fast, "too_fast").otherwise("kept")
+    return df.withColumn("verdict", verdict).groupBy("vehicle", F.floor(F.col("us") / DAY).alias("day"), "verdict").agg(_n().alias("n"), F.min("pos").alias("first_pos"))
 
 
 @query("""WITH r AS (SELECT l_suppkey % 5 AS run, l_linestatus AS status, count(*) AS n FROM lineitem GROUP BY ALL) SELECT run, sum(n) AS records, sum(n) FILTER (WHERE status = 'F') AS done, bool_and(n > 0) AND count(*) = 2 AS complete,
