@@ -85,8 +85,11 @@ def a34_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pearson over complete pairs from whole-number sums, in millionths."""
     x, y = F.col("days"), F.col("stops")
     t = trips(spark, sf_dir).where("days is not null and stops is not null").groupBy("status").agg(_n().alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
-    r = F.expr("cast(n * xy - x * y as double) / sqrt(cast(n * xx - x * x as double) * cast(n * yy - y * y as double))")
-    return t.where("n > 10").select("status", "n", F.floor(1e6 * r + 0.5).alias("corr_ppm"))
+    # Products of sums pass 64 bits on some millions of trips.
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    apart = lambda a, b, ab: (whole("n") * whole(ab) - whole(a) * whole(b)).cast("double")
+    ppm = 1e6 * apart("x", "y", "xy") / F.sqrt(apart("x", "x", "xx") * apart("y", "y", "yy"))
+    return t.where("n > 10").select("status", "n", F.floor(ppm + 0.5).alias("corr_ppm"))
 
 
 @query(f"""WITH {PINGS_SQL}, h AS (SELECT vehicle, (us // {HOUR}) % 24 AS hour, count(*) AS n FROM pings GROUP BY ALL), s AS (SELECT v.vehicle, g.h AS hour FROM (SELECT DISTINCT vehicle FROM pings) v, generate_series(0, 23) AS g(h))
