@@ -180,13 +180,20 @@ def g19_stop_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH boxes AS (SELECT p_partkey AS id, p_partkey % 50 AS x0, p_partkey % 50 + p_size % 9 + 1 AS x1, p_size AS y0, p_size + p_partkey % 4 + 1 AS y1 FROM part)
 SELECT a.id AS inner_id, b.id AS outer_id FROM boxes a JOIN boxes b ON a.id <> b.id AND a.x0 >= b.x0 AND a.x1 <= b.x1 AND a.y0 >= b.y0 AND a.y1 <= b.y1""")
 def j18_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zones that lie within others: both meet in the unit column where the inner one begins, never all with all."""
+    """Zones that lie within others. Different boxes meet in the unit cell where the inner one begins, never all with all; zones then join the boxes they draw.
+
+    No side is broadcast: by the size of their file Spark would take cells and zones to be few.
+    """
     i, size = F.col("p_partkey"), F.col("p_size")
+    box = ["x0", "x1", "y0", "y1"]
     boxes = read(spark, sf_dir, "part").select(i.alias("id"), (i % 50).alias("x0"), (i % 50 + size % 9 + 1).alias("x1"), size.alias("y0"), (size + i % 4 + 1).alias("y1"))
-    outer = boxes.select(F.col("id").alias("outer_id"), *[F.col(c).alias(f"o{c}") for c in ("x0", "x1", "y0", "y1")])
+    drawn = boxes.select(*box).distinct()
+    outer = drawn.select(*[F.col(c).alias(f"o{c}") for c in box])
     outer = outer.withColumn("cx", F.explode(F.sequence(F.col("ox0"), F.col("ox1")))).withColumn("cy", F.explode(F.sequence(F.col("oy0"), F.col("oy1"))))
-    met = boxes.join(outer, (F.col("x0") == F.col("cx")) & (F.col("y0") == F.col("cy"))).where("id <> outer_id and x0 >= ox0 and x1 <= ox1 and y0 >= oy0 and y1 <= oy1")
-    return met.select(F.col("id").alias("inner_id"), "outer_id")
+    met = drawn.join(outer.hint("merge"), (F.col("x0") == F.col("cx")) & (F.col("y0") == F.col("cy"))).where("x0 >= ox0 and x1 <= ox1 and y0 >= oy0 and y1 <= oy1")
+    inner = met.drop("cx", "cy").join(boxes.withColumnRenamed("id", "inner_id").hint("merge"), box)
+    around = boxes.select(F.col("id").alias("outer_id"), *[F.col(c).alias(f"o{c}") for c in box])
+    return inner.join(around.hint("merge"), [f"o{c}" for c in box]).where("inner_id <> outer_id").select("inner_id", "outer_id")
 
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'unknown' END AS status FROM orders")
