@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import scalars as X
 from wayfold.operators import zones as Z
-from wayfold.operators.rings import checked
+from wayfold.operators.rings import crossed, inscribed
 from wayfold.operators.scenes import centroids
 from wayfold.operators.silences import moving_silences, passages
 from wayfold.plans.catalogue import query
@@ -116,13 +116,13 @@ def _swapped(zones_: DataFrame) -> DataFrame:
 @query(f"WITH {_CROSSED_SQL} SELECT z.zone, CAST(a AS INTEGER) AS crossing_a, CAST(b AS INTEGER) AS crossing_b FROM zones z LEFT JOIN first_pair p ON p.zone = z.zone")
 def g08_crossing_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two edges of each outline that cross; none in a proper one."""
-    return checked(_swapped(zones(spark, sf_dir))).select("zone", "crossing_a", "crossing_b")
+    return crossed(_swapped(zones(spark, sf_dir)))
 
 
 @query()
 def g09_inscribed_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The radius of the largest circle in each outline, to half a metre, and the band that follows from it."""
-    found = checked(zones(spark, sf_dir), 5_000.0)
+    found = inscribed(zones(spark, sf_dir), 5_000.0)
     return found.select("zone", F.round("inradius_m", 2).alias("inradius_m"), F.round(X.adaptive_band(F.col("inradius_m")), 3).alias("band"))
 
 
