@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 from wayfold.operators.sequences import walked
 
 DAY = 86_400_000_000
-#: Intervals whose ends one task of ``occupancy`` sorts, about.
+#: Intervals that one task sorts, about.
 PART = 250_000
 
 
+def parts(df: DataFrame) -> int:
+    """Into how many parts a table of intervals is dealt. Counts its rows: for tables as they are read, not for long plans."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PART))
+
+
 def merged(df: DataFrame, keys: list[str], start: str = "enter", end: str = "leave", tolerance_us: int = 0) -> DataFrame:
     """The union of the intervals of each key; touching ones join. Adds the number of intervals of each union."""
     order = Window.partitionBy(*keys).orderBy(start, end)
@@ -34,8 +39,7 @@ def occupancy(df: DataFrame, keys: list[str], start: str = "enter", end: str = "
     flat = df.where(F.col(start) < F.col(end)).select(*keys, ends.alias("__e")).select(*keys, "__e.us", "__e.d", F.floor(F.col("__e.us") / bucket_us).alias("__bucket"))
     # Dealt once by bucket: sums by time, sums by bucket and the windows within buckets all keep to that. As many parts as
     # the rows ask for, so that what a task sorts and sums does not grow with the table.
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PART))
-    steps = flat.repartition(parts, *keys, "__bucket").groupBy(*keys, "__bucket", "us").agg(F.sum("d").alias("d")).where("d <> 0")
+    steps = flat.repartition(parts(df), *keys, "__bucket").groupBy(*keys, "__bucket", "us").agg(F.sum("d").alias("d")).where("d <> 0")
     order = Window.partitionBy(*keys).orderBy("__bucket")
     buckets = steps.groupBy(*keys, "__bucket").agg(F.sum("d").alias("__d"), F.min("us").alias("__first"))
     before = F.coalesce(F.sum("__d").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -83,7 +83,8 @@ m1 AS (SELECT *, sum(CASE WHEN enter <= reach THEN 0 ELSE 1 END) OVER (PARTITION
 u AS (SELECT vehicle, max(leave) - min(enter) AS span FROM m1 GROUP BY vehicle, grp) SELECT vehicle, CAST(sum(span) AS BIGINT) AS at_sites_us, count(*) AS places FROM u GROUP BY vehicle""")
 def i06_time_at_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time at any site: nested and overlapping stays count once."""
-    spans = I.merged(stays(spark, sf_dir), ["vehicle"])
+    df = stays(spark, sf_dir).select("vehicle", "enter", "leave")
+    spans = I.merged(df.repartition(I.parts(df), "vehicle"), ["vehicle"])
     return spans.groupBy("vehicle").agg(F.sum(F.col("leave") - F.col("enter")).alias("at_sites_us"), F.count(F.lit(1)).alias("places"))
 
 
