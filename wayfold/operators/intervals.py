@@ -30,24 +30,24 @@ def merged(df: DataFrame, keys: list[str], start: str = "enter", end: str = "lea
 
 
 def occupancy(df: DataFrame, keys: list[str], start: str = "enter", end: str = "leave", bucket_us: int = 30 * DAY) -> DataFrame:
-    """Step function: how many intervals are open from ``us`` until ``until``. Empty intervals do not count.
+    """Step function: how many intervals are open from ``us``, in the bucket of time ``bucket``, until ``until``. Empty intervals do not count.
 
     Levels are running sums in two steps, over the buckets of time of a key and within each bucket, so that the steps of
     one busy key spread over its buckets.
     """
     ends = F.explode(F.array(F.struct(F.col(start).alias("us"), F.lit(1).alias("d")), F.struct(F.col(end).alias("us"), F.lit(-1).alias("d"))))
-    flat = df.where(F.col(start) < F.col(end)).select(*keys, ends.alias("__e")).select(*keys, "__e.us", "__e.d", F.floor(F.col("__e.us") / bucket_us).alias("__bucket"))
+    flat = df.where(F.col(start) < F.col(end)).select(*keys, ends.alias("__e")).select(*keys, "__e.us", "__e.d", F.floor(F.col("__e.us") / bucket_us).alias("bucket"))
     # Dealt once by bucket: sums by time, sums by bucket and the windows within buckets all keep to that. As many parts as
     # the rows ask for, so that what a task sorts and sums does not grow with the table.
-    steps = flat.repartition(parts(df), *keys, "__bucket").groupBy(*keys, "__bucket", "us").agg(F.sum("d").alias("d")).where("d <> 0")
-    order = Window.partitionBy(*keys).orderBy("__bucket")
-    buckets = steps.groupBy(*keys, "__bucket").agg(F.sum("d").alias("__d"), F.min("us").alias("__first"))
+    steps = flat.repartition(parts(df), *keys, "bucket").groupBy(*keys, "bucket", "us").agg(F.sum("d").alias("d")).where("d <> 0")
+    order = Window.partitionBy(*keys).orderBy("bucket")
+    buckets = steps.groupBy(*keys, "bucket").agg(F.sum("d").alias("__d"), F.min("us").alias("__first"))
     before = F.coalesce(F.sum("__d").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    buckets = buckets.select(*keys, "__bucket", before.alias("__before"), F.lead("__first").over(order).alias("__next"))
-    within = Window.partitionBy(*keys, "__bucket").orderBy("us")
+    buckets = buckets.select(*keys, "bucket", before.alias("__before"), F.lead("__first").over(order).alias("__next"))
+    within = Window.partitionBy(*keys, "bucket").orderBy("us")
     level = F.col("__before") + F.sum("d").over(within.rowsBetween(Window.unboundedPreceding, 0))
     until = F.coalesce(F.lead("us").over(within), F.col("__next"))
-    return steps.join(buckets, [*keys, "__bucket"]).select(*keys, "us", level.alias("level"), until.alias("until"))
+    return steps.join(buckets, [*keys, "bucket"]).select(*keys, "bucket", "us", level.alias("level"), until.alias("until"))
 
 
 def level_time(steps: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,13 +64,19 @@ def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str,
 
 
 def runs_at_least(steps: DataFrame, keys: list[str], threshold: Column) -> DataFrame:
-    """Maximal spans in which the level stays at the threshold or above, with their peak."""
-    order = Window.partitionBy(*keys).orderBy("us")
-    on = (F.col("level") >= threshold) & F.col("until").isNotNull()
-    marked = steps.withColumn("__on", on)
-    starts = F.col("__on") & ~F.coalesce(F.lag("__on").over(order), F.lit(False))
-    numbered = marked.withColumn("__grp", F.sum(starts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("__on")
-    return numbered.groupBy(*keys, "__grp").agg(F.min("us").alias("enter"), F.max("until").alias("leave"), F.max("level").alias("peak")).drop("__grp")
+    """Maximal spans in which the level of ``occupancy`` stays at the threshold or above, with their peak.
+
+    Runs are found within buckets, as the steps are dealt; those that touch are then one. Only runs meet by key.
+    """
+    within = Window.partitionBy(*keys, "bucket").orderBy("us")
+    marked = steps.withColumn("__on", (F.col("level") >= threshold) & F.col("until").isNotNull())
+    starts = F.col("__on") & ~F.coalesce(F.lag("__on").over(within), F.lit(False))
+    numbered = marked.withColumn("__grp", F.sum(starts.cast("int")).over(within.rowsBetween(Window.unboundedPreceding, 0))).where("__on")
+    pieces = numbered.groupBy(*keys, "bucket", "__grp").agg(F.min("us").alias("enter"), F.max("until").alias("leave"), F.max("level").alias("peak"))
+    order = Window.partitionBy(*keys).orderBy("enter")
+    begins = F.coalesce(F.lag("leave").over(order) < F.col("enter"), F.lit(True))
+    joined = pieces.withColumn("__new", begins.cast("int")).withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return joined.groupBy(*keys, "__run").agg(F.min("enter").alias("enter"), F.max("leave").alias("leave"), F.max("peak").alias("peak")).drop("__run")
 
 
 def split_by_day(df: DataFrame, start: str = "enter", end: str = "leave") -> DataFrame:
