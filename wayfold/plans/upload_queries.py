@@ -11,6 +11,10 @@ from wayfold.sources.trails import TRAILS_SQL, trails
 from wayfold.sources.uploads import file_report, fixes_of, read_lines
 
 
+#: Lines of a file at most, as senders export by the day or the week; a file is opened by one task.
+LINES = 25_000
+
+
 def _uploaded(spark: SparkSession, sf_dir: str) -> str:
     """A folder of files as four senders would export them: other headers, delimiters, encodings and times."""
     base = shared_folder(spark, "uploads")
@@ -19,10 +23,10 @@ def _uploaded(spark: SparkSession, sf_dir: str) -> str:
     kmph = F.floor(F.col("speed") / 100)
     df = trails(spark, sf_dir)
     own = lambda k: df.where(F.col("vehicle") % 4 == k)
-    own(0).select(F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("GPS Date/Time"), lat.alias("Latitude"), lon.alias("Longitude"), kmph.alias("Speed (km/h)"), F.col("event_id").alias("Trip No")).write.csv(f"{base}/a", header=True)
-    own(1).select(F.col("event_id").alias("trip"), F.date_format(ts, "dd/MM/yyyy HH:mm:ss").alias("time stamp"), lon.alias("lng"), lat.alias("lat"), kmph.alias("kmph")).write.csv(f"{base}/b", header=True, sep=";", encoding="ISO-8859-1")
-    own(2).select(F.date_format(ts, "dd-MMM-yyyy").alias("date"), F.date_format(ts, "HH:mm:ss").alias("time"), lat.alias("d_lat"), lon.alias("d_long"), kmph.alias("speed"), F.col("event_id").alias("trip_id")).write.csv(f"{base}/c", header=True, sep="\t", encoding="UTF-16")
-    own(3).select((F.col("us") / 1_000_000).cast("long").alias("ts"), lat.alias("lat"), lon.alias("lon"), kmph.alias("speed"), F.col("event_id").alias("trip")).write.json(f"{base}/d")
+    own(0).select(F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("GPS Date/Time"), lat.alias("Latitude"), lon.alias("Longitude"), kmph.alias("Speed (km/h)"), F.col("event_id").alias("Trip No")).write.option("maxRecordsPerFile", LINES).csv(f"{base}/a", header=True)
+    own(1).select(F.col("event_id").alias("trip"), F.date_format(ts, "dd/MM/yyyy HH:mm:ss").alias("time stamp"), lon.alias("lng"), lat.alias("lat"), kmph.alias("kmph")).write.option("maxRecordsPerFile", LINES).csv(f"{base}/b", header=True, sep=";", encoding="ISO-8859-1")
+    own(2).select(F.date_format(ts, "dd-MMM-yyyy").alias("date"), F.date_format(ts, "HH:mm:ss").alias("time"), lat.alias("d_lat"), lon.alias("d_long"), kmph.alias("speed"), F.col("event_id").alias("trip_id")).write.option("maxRecordsPerFile", LINES).csv(f"{base}/c", header=True, sep="\t", encoding="UTF-16")
+    own(3).select((F.col("us") / 1_000_000).cast("long").alias("ts"), lat.alias("lat"), lon.alias("lon"), kmph.alias("speed"), F.col("event_id").alias("trip")).write.option("maxRecordsPerFile", LINES).json(f"{base}/d")
     return base
 
 

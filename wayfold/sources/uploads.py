@@ -13,7 +13,8 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -34,8 +35,8 @@ ROLES = {
 }
 #: Headers of a date and of a time that stand in columns of their own.
 DAY_ONLY, CLOCK_ONLY = ("date", "gpsdate", "messagedate", "fixdate", "dtdate"), ("time", "gpstime", "messagetime", "fixtime", "dttime")
-#: Lines above the header at most.
-TITLES = 25
+#: Lines above the header at most; lines that a task holds.
+TITLES, HELD = 25, 4_000
 _CELLS = ("ts", "day", "clock", "lat", "lon", "speed", "asset", "trip")
 _RAW = "file string, format string, encoding string, delimiter string, header_row int, roles map<string, string>, error string, row int, " + ", ".join(f"{c} string" for c in _CELLS) + ", blank boolean"
 #: Formats of times beside those with slashes, tried in this order.
@@ -77,34 +78,43 @@ def header_of(rows: list[list]) -> int | None:
     return next((k for k, row in enumerate(rows[: TITLES + 1]) if {"lat", "lon"} <= roles_of(row).keys()), None)
 
 
-def _csv(data: bytes) -> tuple[list[list], str, str]:
+def _lines(text: str) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        to = text.find("\n", at) + 1 or len(text)
+        yield text[at:to]
+        at = to
+
+
+def _csv(data: bytes) -> tuple[Callable[[], Iterator[list]], str, str]:
     text, encoding = decoded(data)
     best: tuple[int, int, str] = (0, 0, ",")
     head = text[: 1 << 16]
     for delimiter in (",", ";", "\t", "|"):
-        rows = list(csv.reader(io.StringIO(head), delimiter=delimiter))
+        rows = list(csv.reader(_lines(head), delimiter=delimiter))
         best = max(best, (int(header_of(rows) is not None), max((len(r) for r in rows[: TITLES + 2]), default=0), delimiter), key=lambda x: x[:2])
-    return list(csv.reader(io.StringIO(text), delimiter=best[2])), encoding, best[2]
+    return lambda: csv.reader(_lines(text), delimiter=best[2]), encoding, best[2]
 
 
-def _json(data: bytes) -> tuple[list[list], str, str]:
+def _json(data: bytes) -> tuple[Callable[[], Iterator[list]], str, str]:
     """A list of objects, also under a key, or one object a line."""
     text, encoding = decoded(data)
     try:
         found = json.loads(text)
     except ValueError:
-        found = [json.loads(line) for line in text.splitlines() if line.strip()]
-    if isinstance(found, dict):
-        found = next((v for v in found.values() if isinstance(v, list)), [found])
-    found = [x for x in found if isinstance(x, dict)]
-    names = list(dict.fromkeys(k for x in found for k in x))
-    return [names] + [[x.get(k) for k in names] for x in found], encoding, ""
+        objects = lambda: (x for line in re.finditer(r"[^\r\n]+", text) if line[0].strip() and isinstance(x := json.loads(line[0]), dict))
+    else:
+        if isinstance(found, dict):
+            found = next((v for v in found.values() if isinstance(v, list)), [found])
+        objects = lambda: (x for x in found if isinstance(x, dict))
+    names = list(dict.fromkeys(k for x in objects() for k in x))
+    return lambda: chain([names], ([x.get(k) for k in names] for x in objects())), encoding, ""
 
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def _xlsx(data: bytes) -> tuple[list[list], str, str]:
+def _xlsx(data: bytes) -> tuple[Callable[[], Iterator[list]], str, str]:
     """The cells of the first sheet; days are serial numbers there."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         names = book.namelist()
@@ -133,7 +143,7 @@ def _xlsx(data: bytes) -> tuple[list[list], str, str]:
                     row[at] = None if value is None else float(value)
             rows.append(row)
             element.clear()
-    return rows, "", ""
+    return lambda: iter(rows), "", ""
 
 
 def _cell(value) -> str | None:
@@ -148,19 +158,21 @@ def lines_of(file: str, data: bytes) -> Iterator[tuple]:
     kind = "xlsx" if data[:2] == b"PK" else "json" if data.lstrip(b"\xef\xbb\xbf \t\r\n")[:1] in (b"{", b"[") else "csv"
     try:
         rows, encoding, delimiter = {"xlsx": _xlsx, "json": _json, "csv": _csv}[kind](data)
+        # Read twice and never held: a file that cannot be read to its end gives no lines.
+        first, count = list(islice(rows(), TITLES + 1)), sum(1 for _ in rows())
     except (ValueError, KeyError, IndexError, csv.Error, zipfile.BadZipFile, ElementTree.ParseError) as error:
         yield (file, kind, None, None, None, None, f"unreadable: {type(error).__name__}", None, *[None] * len(_CELLS), None)
         return
-    at = header_of(rows)
-    seen = max(rows[: TITLES + 1], key=len, default=[]) if at is None else rows[at]
+    at = header_of(first)
+    seen = max(first, key=len, default=[]) if at is None else first[at]
     roles = roles_of(seen)
     missing = [r for r in ("ts", "lat", "lon") if r not in roles]
-    if missing or at is None or at + 1 >= len(rows):
+    if missing or at is None or at + 1 >= count:
         error = f"no column for {', '.join(missing)}; seen: {', '.join(str(h) for h in seen[:25])}" if missing else "no rows below the header"
         yield (file, kind, encoding, delimiter, None, None, error, None, *[None] * len(_CELLS), None)
         return
-    named = {role: str(rows[at][i]) for role, i in roles.items()}
-    for k, row in enumerate(rows[at + 1 :], at + 2):
+    named = {role: str(first[at][i]) for role, i in roles.items()}
+    for k, row in enumerate(islice(rows(), at + 1, None), at + 2):
         cells = [_cell(row[roles[c]]) if c in roles and roles[c] < len(row) else None for c in _CELLS]
         yield (file, kind, encoding, delimiter, at + 1, named, None, k, *cells, not any(c not in (None, "") for c in row))
 
@@ -175,7 +187,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
                 held: list[tuple] = []
                 for line in lines_of(file, bytes(data)):
                     held.append(line)
-                    if len(held) == 20_000:
+                    if len(held) == HELD:
                         yield pd.DataFrame(held, columns=names).astype({"row": "Int32", "header_row": "Int32"})
                         held = []
                 yield pd.DataFrame(held, columns=names).astype({"row": "Int32", "header_row": "Int32"})
