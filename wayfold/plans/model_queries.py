@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfold.operators import regressions as G
 from wayfold.operators.joins import known_by
 from wayfold.plans.catalogue import query
+from wayfold.sources.shared import staged
 from wayfold.sources.tables import micros, read, trips
 
 
@@ -27,8 +28,9 @@ def _rounded(table: DataFrame) -> DataFrame:
 def n01_travel_time_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days on the way, by boosted trees over order, calendar, route and carrier; errors on seen and on held-out trips."""
     df = booked_features(trips(spark, sf_dir)).withColumns({"weekday": F.weekday("booked"), "month": F.month("booked")})
-    rows = G.trimmed(df, "days")
     features = ["stops", "qty", "price", "weekday", "month", "origin", "dest", "route_n", "route_mean", "carrier_n", "carrier_mean"]
+    # Read by every pass of the training and by the errors; staged, the trips are joined once.
+    rows = G.trimmed(staged(df.select("trip", "days", *features), "travel-times"), "days")
     return _rounded(G.errors(G.predicted(G.trained(rows, "trip", features, "days"), rows, features), "trip", "days"))
 
 
@@ -37,7 +39,8 @@ def n10_fuel_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Litres by boosted trees over what the physical rule uses without the rule; errors on seen and on held-out trips."""
     mileage = F.lit(4.0) - F.lit(0.01) * F.least("days", F.lit(100)) + F.when(F.col("status") == "F", 0.5).otherwise(0.0)
     df = trips(spark, sf_dir, lanes=False).withColumns({"litres": F.col("qty") * 10 / mileage, "done": (F.col("status") == "F").cast("int")})
-    rows, features = G.trimmed(df, "litres"), ["qty", "days", "done", "stops"]
+    features = ["qty", "days", "done", "stops"]
+    rows = G.trimmed(staged(df.select("trip", "litres", *features), "fuel"), "litres")
     return _rounded(G.errors(G.predicted(G.trained(rows, "trip", features, "litres", rounds=25, depth=5), rows, features), "trip", "litres"))
 
 
