@@ -161,3 +161,26 @@ def test_order_of_arrival_needs_no_state_store_of_its_own(spark, tmp_path):
         live.in_order(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
     out = sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert out == [1, 3, 5, 6]
+
+
+def test_places_of_other_plants_are_not_paired(spark, monkeypatch):
+    from wayfold.operators import scenes as C
+
+    plants = [None, 0, 1, 2, 3, 4]
+    places = spark.createDataFrame([(z, [0, 0, 1_000, 1_000], [0, 1_000, 1_000, 0], 2_000_000) for z in range(12)], "zone long, lats array<long>, lons array<long>, area2 long")
+    episodes = spark.createDataFrame([(z, plants[z // 2], z, 0, 10) for z in range(12)], "episode long, plant long, zone long, start_us long, end_us long")
+    crowd = spark.createDataFrame([(z, 7) for z in range(12)], "episode long, vehicle long")
+    met, given, join, same = [], [], C.overlap_join, C.same_places
+    monkeypatch.setattr(C, "overlap_join", lambda left, *a: met.append(left.count()) or join(left, *a))
+    monkeypatch.setattr(C, "same_places", lambda places, *a: given.append(plan(places)) or same(places, *a))
+    got = sorted(tuple(r) for r in C.scenes(episodes, crowd, places, 4.0, 0.5, 64).collect())
+    assert got == [(z, z - z % 2, z % 2 == 0) for z in range(12)]
+    assert met == [6] and "REPARTITION_BY_NUM" in given[0]
+
+
+def test_outlines_of_some_zones_alone_are_the_same(spark):
+    from pyspark.sql import functions as F
+
+    some = spark.createDataFrame([(3,), (17,), (-1,)], "zone long")
+    want = zones(spark, SF).where(F.col("zone").isin(3, 17)).collect()
+    assert sorted(zones(spark, SF, some).collect()) == sorted(want) and len(want) == 2

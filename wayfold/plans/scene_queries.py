@@ -57,7 +57,7 @@ def crowded_episodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     number = F.row_number().over(Window.partitionBy("site").orderBy("enter"))
     eps = staged(runs.select((F.col("site") * 1_000_000 + number).alias("episode"), F.floor(F.col("site") / 50).alias("plant"), F.col("site").alias("zone"), F.col("enter").alias("start_us"), F.col("leave").alias("end_us")), "episodes")
     met = I.overlap_join(eps, df.select(F.col("site").alias("zone"), "vehicle", "enter", "leave"), "zone", 30 * DAY, "start_us", "end_us", "enter", "leave")
-    return eps, met.select("episode", "vehicle").distinct()
+    return eps, staged(met.select("episode", "vehicle").distinct(), "crowds")
 
 
 @query(f"""WITH RECURSIVE {_EPISODES_SQL},
@@ -68,8 +68,8 @@ SELECT episode, scene, rn = 1 AS "primary" FROM ranked""")
 def i19_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crowded episodes of outlines that draw one place, at one time, with a shared crowd, are one scene; transitive."""
     eps, crowd = crowded_episodes(spark, sf_dir)
-    where = eps.select("zone").distinct()
-    return C.scenes(eps, crowd, zones(spark, sf_dir).join(where, "zone", "left_semi"), RATIO, SHARE, 30 * DAY)
+    places = staged(zones(spark, sf_dir, eps.select("zone").distinct()), "places")
+    return C.scenes(eps, crowd, places, RATIO, SHARE, 30 * DAY)
 
 
 _LAYOUT_SQL = f"""{ZONES_SQL}, copies AS (SELECT zone AS ground, CASE WHEN zone % 7 = 0 THEN 2 ELSE 1 END + CASE WHEN zone % 21 = 0 THEN 1 ELSE 0 END AS copies FROM zones),
