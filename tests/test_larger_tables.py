@@ -184,3 +184,16 @@ def test_outlines_of_some_zones_alone_are_the_same(spark):
     some = spark.createDataFrame([(3,), (17,), (-1,)], "zone long")
     want = zones(spark, SF).where(F.col("zone").isin(3, 17)).collect()
     assert sorted(zones(spark, SF, some).collect()) == sorted(want) and len(want) == 2
+
+
+def test_steps_of_occupancy_are_shuffled_once(spark):
+    from wayfold.plans.figure_queries import a22_usual_level
+    from wayfold.plans.interval_queries import i16_baseline
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for query in (a22_usual_level, i16_baseline):
+            text = plan(query(spark, SF))
+            assert text.count("REPARTITION_BY_NUM") - text.count("ReusedExchange") <= 1 and "ReusedExchange" in text
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

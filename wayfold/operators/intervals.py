@@ -37,6 +37,8 @@ def occupancy(df: DataFrame, keys: list[str], start: str = "enter", end: str = "
     """
     ends = F.explode(F.array(F.struct(F.col(start).alias("us"), F.lit(1).alias("d")), F.struct(F.col(end).alias("us"), F.lit(-1).alias("d"))))
     flat = df.where(F.col(start) < F.col(end)).select(*keys, ends.alias("__e")).select(*keys, "__e.us", "__e.d", F.floor(F.col("__e.us") / bucket_us).alias("bucket"))
+    # No bucket is null; said here, both readings of the steps have the same filter and share one shuffle.
+    flat = flat.where(F.col("bucket").isNotNull())
     # Dealt once by bucket: sums by time, sums by bucket and the windows within buckets all keep to that. As many parts as
     # the rows ask for, so that what a task sorts and sums does not grow with the table.
     steps = flat.repartition(parts(df), *keys, "bucket").groupBy(*keys, "bucket", "us").agg(F.sum("d").alias("d")).where("d <> 0")
