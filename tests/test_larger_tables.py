@@ -197,3 +197,12 @@ def test_steps_of_occupancy_are_shuffled_once(spark):
             assert text.count("REPARTITION_BY_NUM") - text.count("ReusedExchange") <= 1 and "ReusedExchange" in text
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_cells_are_not_broadcast_to_summaries_and_passages(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(Z, "FEW", 10)
+    for name in ("m07_trail_summary", "m16_passages"):
+        joins = [x for x in plan(entry.queries()[name](spark, SF)).splitlines() if "Join" in x and "cy#" in x]
+        assert joins and not any("Broadcast" in x for x in joins), name
