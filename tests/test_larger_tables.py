@@ -206,3 +206,26 @@ def test_cells_are_not_broadcast_to_summaries_and_passages(spark, monkeypatch):
     for name in ("m07_trail_summary", "m16_passages"):
         joins = [x for x in plan(entry.queries()[name](spark, SF)).splitlines() if "Join" in x and "cy#" in x]
         assert joins and not any("Broadcast" in x for x in joins), name
+
+
+def test_micro_batches_do_not_broadcast_the_cells_of_many_zones(spark, monkeypatch, tmp_path):
+    from wayfold.streaming.runs import in_slices
+
+    fixes = trails(spark, SF)
+    in_slices(fixes, "us", 1, f"{tmp_path}/fixes")
+    monkeypatch.setattr(Z, "FEW", 10)
+    near = Z.fixes_near(spark.readStream.schema(fixes.schema).parquet(f"{tmp_path}/fixes"), zones(spark, SF), ESCAPE)
+    run = near.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    found = run._jsq.explainInternal(False)
+    assert "SortMergeJoin" in found and "BroadcastHashJoin" not in found
+
+
+def test_slices_of_trails_do_not_sort_them_again(spark, monkeypatch):
+    from wayfold.plans import zone_queries as Q
+
+    seen = []
+    monkeypatch.setattr(Q, "in_slices", lambda df, *_: seen.append(plan(df)))
+    monkeypatch.setattr(Q, "to_the_end", lambda *_: spark.createDataFrame([], "vehicle long, zone long, kind string, us long"))
+    Q.t03_live_events(spark, SF)
+    assert len(seen) == 1 and "Window" not in seen[0]
