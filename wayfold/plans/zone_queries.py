@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import scalars as X
+from wayfold.operators import tiles as T
 from wayfold.operators import zones as Z
 from wayfold.operators.rings import crossed, inscribed
 from wayfold.operators.scenes import centroids
@@ -93,8 +94,8 @@ def t03_live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def m07_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by batch: one ordered walk per vehicle."""
-    return Z.events(_near(spark, sf_dir), CONFIRM_US, ESCAPE, SILENCE_US)
+    """The same by batch: one ordered walk per vehicle and zone, those of a tile side by side."""
+    return T.events(trails(spark, sf_dir), zones(spark, sf_dir), CONFIRM_US, ESCAPE, SILENCE_US)
 
 
 _CROSSED_SQL = f"""{ZONES_SQL}, swapped AS (
