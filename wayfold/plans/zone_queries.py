@@ -42,7 +42,7 @@ def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Z.visits(_near(spark, sf_dir), CONFIRM_US, ESCAPE, SILENCE_US)
+    return T.visits(trails(spark, sf_dir), zones(spark, sf_dir), CONFIRM_US, ESCAPE, SILENCE_US)
 
 
 @query(f"WITH {_INSIDE_SQL} SELECT event_id, zone FROM inside")
@@ -77,8 +77,7 @@ def m07_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m07_trail_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per trail. The walk over the zones runs once for visits and violations alike."""
-    found = _visits(spark, sf_dir)
-    return Z.summaries(trails(spark, sf_dir), found, Z.violations(found, zones(spark, sf_dir)), SILENCE_US)
+    return Z.summed_up(trails(spark, sf_dir), Z.breaches_of(_visits(spark, sf_dir), zones(spark, sf_dir)), SILENCE_US)
 
 
 @query()
