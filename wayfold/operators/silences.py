@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.scalars import haversine_m
-from wayfold.operators.zones import METRE6, fixes_near
+from wayfold.operators.tiles import legs_past
+from wayfold.operators.zones import METRE6
 
 #: Metres between the points of a leg; a zone this near to it may have held a stop; seconds that a stop leaves unexplained.
 STEP_M, NEAR_M, UNEXPLAINED_S = 25.0, 300.0, 900.0
@@ -65,12 +66,7 @@ def passages(gaps: DataFrame, zones: DataFrame, visits: DataFrame, near_m: float
     have been a stop there. Zones that the asset was seen in at either end of the gap (``visits``) are no finding.
     """
     points = densified(gaps, step_m)
-    rows = points.select(F.col("gap").alias("vehicle"), (F.col("i").cast("long") * 1_000_000 + F.col("j")).alias("event_id"), F.col("at_mm").alias("us"), "lat6", "lon6", F.lit(0).cast("long").alias("speed"))
-    near = fixes_near(rows, zones, 2 * near_m).where("near")
-    clear = F.col("distance") <= -F.col("band")
-    met = near.groupBy(F.col("vehicle").alias("gap"), "zone").agg(
-        F.min("distance").alias("nearest_m"), F.min(F.when(clear, F.col("us"))).alias("first_mm"), F.max(F.when(clear, F.col("us"))).alias("last_mm")
-    )
+    met = legs_past(points.select("gap", "at_mm", "lat6", "lon6"), zones, 2 * near_m)
     about = met.join(gaps.drop("lats", "lons"), "gap")
     seen = visits.select(F.col("vehicle").alias("v"), F.col("zone").alias("z"), "enter", F.when(~F.col("open"), F.col("leave")).alias("leave"))
     at = lambda c: (F.col("enter") <= F.col(c)) & (F.col("leave").isNull() | (F.col(c) <= F.col("leave")))
