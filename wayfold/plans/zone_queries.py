@@ -174,8 +174,7 @@ SELECT event_id, coalesce(innermost, nearest) AS region, innermost IS NULL AS ou
 def g12_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The innermost zone of a fix, else the nearest one within 1,500 m by the distance to its edge."""
     df = trails(spark, sf_dir)
-    near = Z.fixes_near(df, zones(spark, sf_dir).withColumn("band", F.lit(0.0)), 1_500.0).where("near").join(_areas(spark, sf_dir), "zone")
-    best = near.groupBy("event_id").agg(F.min_by("zone", F.when(F.col("distance") <= 0, F.struct("area2", "zone"))).alias("inside"), F.min_by("zone", F.struct("distance", "zone")).alias("nearest"))
+    best = T.regions(df, zones(spark, sf_dir), 1_500.0)
     return df.select("event_id").join(best, "event_id", "left").select("event_id", F.coalesce("inside", "nearest").alias("region"), F.col("inside").isNull().alias("outside"))
 
 
