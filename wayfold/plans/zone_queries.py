@@ -47,8 +47,8 @@ def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_INSIDE_SQL} SELECT event_id, zone FROM inside")
 def j11_fixes_in_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fix in every zone that holds it: cells, then exact outlines where an edge is near."""
-    return _near(spark, sf_dir).where("near AND distance <= 0").select("event_id", "zone")
+    """Every fix in every zone that holds it: tiles and boxes, then exact outlines."""
+    return T.containing(trails(spark, sf_dir), zones(spark, sf_dir))
 
 
 @query(f"""WITH {_INSIDE_SQL}, areas AS (SELECT zone, abs(CAST(sum(x1 * y2 - x2 * y1) AS HUGEINT)) AS area2 FROM edges GROUP BY zone),
