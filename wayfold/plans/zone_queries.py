@@ -32,10 +32,6 @@ inside AS (
     AND CASE WHEN y2 > y1 THEN (x1 - t.lon6) * (y2 - y1) + (x2 - x1) * (t.lat6 - y1) > 0 ELSE (x1 - t.lon6) * (y2 - y1) + (x2 - x1) * (t.lat6 - y1) < 0 END) % 2 = 1)"""
 
 
-def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Z.fixes_near(trails(spark, sf_dir), zones(spark, sf_dir), ESCAPE)
-
-
 def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(zone, area2), to be shuffled: by the size of its file Spark would broadcast millions of them."""
     return zones(spark, sf_dir).select("zone", "area2").hint("merge")
@@ -56,9 +52,7 @@ ranked AS (SELECT event_id, i.zone, count(*) OVER (PARTITION BY event_id) AS zon
 SELECT event_id, zone, zones FROM ranked WHERE rn = 1""")
 def t07_innermost_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest zone that holds a fix, and how many do."""
-    sized = _areas(spark, sf_dir)
-    held = _near(spark, sf_dir).where("near AND distance <= 0").select("event_id", "zone").join(sized, "zone")
-    return held.groupBy("event_id").agg(F.min_by("zone", F.struct("area2", "zone")).alias("zone"), F.count(F.lit(1)).alias("zones"))
+    return T.innermost(trails(spark, sf_dir), zones(spark, sf_dir), count=True).select("event_id", "zone", "zones")
 
 
 @query()
