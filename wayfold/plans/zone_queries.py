@@ -32,11 +32,6 @@ inside AS (
     AND CASE WHEN y2 > y1 THEN (x1 - t.lon6) * (y2 - y1) + (x2 - x1) * (t.lat6 - y1) > 0 ELSE (x1 - t.lon6) * (y2 - y1) + (x2 - x1) * (t.lat6 - y1) < 0 END) % 2 = 1)"""
 
 
-def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(zone, area2), to be shuffled: by the size of its file Spark would broadcast millions of them."""
-    return zones(spark, sf_dir).select("zone", "area2").hint("merge")
-
-
 def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.visits(trails(spark, sf_dir), zones(spark, sf_dir), CONFIRM_US, ESCAPE, SILENCE_US)
 
@@ -136,8 +131,7 @@ innermost AS (SELECT event_id, arg_min(i.zone, (area2, i.zone)) AS innermost FRO
 
 def _innermost(spark: SparkSession, sf_dir: str, fixes: DataFrame) -> DataFrame:
     """(event_id, innermost) of the fixes that a zone holds."""
-    held = Z.fixes_near(fixes, zones(spark, sf_dir), 0.0).where("near AND distance <= 0").select("event_id", "zone")
-    return held.join(_areas(spark, sf_dir), "zone").groupBy("event_id").agg(F.min_by("zone", F.struct("area2", "zone")).alias("innermost"))
+    return T.innermost(fixes, zones(spark, sf_dir)).select("event_id", F.col("zone").alias("innermost"))
 
 
 @query(f"""WITH {_INNERMOST_SQL}, l AS (SELECT vehicle, max(us) AS us, arg_max(event_id, (us, event_id)) AS event_id FROM trails GROUP BY vehicle)
